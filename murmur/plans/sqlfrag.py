@@ -79,3 +79,33 @@ def theme(col: str, pattern: str) -> str:
 
 def padded_boundary(col: str) -> str:
     return f"(' ' || regexp_replace(lower(coalesce({col}, '')), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g') || ' ')"
+
+
+def re2_pattern(pattern: str) -> str:
+    """Rewrite a Python/Java-Unicode regex for RE2: Unicode classes, emulated \\b.
+
+    Only leading/trailing ``\\b`` occur in the theme presets; a boolean "matches
+    somewhere" test may consume the boundary character.
+    """
+    body = pattern
+    lead = body.startswith(r"\b")
+    trail = body.endswith(r"\b")
+    if lead:
+        body = body[2:]
+    if trail:
+        body = body[:-2]
+    body = body.replace(r"\w", WORD).replace(r"\s", WS).replace(r"\d", r"\p{Nd}")
+    if lead:
+        body = rf"(?:^|[^\p{{L}}\p{{M}}\p{{Nd}}\p{{Pc}}])" + f"(?:{body})"
+    if trail:
+        body = f"(?:{body})" + rf"(?:[^\p{{L}}\p{{M}}\p{{Nd}}\p{{Pc}}]|$)"
+    return body
+
+
+def theme_sql(col: str, pattern: str) -> str:
+    return f"coalesce(regexp_matches({col}, {q(re2_pattern(pattern))}, 'i'), false)"
+
+
+def slug(name: str) -> str:
+    import re
+    return "theme_" + re.sub(r"[^a-z0-9]+", "_", name.lower()).strip("_")
