@@ -122,7 +122,7 @@ def stratified_split(df: DataFrame, id_col: str, label_col: str, seed: int = pre
                      test_size: float = 0.30, second_test_size: float = 0.50) -> DataFrame:
     """Adds ``split`` in {train, val, test} with exact stratified sizes."""
     ranked = stratified_rank(df, id_col, [label_col], seed, rank_col="_r")
-    class_counts = ranked.groupBy(label_col).agg(F.count(F.lit(1)).alias("n_c"))
+    class_counts = df.groupBy(label_col).agg(F.count(F.lit(1)).alias("n_c"))
     quotas = split_quotas(class_counts, label_col, test_size, second_test_size)
     # One row per class of a closed label set: broadcasting it is bounded.
     out = ranked.join(F.broadcast(quotas.select(label_col, "train_c", "val_c")), label_col, "left")

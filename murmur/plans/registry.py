@@ -33,6 +33,7 @@ def load_all() -> None:
     """Import every query module so their registrations run."""
     from murmur.plans import (  # noqa: F401
         annotation_queries,
+        audit_queries,
         corpus_queries,
         evaluation_queries,
         explore_queries,
