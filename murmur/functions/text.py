@@ -58,12 +58,12 @@ def tokens(col: Column | str, extra_stop: Iterable[str] = (), min_chars: int = 2
     """
     stop = sorted(set(default_stopwords() if stopwords is None else stopwords) | set(extra_stop))
     words = F.split(normalised_for_tokens(col), WS_RE)
-    stop_arr = F.array(*[F.lit(w) for w in stop]) if stop else None
 
     def keep(w: Column) -> Column:
         cond = (F.length(w) >= F.lit(max(min_chars, 1)))
-        if stop_arr is not None:
-            cond = cond & ~F.array_contains(stop_arr, w)
+        if stop:
+            # A literal IN list of this size is planned as a hash-set probe.
+            cond = cond & ~w.isin(*stop)
         return cond
 
     kept = F.filter(words, keep)
@@ -81,8 +81,10 @@ def topic_tokens(col: Column | str, extra_stop: Sequence[str] = presets.TOPIC_ST
                  min_chars: int = 3, lemmas: Column | None = None) -> Column:
     """Topic-model tokens: extra stop words, 3+ chars, re-filtered after lemmas."""
     toks = tokens(col, extra_stop=extra_stop, min_chars=min_chars, lemmas=lemmas)
-    extra = F.array(*[F.lit(w) for w in sorted(set(extra_stop))])
-    return F.filter(toks, lambda w: ~F.array_contains(extra, w))
+    if lemmas is None:
+        return toks  # identity lemmas: the re-filter cannot remove anything
+    extra = sorted(set(extra_stop))
+    return F.filter(toks, lambda w: ~w.isin(*extra))
 
 
 def keyword_match(col: Column | str, keywords: Sequence[str]) -> Column:

@@ -121,12 +121,22 @@ def standardise_long(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
 
 
 def softmax(arr: Column) -> Column:
-    """Numerically stable softmax over a numeric array column."""
-    x = F.transform(arr, lambda v: v.cast("double"))
-    m = F.array_max(x)
-    e = F.transform(x, lambda v: F.exp(v - m))
-    s = F.aggregate(e, F.lit(0.0), lambda a, b: a + b)
-    return F.transform(e, lambda v: v / s)
+    """Numerically stable softmax over a numeric array column, linear per row.
+
+    The running (sum, max) lives in the accumulator of one ``aggregate`` whose
+    zero value holds the max, so neither is re-evaluated per element.
+    """
+    zero = F.struct(F.lit(0.0).alias("s"), F.array_max(arr).cast("double").alias("m"))
+    return F.aggregate(
+        arr, zero,
+        lambda acc, v: F.struct((acc["s"] + F.exp(v.cast("double") - acc["m"])).alias("s"), acc["m"].alias("m")),
+        lambda acc: F.transform(arr, lambda v: F.exp(v.cast("double") - acc["m"]) / acc["s"]))
+
+
+def l1_normalise(arr: Column) -> Column:
+    """|x| / sum|x| per element, linear per row."""
+    return F.aggregate(arr, F.lit(0.0), lambda a, v: a + F.abs(v.cast("double")),
+                       lambda s: F.transform(arr, lambda v: F.abs(v.cast("double")) / s))
 
 
 def first_argmax(arr: Column) -> Column:

@@ -45,7 +45,7 @@ WITH lx0 AS (
 
 
 def lexicon(spark, base):
-    return an.lexicon_annotate(read_table(spark, base, "documents").select("doc_id", "text"))
+    return an.lexicon_annotate(read_table(spark, base, "documents", spread_key="doc_id").select("doc_id", "text"))
 
 
 @query("lexicon_annotate", LEXICON_CTE + " SELECT doc_id, ai_label, ai_confidence, ai_rationale, ai_rule_applied FROM lex")

@@ -20,7 +20,7 @@ def content_id(col: str = "text"):
 
 
 def _raw(spark, base):
-    return read_table(spark, base, "documents").select(
+    return read_table(spark, base, "documents", spread_key="doc_id").select(
         "doc_id", "lang", "source", "n_chars", "text", content_id().alias("_doc_id"))
 
 

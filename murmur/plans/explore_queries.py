@@ -49,7 +49,7 @@ def weekly_volume(spark, base):
 
 
 def _doc_themes(spark, base):
-    d = read_table(spark, base, "documents").select("doc_id", "lang", "text")
+    d = read_table(spark, base, "documents", spread_key="doc_id").select("doc_id", "lang", "text")
     return d.select("doc_id", "lang", *[tx.theme_flag("text", p).alias(c) for c, p in _THEMES.items()])
 
 

@@ -17,7 +17,7 @@ MAXLEN = presets.MAX_SEQUENCE_LEN
 
 
 def doc_tokens(spark, base, topic: bool = False, *cols):
-    d = read_table(spark, base, "documents").select("doc_id", "text", *cols)
+    d = read_table(spark, base, "documents", spread_key="doc_id").select("doc_id", "text", *cols)
     t = tx.topic_tokens("text") if topic else tx.tokens("text")
     return d.select("doc_id", *cols, t.alias("tokens"))
 
@@ -141,8 +141,6 @@ SELECT vec_id, CAST(list_position(p, list_max(p)) - 1 AS INTEGER) AS dominant_to
 def dominant_topic(spark, base):
     from murmur.operators.topics import dominant_topic as dom
     e = read_table(spark, base, "embeddings").select("vec_id", "embedding")
-    a = F.transform("embedding", lambda v: F.abs(v.cast("double")))
-    s = F.aggregate(a, F.lit(0.0), lambda x, y: x + y)
-    dist = e.select("vec_id", F.transform(a, lambda v: v / s).alias("p"))
+    dist = e.select("vec_id", fx.l1_normalise(F.col("embedding")).alias("p"))
     d = dom(dist, "p")
     return d.select("vec_id", "dominant_topic", F.round("topic_probability", 9).alias("topic_probability"))

@@ -13,7 +13,7 @@ from murmur.sources.tables import read_table
 
 
 def _docs(spark, base, *cols):
-    return read_table(spark, base, "documents").select("doc_id", *cols)
+    return read_table(spark, base, "documents", spread_key="doc_id").select("doc_id", *cols)
 
 
 @query("light_clean", f"SELECT doc_id, {S.light_clean('text')} AS light_clean FROM documents")

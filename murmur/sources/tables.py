@@ -5,10 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 
-def read_table(spark: SparkSession, base_dir: str, name: str) -> DataFrame:
+def read_table(spark: SparkSession, base_dir: str, name: str, spread_key: str | None = None) -> DataFrame:
     """``base_dir/name.parquet`` as a DataFrame.
 
     Nothing is selected here on purpose: callers project the columns they need
     and Catalyst prunes the scan (``ReadSchema``) and pushes filters into it.
+    With ``spread_key`` the rows are hash-spread over the cluster's cores when
+    the scan yields fewer splits than cores (an unsplittable file); on a
+    cluster-sized input the scan is already split and nothing is added.
     """
-    return spark.read.parquet(f"{base_dir.rstrip('/')}/{name}.parquet")
+    df = spark.read.parquet(f"{base_dir.rstrip('/')}/{name}.parquet")
+    return spread(df, spread_key) if spread_key else df
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Hash-partition by ``key`` only if the input has fewer partitions than cores.
+
+    Hash (not round-robin) so a later aggregate or window keyed by ``key``
+    (or a superset of it) reuses the partitioning instead of shuffling again.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores * 2, key)
+    return df
