@@ -43,12 +43,12 @@ def lexicon_annotate(df: DataFrame, text_col: str = "text",
     signal -> NEUTRAL, MEDIUM with informational phrasing else LOW.
     """
     padded = tx.padded_boundary_text(text_col)
-    out = df.withColumns({
-        "_neg": _phrase_hits(padded, negative),
-        "_pos": _phrase_hits(padded, positive),
-        "_neu": _phrase_hits(padded, neutral),
-        "_words": tx.word_token_count(text_col),
-    })
+    # The four counters come out of a one-row generator: a filter on the labels
+    # (routing) is then evaluated on these integers instead of being rewritten
+    # into dozens of copies of the phrase tests.
+    counters = F.struct(_phrase_hits(padded, negative).alias("_neg"), _phrase_hits(padded, positive).alias("_pos"),
+                        _phrase_hits(padded, neutral).alias("_neu"), tx.word_token_count(text_col).alias("_words"))
+    out = df.select("*", F.inline(F.array(counters)))
     neg, pos, neu, words = F.col("_neg"), F.col("_pos"), F.col("_neu"), F.col("_words")
     no_signal = (neg == 0) & (pos == 0)
     short = no_signal & (words < short_words)
