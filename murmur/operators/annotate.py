@@ -42,13 +42,16 @@ def lexicon_annotate(df: DataFrame, text_col: str = "text",
     (rule 2); equal non-zero -> NEUTRAL/LOW (rule 2, balanced); no evaluative
     signal -> NEUTRAL, MEDIUM with informational phrasing else LOW.
     """
-    padded = tx.padded_boundary_text(text_col)
+    # The normalised text is its own column so it is built once per row, not
+    # once per phrase test.
+    df = df.withColumn("_padded", tx.padded_boundary_text(text_col))
+    padded = F.col("_padded")
     # The four counters come out of a one-row generator: a filter on the labels
     # (routing) is then evaluated on these integers instead of being rewritten
     # into dozens of copies of the phrase tests.
     counters = F.struct(_phrase_hits(padded, negative).alias("_neg"), _phrase_hits(padded, positive).alias("_pos"),
                         _phrase_hits(padded, neutral).alias("_neu"), tx.word_token_count(text_col).alias("_words"))
-    out = df.select("*", F.inline(F.array(counters)))
+    out = df.select("*", F.inline(F.array(counters))).drop("_padded")
     neg, pos, neu, words = F.col("_neg"), F.col("_pos"), F.col("_neu"), F.col("_words")
     no_signal = (neg == 0) & (pos == 0)
     short = no_signal & (words < short_words)

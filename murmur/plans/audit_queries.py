@@ -47,10 +47,13 @@ FROM ranked WHERE rn = 1
 """)
 def unused_audit(spark, base):
     raw = _raw(spark, base)
-    labelled = raw.join(read_table(spark, base, "labels").select("doc_id"), "doc_id", "left_semi")
-    eligible = raw.filter(tx.keyword_match("text", KW))
-    out = audit.unused_audit(raw, labelled.select("_doc_id"), eligible.select("_doc_id"),
-                             columns=["lang", "source", "n_chars", "text"])
+    labelled = read_table(spark, base, "labels").select("doc_id", F.lit(True).alias("_labelled"))
+    # Row-level flags; the model id set is "content ids of labelled rows", so the
+    # per-key maximum of the row flag is exactly that membership.
+    flagged = raw.join(labelled, "doc_id", "left").withColumns({
+        "_in_model": F.coalesce(F.col("_labelled"), F.lit(False)),
+        "_eligible": tx.keyword_match("text", KW)})
+    out = audit.unused_audit_flags(flagged, columns=["lang", "source", "n_chars"])
     return out.select("_doc_id", "doc_id", "lang", "source", "n_chars",
                       F.col("raw_occurrences").cast("long").alias("raw_occurrences"), "exclusion_reason")
 
