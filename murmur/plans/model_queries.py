@@ -1 +1,198 @@
-"""model_queries."""
+"""Model queries (rows-only checks): word vectors, SVM classifiers, model
+selection, LDA topics and their diagnostics. Truth = ``documents.lang`` on the
+canonical split; dense vectors = ``embeddings`` (label 0-9).
+
+Training settings are kept small for the verification runs (documented in
+the README); they are parameters of each operator.
+"""
+
+from __future__ import annotations
+
+from pyspark.ml import PipelineModel
+from pyspark.ml.functions import array_to_vector
+from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+from pyspark.sql import functions as F
+
+from murmur.functions import presets
+from murmur.functions import text as tx
+from murmur.operators import evaluate as ev
+from murmur.operators import models as md
+from murmur.operators import sampling as sm
+from murmur.operators import topics as tp
+from murmur.plans.feature_queries import doc_tokens
+from murmur.plans.registry import query
+from murmur.plans.sampling_queries import doc_split
+from murmur.session import scratch_dir
+from murmur.sources.tables import read_table
+
+W2V_DIM = 100
+LDA_K = 5
+LDA_ITER = 10
+SVM_ITER = 10
+
+
+def _labelled(spark, base):
+    """Split documents with ``label`` and balanced class weights from train only."""
+    s = doc_split(spark, base, "text").withColumnRenamed("lang", "label")
+    w = ev.class_weights(s.filter(F.col("split") == "train"), "label").select("label", "weight")
+    return s.join(F.broadcast(w), "label", "left")
+
+
+def _w2v(spark, base):
+    d = doc_split(spark, base, "text").filter(F.col("split").isin("train", "val"))
+    d = d.select("doc_id", tx.tokens("text").alias("tokens"))
+    model = md.fit_word2vec(d, "tokens", vector_size=W2V_DIM, epochs=1)
+    return model.getVectors()
+
+
+@query("word2vec_vectors")
+def word2vec_vectors(spark, base):
+    from pyspark.ml.functions import vector_to_array
+    v = _w2v(spark, base)
+    return v.select("word", vector_to_array("vector").alias("vector"))
+
+
+@query("doc_vectors")
+def doc_vectors(spark, base):
+    return md.mean_vectors(doc_tokens(spark, base), "doc_id", "tokens", _w2v(spark, base), W2V_DIM)
+
+
+@query("embedding_coverage")
+def embedding_coverage(spark, base):
+    from murmur.operators.features import vocab_rank
+    vocab = vocab_rank(doc_tokens(spark, base), "tokens", presets.NUM_WORDS)
+    return md.embedding_coverage(vocab, _w2v(spark, base))
+
+
+def _text_model(spark, base, reg: float = 0.01):
+    data = _labelled(spark, base).persist()
+    pipe = md.text_svm_pipeline("text", "label", "weight", reg=reg, max_iter=SVM_ITER)
+    return data, pipe.fit(data.filter(F.col("split") == "train"))
+
+
+@query("svm_text_classify")
+def svm_text_classify(spark, base):
+    data, model = _text_model(spark, base)
+    out = md.decode_predictions(model, model.transform(data.filter(F.col("split") == "test")))
+    return out.select("doc_id", F.col("label").alias("true_label"), "predicted_label")
+
+
+@query("score_corpus")
+def score_corpus(spark, base):
+    data, model = _text_model(spark, base)
+    docs = read_table(spark, base, "documents").select("doc_id", "text", F.col("lang").alias("label"))
+    out = md.decode_predictions(model, model.transform(docs))
+    return out.select("doc_id", "predicted_label")
+
+
+@query("model_roundtrip")
+def model_roundtrip(spark, base):
+    data, model = _text_model(spark, base)
+    path = scratch_dir(spark, "model")
+    model.write().overwrite().save(path)
+    loaded = PipelineModel.load(path)
+    test = data.filter(F.col("split") == "test")
+    a = md.decode_predictions(model, model.transform(test)).select("doc_id", F.col("predicted_label").alias("a"))
+    b = md.decode_predictions(loaded, loaded.transform(test)).select("doc_id", F.col("predicted_label").alias("b"))
+    j = a.join(b, "doc_id")
+    return j.select("doc_id", F.col("a").alias("predicted_label"), (F.col("a") == F.col("b")).alias("same"))
+
+
+@query("svm_dense_classify")
+def svm_dense_classify(spark, base):
+    e = read_table(spark, base, "embeddings").select("vec_id", "label", "embedding")
+    e = sm.stratified_split(e, "vec_id", "label")
+    w = ev.class_weights(e.filter(F.col("split") == "train"), "label").select("label", "weight")
+    e = e.join(F.broadcast(w), "label", "left").withColumns({
+        "features": array_to_vector("embedding"), "y": F.col("label").cast("double")}).persist()
+    pipe = md.dense_svm_pipeline("features", "y", "weight", kernel="rbf", num_features=128, gamma=0.01,
+                                 max_iter=SVM_ITER)
+    model = pipe.fit(e.filter(F.col("split") == "train"))
+    out = model.transform(e.filter(F.col("split") == "test"))
+    return out.select("vec_id", F.col("label").alias("true_label"),
+                      F.col("_pred").cast("int").alias("predicted_label"))
+
+
+@query("grid_search_cv")
+def grid_search_cv(spark, base):
+    data = _labelled(spark, base).filter(F.col("split").isin("train", "val"))
+    # Folds are re-read by every fit: keep the prepared rows in memory once.
+    data = sm.stratified_folds(data, "doc_id", "label", k=3).persist()
+    pipe = md.text_svm_pipeline("text", "label", "weight", max_iter=SVM_ITER)
+    ovr = pipe.getStages()[-1]
+    svm = ovr.getClassifier()
+    grid = ParamGridBuilder().addGrid(svm.regParam, [0.01, 0.1]).build()
+    idx_pred = md.MacroF1Evaluator(labelCol="_y", predictionCol="_pred")
+    cv = CrossValidator(estimator=pipe, estimatorParamMaps=grid, evaluator=idx_pred, foldCol="fold",
+                        parallelism=2, seed=presets.SEED)
+    model = cv.fit(data)
+    rows = [(float(pm[svm.regParam]), float(m)) for pm, m in zip(grid, model.avgMetrics)]
+    return spark.createDataFrame(rows, "reg_param double, avg_macro_f1 double")
+
+
+# --------------------------------------------------------------------------
+# Topics
+# --------------------------------------------------------------------------
+
+def _lda(spark, base, k: int = LDA_K):
+    toks = doc_tokens(spark, base, True).filter(F.size("tokens") >= 3)
+    cvm = md.bag_of_words(toks, "tokens", min_df=5, max_df=0.5)
+    bow = cvm.transform(toks).select("doc_id", "tokens", "bow").persist()
+    model = md.fit_lda(bow, k, max_iter=LDA_ITER)
+    return bow, cvm.vocabulary, model
+
+
+@query("lda_topics")
+def lda_topics(spark, base):
+    _, vocab, model = _lda(spark, base)
+    words = md.topic_words(model, vocab, presets.TOP_WORDS)
+    return (words.groupBy("topic").agg(F.array_sort(F.collect_list(F.struct("rank", "term"))).alias("_w"))
+                 .select("topic", F.array_join(F.transform("_w", lambda s: s.getField("term")), ", ")
+                         .alias("top_words")))
+
+
+@query("topic_top_words")
+def topic_top_words(spark, base):
+    _, vocab, model = _lda(spark, base)
+    return md.topic_words(model, vocab, presets.TOP_WORDS)
+
+
+@query("document_topics")
+def document_topics(spark, base):
+    bow, _, model = _lda(spark, base)
+    return md.document_topics(model, bow, "doc_id")
+
+
+def _coherence(bow, vocab, model):
+    top = md.topic_words(model, vocab, presets.TOP_WORDS).select("topic", "term")
+    words = [r["term"] for r in top.select("term").distinct().collect()]  # K x N words at most
+    counts = md.window_cooccurrence(bow, "tokens", words)
+    return md.coherence_cv(top, counts)
+
+
+@query("topic_coherence")
+def topic_coherence(spark, base):
+    bow, vocab, model = _lda(spark, base)
+    return _coherence(bow, vocab, model)
+
+
+@query("topic_relevance")
+def topic_relevance(spark, base):
+    bow, vocab, model = _lda(spark, base)
+    weights = md.topic_words(model, vocab, len(vocab))
+    freq = (bow.select(F.explode("tokens").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n")))
+    rel = tp.relevance(weights.select("topic", "term", "weight"), freq, lam=0.6)
+    return tp.representative(rel, "topic", "relevance", "term", 30).select("topic", "rank", "term", "relevance")
+
+
+@query("best_k")
+def best_k(spark, base):
+    scores = []
+    for k in (3, 4, 5):
+        bow, vocab, model = _lda(spark, base, k)
+        c = _coherence(bow, vocab, model).agg(F.avg("coherence_cv")).first()[0]
+        scores.append((k, float(c)))
+    table = spark.createDataFrame(scores, "topics int, coherence_cv double")
+    best = ev.best_row(table, "coherence_cv", "topics").select("topics", F.lit(True).alias("best"))
+    return table.join(best, "topics", "left").select("topics", "coherence_cv",
+                                                     F.coalesce("best", F.lit(False)).alias("best"))
