@@ -1 +1,45 @@
-"""io_queries."""
+"""Round trips through the file sinks and sources, into the shared scratch folder."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from murmur.plans.registry import query
+from murmur.session import scratch_dir
+from murmur.sources import files
+from murmur.sources.tables import read_table
+
+_DOC_SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("lang", T.StringType()),
+                            T.StructField("source", T.StringType()), T.StructField("text", T.StringType())])
+_DOC_SQL = "SELECT doc_id, lang, source, text FROM documents"
+
+
+@query("read_json_corpus", _DOC_SQL)
+def read_json_corpus(spark, base):
+    path = scratch_dir(spark, "jsonl")
+    files.write_json(read_table(spark, base, "documents").select("doc_id", "lang", "source", "text"), path)
+    back = files.read_json_corpus(spark, path, _DOC_SCHEMA)
+    return back.select("doc_id", "lang", "source", "text")
+
+
+@query("csv_roundtrip", _DOC_SQL)
+def csv_roundtrip(spark, base):
+    path = scratch_dir(spark, "csv")
+    files.write_csv(read_table(spark, base, "documents").select("doc_id", "lang", "source", "text"), path)
+    return files.read_csv_corpus(spark, path, _DOC_SCHEMA).select("doc_id", "lang", "source", "text")
+
+
+@query("partitioned_eligibility", """
+SELECT keyword_eligible, count(*) AS n FROM (
+""" + __import__("murmur.plans.corpus_queries", fromlist=["_ELIG_SQL"])._ELIG_SQL + """
+) GROUP BY keyword_eligible
+""")
+def partitioned_eligibility(spark, base):
+    """Eligible / ineligible comments written in one pass, partitioned by the flag,
+    then counted from the written partitions (partition pruning on read)."""
+    from murmur.plans.corpus_queries import keyword_eligibility
+    path = scratch_dir(spark, "eligibility")
+    files.write_table(keyword_eligibility(spark, base), path, partition_by=["keyword_eligible"])
+    back = spark.read.parquet(path).withColumn("keyword_eligible", F.col("keyword_eligible").cast("boolean"))
+    return back.groupBy("keyword_eligible").agg(F.count(F.lit(1)).alias("n"))

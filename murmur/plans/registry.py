@@ -41,7 +41,7 @@ def load_all() -> None:
         io_queries,
         model_queries,
         sampling_queries,
-        stream_queries,
         text_queries,
         topic_queries,
     )
+    from murmur.plans import stream_queries  # noqa: F401  (reuses batch oracle SQL)
