@@ -77,7 +77,8 @@ def exact_sample(df: DataFrame, id_col: str, n: int | None = None, fraction: flo
     else:
         size = F.floor(F.lit(float(fraction)) * F.col("_stratum_n"))
         ranked = ranked.withColumn("_guard", F.lit(None))
-    return ranked.filter((F.col("sample_rank") <= size) | F.col("_guard").isNotNull()).drop("_guard", "_stratum_n")
+    # The guard is evaluated first on every row, so an impossible request fails.
+    return ranked.filter(F.col("_guard").isNull() & (F.col("sample_rank") <= size)).drop("_guard", "_stratum_n")
 
 
 def _approximate_mode(counts: DataFrame, key: str, n_col: str, draws: Column, out: str) -> DataFrame:
