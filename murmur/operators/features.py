@@ -14,15 +14,25 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def explode_terms(df: DataFrame, tokens: str | Column, *keep: str, name: str = "term") -> DataFrame:
+    """One row per token.
+
+    ``explode_outer`` + a null filter instead of ``explode``: for ``explode`` the
+    optimizer infers ``size(tokens) > 0`` and pushes it into the scan, which
+    would run the whole tokenizer a second time per row.
+    """
+    col = F.col(tokens) if isinstance(tokens, str) else tokens
+    return df.select(*keep, F.explode_outer(col).alias(name)).filter(F.col(name).isNotNull())
+
+
 def term_frequencies(df: DataFrame, id_col: str, tokens_col: str) -> DataFrame:
     """(id, term, tf)."""
-    return (df.select(id_col, F.explode(tokens_col).alias("term"))
-              .groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf")))
+    return explode_terms(df, tokens_col, id_col).groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def document_frequency(df: DataFrame, tokens_col: str) -> DataFrame:
     """(term, df): in how many documents each term occurs."""
-    return (df.select(F.explode(F.array_distinct(tokens_col)).alias("term"))
+    return (explode_terms(df, F.array_distinct(tokens_col))
               .groupBy("term").agg(F.count(F.lit(1)).alias("df")))
 
 
@@ -80,7 +90,7 @@ def vocab_rank(df: DataFrame, tokens_col: str, num_words: int) -> DataFrame:
     """Keras-style word index: (term, n, word_id), id 1 is out-of-vocabulary,
     the most frequent term is 2; only ids below ``num_words`` are kept.
     Ties are broken by term (not by first appearance)."""
-    counts = df.select(F.explode(tokens_col).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    counts = explode_terms(df, tokens_col).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
     top = top_k_rank(counts, "term", "n", max(num_words - 2, 0))
     return top.select("term", "n", (F.col("rank") + 1).cast("long").alias("word_id"))
 

@@ -51,7 +51,8 @@ def mean_vectors(df: DataFrame, id_col: str, tokens_col: str, vectors: DataFrame
     not the same.) Tokens are joined to the vector table (vocabulary-sized, so
     AQE may broadcast it), then ``Summarizer.mean`` folds vectors per document.
     """
-    ex = df.select(id_col, F.explode(tokens_col).alias("word"))
+    from murmur.operators.features import explode_terms
+    ex = explode_terms(df, tokens_col, id_col, name="word")
     j = ex.join(vectors.select("word", "vector"), "word", "inner")
     means = j.groupBy(id_col).agg(Summarizer.mean(F.col("vector")).alias("_m"), F.count(F.lit(1)).alias("n_in_vocab"))
     means = means.select(id_col, "n_in_vocab", vector_to_array("_m").alias("_a"))

@@ -14,7 +14,8 @@ def min_token_filter(df: DataFrame, tokens_col: str, n: int = 3) -> DataFrame:
 
 def vocabulary(df: DataFrame, tokens_col: str) -> DataFrame:
     """Distinct terms; duplicates inside a document are dropped before the shuffle."""
-    return df.select(F.explode(F.array_distinct(tokens_col)).alias("term")).distinct()
+    from murmur.operators.features import explode_terms
+    return explode_terms(df, F.array_distinct(tokens_col)).distinct()
 
 
 def plural_lemma_table(df: DataFrame, tokens_col: str, min_chars: int = 2) -> DataFrame:

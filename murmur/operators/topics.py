@@ -30,7 +30,8 @@ def top_terms(df: DataFrame, group_col: str, tokens_col: str, n: int) -> DataFra
     before the shuffle as well, so a group with a third of all rows still
     ships only ``n`` rows per map task.
     """
-    counts = (df.select(group_col, F.explode(tokens_col).alias("term"))
+    from murmur.operators.features import explode_terms
+    counts = (explode_terms(df, tokens_col, group_col)
                 .groupBy(group_col, "term").agg(F.count(F.lit(1)).alias("n")))
     w = Window.partitionBy(group_col).orderBy(F.col("n").desc(), F.col("term"))
     return counts.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n).select(
