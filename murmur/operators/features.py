@@ -113,17 +113,19 @@ def pad_sequences(df: DataFrame, id_col: str, tokens_col: str, vocab: DataFrame,
     return seqs.select(id_col, padded.alias("sequence"))
 
 
-def vector_stats(df: DataFrame, vec_col: str) -> DataFrame:
-    """(dim, mean, sd) per dimension; sd is the sample standard deviation."""
+def vector_stats(df: DataFrame, vec_col: str, population: bool = False) -> DataFrame:
+    """(dim, mean, sd) per dimension; sample sd (Spark's scaler) or population sd
+    (``population=True``, the scikit-learn convention)."""
     ex = df.select(F.posexplode(vec_col).alias("dim", "_x"))
+    sd = F.stddev_pop if population else F.stddev_samp
     return ex.groupBy("dim").agg(F.avg(F.col("_x").cast("double")).alias("mean"),
-                                 F.stddev_samp(F.col("_x").cast("double")).alias("sd"))
+                                 sd(F.col("_x").cast("double")).alias("sd"))
 
 
-def standardise_long(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
+def standardise_long(df: DataFrame, id_col: str, vec_col: str, population: bool = False) -> DataFrame:
     """(id, dim, z) with z = (x - mean) / sd; the stats table has one row per
     dimension, so broadcasting it is bounded by the vector width."""
-    stats = vector_stats(df, vec_col)
+    stats = vector_stats(df, vec_col, population)
     ex = df.select(id_col, F.posexplode(vec_col).alias("dim", "_x"))
     j = ex.join(F.broadcast(stats), "dim")
     z = F.when(F.col("sd") > 0, (F.col("_x").cast("double") - F.col("mean")) / F.col("sd")).otherwise(0.0)

@@ -14,7 +14,7 @@ from collections.abc import Sequence
 import numpy as np
 import pandas as pd
 from pyspark import keyword_only
-from pyspark.ml import Estimator, Model, Pipeline, Transformer
+from pyspark.ml import Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import LinearSVC, OneVsRest
 from pyspark.ml.clustering import LDA
 from pyspark.ml.evaluation import Evaluator
@@ -330,3 +330,43 @@ def coherence_cv(top: DataFrame, counts: DataFrame, eps: float = 1e-12) -> DataF
                                         (F.sqrt(F.sum(F.col("v") * F.col("v"))) *
                                          F.sqrt(F.sum(F.col("vs") * F.col("vs"))))).alias("c"))
     return cos.groupBy("topic").agg(F.avg(F.coalesce("c", F.lit(0.0))).alias("coherence_cv"))
+
+
+# --------------------------------------------------------------------------
+# Model dispatch: kind -> scorer, with an availability probe
+# --------------------------------------------------------------------------
+
+class ScorerRegistry:
+    """``kind -> (DataFrame -> DataFrame)`` scorers; a kind whose model is not
+    available (e.g. no saved pipeline) is reported, not silently skipped."""
+
+    def __init__(self):
+        self._scorers: dict = {}
+
+    def register(self, kind: str, loader):
+        """``loader()`` returns a scorer or None when the model is unavailable."""
+        self._scorers[kind] = loader
+        return self
+
+    def available(self) -> list[str]:
+        return [k for k, load in self._scorers.items() if load() is not None]
+
+    def score(self, kind: str, df: DataFrame) -> DataFrame:
+        if kind not in self._scorers:
+            raise KeyError(f"unknown model kind {kind!r}; known: {sorted(self._scorers)}")
+        scorer = self._scorers[kind]()
+        if scorer is None:
+            raise RuntimeError(f"model {kind!r} is not available")
+        return scorer(df)
+
+
+def saved_pipeline_loader(spark, path: str, out_col: str = "predicted_label"):
+    """Loader for a saved text pipeline; None if nothing is saved at ``path``."""
+    from murmur.sources.files import _fs_exists
+
+    def load():
+        if not _fs_exists(spark, path):
+            return None
+        model = PipelineModel.load(path)
+        return lambda df: decode_predictions(model, model.transform(df), out_col)
+    return load

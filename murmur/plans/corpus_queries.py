@@ -40,7 +40,7 @@ FROM flags
 
 @query("keyword_eligibility", _ELIG_SQL)
 def keyword_eligibility(spark, base):
-    return el.keyword_eligibility(read_table(spark, base, "conversations", spread_key="conv_id"), KW)
+    return el.keyword_eligibility(read_table(spark, base, "conversations", spread_key=["conv_id", "turn"]), KW)
 
 
 @query("keyword_match", f"""
@@ -68,7 +68,7 @@ def substantive(spark, base):
 SELECT conv_id, turn, {S.non_blank('text')} AS valid_comment FROM conversations
 """)
 def valid_comments(spark, base):
-    c = read_table(spark, base, "conversations", spread_key="conv_id").select("conv_id", "turn", "text")
+    c = read_table(spark, base, "conversations", spread_key=["conv_id", "turn"]).select("conv_id", "turn", "text")
     return el.valid_comments(c, keep_flag=True).select("conv_id", "turn", "valid_comment")
 
 
@@ -121,7 +121,7 @@ FROM u
 def merge_sources(spark, base):
     from murmur.operators.ingest import merge_sources as merge
     merged = merge({"documents": read_table(spark, base, "documents"),
-                    "conversations": read_table(spark, base, "conversations", spread_key="conv_id"),
+                    "conversations": read_table(spark, base, "conversations", spread_key=["conv_id", "turn"]),
                     "benchmark": read_table(spark, base, "benchmark")},
                    {"documents": ["doc_id"], "conversations": ["conv_id", "turn"], "benchmark": ["item_id"]})
     key = F.coalesce(F.col("doc_id").cast("string"), F.col("item_id").cast("string"),
@@ -136,7 +136,7 @@ SELECT_FRACTION = 0.5
 def _flagged_comments(spark, base):
     """Every comment row with validity, eligibility and selection flags."""
     from murmur.operators.sampling import stratified_rank
-    conv = read_table(spark, base, "conversations", spread_key="conv_id").select("conv_id", "turn", "text")
+    conv = read_table(spark, base, "conversations", spread_key=["conv_id", "turn"]).select("conv_id", "turn", "text")
     comments = el.comments_with_parent_flag(conv, KW)
     flagged = el.add_keyword_flags(comments, title_col=None, keywords=KW, title_flag_col="_parent_match")
     flagged = flagged.withColumns({"valid_record": F.lit(True), "non_empty_valid": tx.non_blank("text")})
@@ -208,7 +208,7 @@ SELECT c.conv_id, c.turn,
 FROM conversations c LEFT JOIN p ON c.conv_id = p.conv_id WHERE c.turn >= 1
 """)
 def prompt_text(spark, base):
-    conv = read_table(spark, base, "conversations", spread_key="conv_id").select("conv_id", "turn", "text")
+    conv = read_table(spark, base, "conversations", spread_key=["conv_id", "turn"]).select("conv_id", "turn", "text")
     parents = conv.filter("turn = 0").select("conv_id", F.col("text").alias("_title"))
     comments = conv.filter("turn >= 1").join(parents, "conv_id", "left")
     return comments.select("conv_id", "turn", tx.prompt_text("text", "_title").alias("prompt_text"))

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 
 
-def read_table(spark: SparkSession, base_dir: str, name: str, spread_key: str | None = None) -> DataFrame:
+def read_table(spark: SparkSession, base_dir: str, name: str,
+               spread_key: str | Sequence[str] | None = None) -> DataFrame:
     """``base_dir/name.parquet`` as a DataFrame.
 
     Nothing is selected here on purpose: callers project the columns they need
@@ -18,13 +21,15 @@ def read_table(spark: SparkSession, base_dir: str, name: str, spread_key: str |
     return spread(df, spread_key) if spread_key else df
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
+def spread(df: DataFrame, key: str | Sequence[str]) -> DataFrame:
     """Hash-partition by ``key`` only if the input has fewer partitions than cores.
 
-    Hash (not round-robin) so a later aggregate or window keyed by ``key``
+    ``key`` must be unique per row (a document id), so no value can pile up in
+    one task. Hash (not round-robin) so a later aggregate or window keyed by it
     (or a superset of it) reuses the partitioning instead of shuffling again.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores * 2, key)
+        keys = [key] if isinstance(key, str) else list(key)
+        return df.repartition(cores * 2, *keys)
     return df

@@ -196,3 +196,59 @@ def test_lexicon_rules(spark):
     assert out[2] == ("POSITIVE", "MEDIUM")
     assert out[3] == ("UNCERTAIN", "LOW")
     assert out[4] == ("NEUTRAL", "MEDIUM")
+
+
+def test_stopword_algebra():
+    from murmur.functions.presets import BASIC_STOPWORDS, NEGATORS
+    stop = set(tx.default_stopwords())
+    assert "not" not in stop and "no" not in stop and "the" in stop
+    assert stop == set(BASIC_STOPWORDS) - set(NEGATORS)
+
+
+def test_read_first_existing(spark, tmp_path):
+    from murmur.sources.files import read_first_existing
+    good = str(tmp_path / "named")
+    spark.range(3).write.parquet(good)
+    assert read_first_existing(spark, [str(tmp_path / "missing"), good]).count() == 3
+    assert read_first_existing(spark, [str(tmp_path / "missing")]) is None
+
+
+def test_json_corpus_array_and_lines(spark, tmp_path):
+    from murmur.sources.files import read_json_corpus
+    arr = tmp_path / "a.json"
+    arr.write_text('[{"text": "é un", "commentId": "1"},\n {"text": "b", "commentId": "2"}]', encoding="utf-8")
+    lines = tmp_path / "l.json"
+    lines.write_text('{"text": "x", "commentId": "1"}\n{"text": "y"}\n', encoding="utf-8")
+    schema = T.StructType([T.StructField("commentId", T.StringType()), T.StructField("text", T.StringType())])
+    a = read_json_corpus(spark, str(arr), schema)
+    b = read_json_corpus(spark, str(lines), schema)
+    assert sorted(r["text"] for r in a.collect()) == ["b", "é un"]
+    assert b.count() == 2
+
+
+def test_plugin_annotator_errors_become_rows(spark):
+    def fn(rec):
+        if rec["text"] == "boom":
+            raise ConnectionError("server down " * 20)
+        return {"label": "NEUTRAL", "confidence": "HIGH", "rationale": "r", "rule_applied": "x"}
+    df = spark.createDataFrame([(1, "fine"), (2, "boom")], "id long, text string")
+    out = {r["id"]: r for r in an.annotate_with(df, fn, "id").collect()}
+    assert out[1]["ai_label"] == "NEUTRAL"
+    assert out[2]["ai_label"] == "ERROR" and len(out[2]["ai_rationale"]) == 100
+
+
+def test_scorer_registry(spark):
+    from murmur.operators.models import ScorerRegistry
+    reg = ScorerRegistry().register("echo", lambda: (lambda d: d)).register("missing", lambda: None)
+    assert reg.available() == ["echo"]
+    df = spark.range(2)
+    assert reg.score("echo", df).count() == 2
+    with pytest.raises(RuntimeError):
+        reg.score("missing", df)
+
+
+def test_population_sd(spark):
+    df = spark.createDataFrame([(1, [1.0]), (2, [3.0])], "id int, v array<double>")
+    samp = {r["id"]: r["z"] for r in fx.standardise_long(df, "id", "v").collect()}
+    pop = {r["id"]: r["z"] for r in fx.standardise_long(df, "id", "v", population=True).collect()}
+    assert pop[2] == pytest.approx(1.0) and samp[2] == pytest.approx(2 ** -0.5)
