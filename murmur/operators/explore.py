@@ -30,15 +30,22 @@ def faceted_filter(df: DataFrame, facets: Facets, label_col: str = "sentiment",
     Undated rows are dropped whenever a date range is active. The predicates
     are plain column comparisons, so they reach the Parquet scan.
     """
-    cond: Column = F.lit(True)
+    # Plain conjuncts (a filter already treats null as false) so each one can
+    # be pushed into the Parquet scan; the date test is a timestamp range.
+    conds: list[Column] = []
     if facets.sentiments is not None:
-        cond = cond & F.col(label_col).isin(*facets.sentiments)
+        conds.append(F.col(label_col).isin(*facets.sentiments))
     if facets.themes:
-        cond = cond & reduce(lambda a, b: a | b, [F.col(t) for t in facets.themes])
+        conds.append(reduce(lambda a, b: a | b, [F.col(t) for t in facets.themes]))
     if date_col is not None and facets.date_from is not None and facets.date_to is not None:
-        d = F.to_date(F.col(date_col))
-        cond = cond & d.between(F.lit(str(facets.date_from)).cast("date"), F.lit(str(facets.date_to)).cast("date"))
-    return df.filter(F.coalesce(cond, F.lit(False)))
+        start = F.lit(str(facets.date_from)).cast("date")
+        end = F.date_add(F.lit(str(facets.date_to)).cast("date"), 1)
+        ts = F.col(date_col)
+        conds.append((ts >= start) & (ts < end))
+    out = df
+    for c in conds:
+        out = out.filter(c)
+    return out
 
 
 def label_shares(df: DataFrame, label_col: str, labels: Sequence[str]) -> DataFrame:

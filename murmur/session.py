@@ -45,6 +45,18 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8,
     return spark
 
 
+# Runtime settings the queries' semantics depend on (weeks and dates are UTC).
+RUNTIME_CONF = {"spark.sql.session.timeZone": "UTC"}
+
+
+def prepare_session(spark: SparkSession) -> None:
+    """Apply the runtime settings to a session built elsewhere (e.g. by a driver)."""
+    for k, v in RUNTIME_CONF.items():
+        if spark.conf.get(k, None) != v:
+            spark.conf.set(k, v)
+    ensure_checkpoint_dir(spark)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the session's checkpoint folder, creating a local one only if unset."""
     current = spark.conf.get("spark.checkpoint.dir", None)
