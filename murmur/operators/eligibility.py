@@ -114,3 +114,35 @@ def funnel_long(counts: DataFrame) -> DataFrame:
     return long.select(
         F.col("stage_order").cast("int").alias("stage_order"), "stage", F.col("n").cast("long").alias("n"),
         F.round(F.col("n") * 100.0 / F.nullif(F.col("_raw"), F.lit(0)), 6).alias("pct_of_raw"))
+
+
+SELECTION_EXPORT = ("_doc_id", "_record_key", "date", "text", "postTitle", "facebookUrl", "commentUrl",
+                    "_dataset_name", "keyword_match_source", "comment_keyword_match", "post_title_keyword_match")
+
+
+def write_selection_outputs(flagged: DataFrame, selected: DataFrame, counts: DataFrame, out_dir: str,
+                            sample_size: int, seed: int, keyword_count: int, rule: str) -> DataFrame:
+    """Write eligible / ineligible / selected CSVs and the manifest (one JSON record
+    with a nested ``outputs`` struct). ``flagged`` is persisted by the caller if
+    it is expensive: it feeds two outputs. Returns the manifest frame."""
+    from murmur.sources.files import write_csv, write_json
+    from murmur.sources.schema import select_present
+
+    paths = {"eligible": f"{out_dir}/keyword_eligible_comments",
+             "ineligible": f"{out_dir}/keyword_ineligible_comments",
+             "selected": f"{out_dir}/selected_comments_for_annotation_{sample_size}_seed{seed}"}
+    eligible, ineligible = split_eligible(flagged)
+    write_csv(select_present(eligible, SELECTION_EXPORT), paths["eligible"])
+    write_csv(select_present(ineligible, SELECTION_EXPORT), paths["ineligible"])
+    write_csv(select_present(selected, SELECTION_EXPORT), paths["selected"])
+    manifest = counts.select(
+        F.lit(sample_size).alias("sample_size"), F.lit(seed).alias("random_seed"),
+        F.lit(keyword_count).alias("keyword_count"), "raw_records",
+        F.col("valid_records").alias("valid_raw_records_excluding_scraper_errors"),
+        F.col("non_empty_valid").alias("non_empty_valid_comments"),
+        F.col("keyword_eligible").alias("keyword_eligible_comments"),
+        F.col("keyword_ineligible").alias("keyword_ineligible_comments"),
+        F.col("selected").alias("selected_comments"), F.lit(rule).alias("selection_rule"),
+        F.struct(*[F.lit(v).alias(k) for k, v in paths.items()]).alias("outputs"))
+    write_json(manifest.coalesce(1), f"{out_dir}/selection_manifest_{sample_size}_seed{seed}")
+    return manifest

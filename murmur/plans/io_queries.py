@@ -43,3 +43,34 @@ def partitioned_eligibility(spark, base):
     files.write_table(keyword_eligibility(spark, base), path, partition_by=["keyword_eligible"])
     back = spark.read.parquet(path).withColumn("keyword_eligible", F.col("keyword_eligible").cast("boolean"))
     return back.groupBy("keyword_eligible").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("selection_outputs")
+def selection_outputs(spark, base):
+    """Eligible / ineligible / selected CSVs and the JSON manifest, read back."""
+    from murmur.functions import presets
+    from murmur.operators import eligibility as el
+    from murmur.plans.corpus_queries import KW, SELECT_FRACTION, _RULE, _flagged_comments
+    flagged = _flagged_comments(spark, base).withColumn(
+        "_doc_id", F.concat_ws(":", "conv_id", "turn")).persist()
+    selected = flagged.filter("selected")
+    out = scratch_dir(spark, "selection")
+    el.write_selection_outputs(flagged, selected, el.funnel_counts(flagged), out, sample_size=-1,
+                               seed=presets.SEED, keyword_count=len(KW), rule=_RULE + f" fraction={SELECT_FRACTION}")
+    return spark.read.json(out + "/selection_manifest_-1_seed42")
+
+
+_SPLIT_COUNTS = __import__("murmur.plans.sampling_queries", fromlist=["SPLIT_CTE"]).SPLIT_CTE + """
+SELECT split, lang, count(*) AS n FROM split WHERE split IN ('train', 'val') GROUP BY split, lang
+"""
+
+
+@query("development_rows", _SPLIT_COUNTS)
+def development_rows(spark, base):
+    """The split table stored partitioned by ``split``; reading train + val back
+    prunes the test partition instead of filtering rows."""
+    from murmur.plans.sampling_queries import doc_split
+    path = scratch_dir(spark, "split")
+    files.write_table(doc_split(spark, base), path, partition_by=["split"])
+    dev = spark.read.parquet(path).filter(F.col("split").isin("train", "val"))
+    return dev.groupBy("split", "lang").agg(F.count(F.lit(1)).alias("n"))

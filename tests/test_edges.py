@@ -252,3 +252,45 @@ def test_population_sd(spark):
     samp = {r["id"]: r["z"] for r in fx.standardise_long(df, "id", "v").collect()}
     pop = {r["id"]: r["z"] for r in fx.standardise_long(df, "id", "v", population=True).collect()}
     assert pop[2] == pytest.approx(1.0) and samp[2] == pytest.approx(2 ** -0.5)
+
+
+def test_tfidf_matches_formula(spark):
+    import math
+    docs = [(1, ["a", "b", "b"]), (2, ["a", "c"]), (3, ["d"]), (4, [])]
+    df = spark.createDataFrame(docs, "id int, t array<string>")
+    got = {(r["id"], r["term"]): r["tfidf"] for r in fx.tfidf(df, "id", "t", min_df=1).collect()}
+    n = len(docs)
+    dfreq = {"a": 2, "b": 1, "c": 1, "d": 1}
+    for doc_id, toks in docs:
+        w = {t: (1 + math.log(toks.count(t))) * (math.log((1 + n) / (1 + dfreq[t])) + 1) for t in set(toks)}
+        norm = math.sqrt(sum(v * v for v in w.values())) or 1
+        for t, v in w.items():
+            assert got[(doc_id, t)] == pytest.approx(v / norm, abs=1e-12)
+    # min_df=2 keeps only 'a'; max_features=1 keeps the most frequent term
+    assert {k[1] for k in [(r["id"], r["term"]) for r in fx.tfidf(df, "id", "t", min_df=2).collect()]} == {"a"}
+    top1 = {r["term"] for r in fx.tfidf(df, "id", "t", min_df=1, max_features=1).collect()}
+    assert top1 == {"a"} or top1 == {"b"}
+
+
+def test_window_cooccurrence_brute_force(spark):
+    from murmur.operators.models import window_cooccurrence
+    import random
+    rnd = random.Random(7)
+    vocab = ["w%d" % i for i in range(8)]
+    docs = [[rnd.choice(vocab + ["x", "y", "z"]) for _ in range(rnd.randint(0, 40))] for _ in range(30)]
+    words = vocab[:5]
+    window = 6
+    exp = {}
+    total = 0
+    for toks in docs:
+        spans = [toks[i:i + window] for i in range(max(len(toks) - window + 1, 1))]
+        total += len(spans)
+        for s in spans:
+            present = sorted(set(s) & set(words))
+            for i, a in enumerate(present):
+                for b in present[i:]:
+                    exp[(a, b)] = exp.get((a, b), 0) + 1
+    df = spark.createDataFrame([(d,) for d in docs], "tokens array<string>")
+    got = {(r["w1"], r["w2"]): r["n"] for r in window_cooccurrence(df, "tokens", words, window).collect()}
+    assert got.pop(("", "")) == total
+    assert got == exp
