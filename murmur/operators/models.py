@@ -37,8 +37,12 @@ from murmur.functions.text import WS_RE
 # --------------------------------------------------------------------------
 
 def fit_word2vec(df: DataFrame, tokens_col: str, vector_size: int = 300, window: int = 5, min_count: int = 2,
-                 epochs: int = 1, seed: int = presets.SEED, partitions: int = 1):
-    """Skip-gram Word2Vec. ``partitions > 1`` trains faster but is not bit-reproducible."""
+                 epochs: int = 1, seed: int = presets.SEED, partitions: int | None = None):
+    """Skip-gram Word2Vec trained on ``partitions`` parallel shards (default: one
+    per core of the cluster). ``partitions=1`` is bit-reproducible but trains the
+    whole corpus in a single task, which does not scale."""
+    if partitions is None:
+        partitions = df.sparkSession.sparkContext.defaultParallelism
     w2v = Word2Vec(vectorSize=vector_size, windowSize=window, minCount=min_count, maxIter=epochs, seed=seed,
                    numPartitions=partitions, inputCol=tokens_col, outputCol="_w2v")
     return w2v.fit(df)
