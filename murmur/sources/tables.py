@@ -28,8 +28,12 @@ def spread(df: DataFrame, key: str | Sequence[str]) -> DataFrame:
     one task. Hash (not round-robin) so a later aggregate or window keyed by it
     (or a superset of it) reuses the partitioning instead of shuffling again.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < cores:
+    try:
+        cores = df.sparkSession.sparkContext.defaultParallelism
+        splits = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 - remote session: leave the scan as planned
+        return df
+    if splits < cores:
         keys = [key] if isinstance(key, str) else list(key)
         return df.repartition(cores * 2, *keys)
     return df
