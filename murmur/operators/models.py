@@ -374,3 +374,13 @@ def saved_pipeline_loader(spark, path: str, out_col: str = "predicted_label"):
         model = PipelineModel.load(path)
         return lambda df: decode_predictions(model, model.transform(df), out_col)
     return load
+
+
+def embedding_matrix(vocab: DataFrame, vectors: DataFrame, dim: int) -> DataFrame:
+    """(word_id, term, vector, found): one row per vocabulary id; a term without a
+    vector gets zeros (the embedding layer's initial matrix)."""
+    from pyspark.ml.functions import vector_to_array as v2a
+    vec = vectors.select(F.col("word").alias("term"), v2a("vector").alias("_v"))
+    j = vocab.select("word_id", "term").join(vec, "term", "left")
+    return j.select("word_id", "term", F.coalesce("_v", F.array_repeat(F.lit(0.0), dim)).alias("vector"),
+                    F.col("_v").isNotNull().alias("found"))

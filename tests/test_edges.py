@@ -294,3 +294,22 @@ def test_window_cooccurrence_brute_force(spark):
     got = {(r["w1"], r["w2"]): r["n"] for r in window_cooccurrence(df, "tokens", words, window).collect()}
     assert got.pop(("", "")) == total
     assert got == exp
+
+
+def test_hot_stratum_is_ranked_in_parallel(spark):
+    # Every row in one stratum: the plain window would run in one task.
+    df = spark.range(0, 40000).withColumn("g", F.lit("hot")).withColumnRenamed("id", "doc_id")
+    ranked = sm.stratified_rank(df, "doc_id", ["g"])
+    per_part = [r["count"] for r in ranked.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+    assert len(per_part) > 1 and max(per_part) < 40000
+    assert ranked.agg(F.min("sample_rank"), F.max("sample_rank"), F.countDistinct("sample_rank")).first()[:] == (1, 40000, 40000)
+
+
+def test_embedding_matrix_zero_fill(spark):
+    from murmur.operators.models import embedding_matrix
+    from pyspark.ml.linalg import Vectors, VectorUDT
+    vocab = spark.createDataFrame([(2, "a"), (3, "b")], "word_id long, term string")
+    vecs = spark.createDataFrame([("a", Vectors.dense([1.0, 2.0]))],
+                                 T.StructType([T.StructField("word", T.StringType()), T.StructField("vector", VectorUDT())]))
+    m = {r["term"]: (r["vector"], r["found"]) for r in embedding_matrix(vocab, vecs, 2).collect()}
+    assert m == {"a": ([1.0, 2.0], True), "b": ([0.0, 0.0], False)}
