@@ -124,7 +124,7 @@ def grid_search_cv(spark, base):
     grid = ParamGridBuilder().addGrid(svm.regParam, [0.01, 0.1]).build()
     idx_pred = md.MacroF1Evaluator(labelCol="_y", predictionCol="_pred")
     cv = CrossValidator(estimator=pipe, estimatorParamMaps=grid, evaluator=idx_pred, foldCol="fold",
-                        parallelism=2, seed=presets.SEED)
+                        parallelism=4, seed=presets.SEED)
     model = cv.fit(data)
     rows = [(float(pm[svm.regParam]), float(m)) for pm, m in zip(grid, model.avgMetrics)]
     return spark.createDataFrame(rows, "reg_param double, avg_macro_f1 double")
