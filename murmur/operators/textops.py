@@ -34,18 +34,24 @@ def plural_lemma_table(df: DataFrame, tokens_col: str, min_chars: int = 2) -> Da
 def apply_lemmas(df: DataFrame, id_col: str, tokens_col: str, lemmas: DataFrame) -> DataFrame:
     """Replace tokens by their lemma (identity when absent), keeping token order.
 
-    The lemma table may be vocabulary-sized, so it is joined (AQE broadcasts it
-    only when its measured size is small) rather than shipped as a literal map.
-    Regrouping by document is bounded by one document's length.
+    Only the *distinct* tokens of each document meet the lemma table (a join:
+    the table may be vocabulary-sized, AQE broadcasts it only when its measured
+    size is small). The matches of one document become a small replacement map
+    (bounded by that document's vocabulary), joined back by document id and
+    applied in place with ``transform`` — token positions are never exploded
+    or regrouped.
     """
-    ex = df.select(id_col, F.posexplode_outer(tokens_col).alias("_pos", "_tok"))
-    joined = ex.join(lemmas, ex["_tok"] == lemmas["form"], "left")
-    item = F.when(F.col("_tok").isNotNull(),
-                  F.struct(F.col("_pos"), F.coalesce(F.col("lemma"), F.col("_tok")).alias("w")))
-    grouped = joined.groupBy(id_col).agg(
-        F.array_sort(F.collect_list(item)).alias("_items"),
-        F.count(F.col("lemma")).alias("n_changed"))
-    return grouped.select(id_col, F.transform("_items", lambda s: s.getField("w")).alias("lemmatised"), "n_changed")
+    from murmur.operators.features import explode_terms
+    cand = explode_terms(df, F.array_distinct(tokens_col), id_col, name="form")
+    hits = cand.join(lemmas.select("form", "lemma"), "form", "inner")
+    maps = hits.groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.struct("form", "lemma"))).alias("_m"))
+    j = df.select(id_col, tokens_col).join(maps, id_col, "left")
+    m = F.col("_m")
+    lem = F.when(m.isNull(), F.col(tokens_col)).otherwise(
+        F.transform(tokens_col, lambda t: F.coalesce(F.element_at(m, t), t)))
+    changed = F.when(m.isNull(), F.lit(0)).otherwise(
+        F.size(F.filter(tokens_col, lambda t: F.element_at(m, t).isNotNull())))
+    return j.select(id_col, lem.alias("lemmatised"), changed.cast("long").alias("n_changed"))
 
 
 def lookup_first(df: DataFrame, label_col: str, target: DataFrame, order_col: str) -> DataFrame:
