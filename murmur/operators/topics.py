@@ -35,7 +35,7 @@ def top_terms(df: DataFrame, group_col: str, tokens_col: str, n: int) -> DataFra
                 .groupBy(group_col, "term").agg(F.count(F.lit(1)).alias("n")))
     w = Window.partitionBy(group_col).orderBy(F.col("n").desc(), F.col("term"))
     return counts.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n).select(
-        group_col, "rank", "term", "n")
+        group_col, F.col("rank").cast("long").alias("rank"), "term", "n")
 
 
 def dominant_topic(df: DataFrame, dist_col: str) -> DataFrame:

@@ -180,7 +180,7 @@ _RULE = ("Simple random sample without replacement from keyword-eligible comment
 
 
 @query("selection_manifest", _FUNNEL_CTE + f"""
-SELECT {SELECT_FRACTION} AS sample_fraction, {presets.SEED} AS random_seed, {len(KW)} AS keyword_count,
+SELECT CAST({SELECT_FRACTION} AS DOUBLE) AS sample_fraction, {presets.SEED} AS random_seed, {len(KW)} AS keyword_count,
        raw_records, valid_records AS valid_raw_records_excluding_scraper_errors,
        non_empty_valid AS non_empty_valid_comments, keyword_eligible AS keyword_eligible_comments,
        keyword_ineligible AS keyword_ineligible_comments, selected AS selected_comments,

@@ -17,6 +17,10 @@ TABLES = ("region nation customer supplier part orders lineitem events documents
           "pages benchmark labels conversations").split()
 
 
+SPARK_TO_DUCK = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR",
+                 "boolean": "BOOLEAN", "float": "FLOAT"}
+
+
 def duck(sf_dir: str):
     con = duckdb.connect()
     for t in TABLES:
@@ -61,7 +65,9 @@ def compare(spark, sf_dir: str, names=None, verbose=True):
     for name in names or sorted(qs):
         t0 = time.time()
         try:
-            sp = qs[name](spark, sf_dir).toPandas()
+            sdf = qs[name](spark, sf_dir)
+            stypes = {f.name: f.dataType.simpleString() for f in sdf.schema.fields}
+            sp = sdf.toPandas()
         except Exception as e:  # noqa: BLE001
             results[name] = f"SPARK-ERROR {type(e).__name__}: {str(e)[:300]}"
             if verbose:
@@ -74,7 +80,9 @@ def compare(spark, sf_dir: str, names=None, verbose=True):
                 print(f"{name:28s} {results[name]} {dt:.1f}s", flush=True)
             continue
         try:
-            dk = con.execute(sqls[name]).df()
+            rel = con.sql(sqls[name])
+            dtypes = dict(zip(rel.columns, [str(t) for t in rel.types]))
+            dk = rel.df()
         except Exception as e:  # noqa: BLE001
             results[name] = f"SQL-ERROR {str(e)[:300]}"
             if verbose:
@@ -82,8 +90,11 @@ def compare(spark, sf_dir: str, names=None, verbose=True):
             continue
         sc, sr = rows_of(sp)
         dc, dr = rows_of(dk)
+        type_bad = {c: (t, dtypes.get(c)) for c, t in stypes.items() if SPARK_TO_DUCK.get(t, t) != dtypes.get(c)}
         if sc != dc:
             res = f"COLS spark={sc} sql={dc}"
+        elif type_bad:
+            res = f"TYPES {type_bad}"
         elif len(sp) != len(dk):
             res = f"ROWS spark={len(sp)} sql={len(dk)}"
         elif sr != dr:
