@@ -140,7 +140,7 @@ def _flagged_comments(spark, base):
     comments = el.comments_with_parent_flag(conv, KW)
     flagged = el.add_keyword_flags(comments, title_col=None, keywords=KW, title_flag_col="_parent_match")
     flagged = flagged.withColumns({"valid_record": F.lit(True), "non_empty_valid": tx.non_blank("text")})
-    flagged = flagged.withColumn("_stratum", F.col("non_empty_valid") & F.col("keyword_eligible"))
+    flagged = flagged.withColumn("_stratum", F.col("non_empty_valid") & F.col("keyword_eligible")).drop("text")
     ranked = stratified_rank(flagged.withColumn("_id", F.concat_ws(":", "conv_id", "turn")), "_id", ["_stratum"])
     return ranked.withColumn(
         "selected", F.col("_stratum") & (F.col("sample_rank") <= F.floor(F.lit(SELECT_FRACTION) * F.col("_stratum_n"))))
