@@ -59,7 +59,7 @@ def stratified_rank(df: DataFrame, id_col: str, strata: Sequence[str] = (), seed
 
 
 def exact_sample(df: DataFrame, id_col: str, n: int | None = None, fraction: float | None = None,
-                 seed: int = presets.SEED, strata: Sequence[str] = ()) -> DataFrame:
+                 seed: int = presets.SEED, strata: Sequence[str] = (), bucket_hex: int = 4) -> DataFrame:
     """Simple random sample without replacement of exactly ``n`` rows (per stratum).
 
     With ``fraction`` the size is ``floor(fraction * population)``. Asking for
@@ -67,7 +67,7 @@ def exact_sample(df: DataFrame, id_col: str, n: int | None = None, fraction: flo
     """
     if (n is None) == (fraction is None):
         raise ValueError("give exactly one of n or fraction")
-    ranked = stratified_rank(df, id_col, strata, seed)
+    ranked = stratified_rank(df, id_col, strata, seed, bucket_hex=bucket_hex)
     if n is not None:
         size = F.lit(int(n))
         guard = F.when(F.col("_stratum_n") < size, F.raise_error(
@@ -120,9 +120,9 @@ def split_quotas(class_counts: DataFrame, label_col: str, test_size: float = 0.3
 
 
 def stratified_split(df: DataFrame, id_col: str, label_col: str, seed: int = presets.SEED,
-                     test_size: float = 0.30, second_test_size: float = 0.50) -> DataFrame:
+                     test_size: float = 0.30, second_test_size: float = 0.50, bucket_hex: int = 4) -> DataFrame:
     """Adds ``split`` in {train, val, test} with exact stratified sizes."""
-    ranked = stratified_rank(df, id_col, [label_col], seed, rank_col="_r")
+    ranked = stratified_rank(df, id_col, [label_col], seed, rank_col="_r", bucket_hex=bucket_hex)
     class_counts = df.groupBy(label_col).agg(F.count(F.lit(1)).alias("n_c"))
     quotas = split_quotas(class_counts, label_col, test_size, second_test_size)
     # One row per class of a closed label set: broadcasting it is bounded.
@@ -134,7 +134,7 @@ def stratified_split(df: DataFrame, id_col: str, label_col: str, seed: int = pre
 
 
 def stratified_folds(df: DataFrame, id_col: str, label_col: str, k: int = 10,
-                     seed: int = presets.SEED) -> DataFrame:
+                     seed: int = presets.SEED, bucket_hex: int = 4) -> DataFrame:
     """Adds ``fold`` in [0, k): round-robin over the hash rank inside each class."""
-    ranked = stratified_rank(df, id_col, [label_col], seed, rank_col="_r")
+    ranked = stratified_rank(df, id_col, [label_col], seed, rank_col="_r", bucket_hex=bucket_hex)
     return ranked.withColumn("fold", F.pmod(F.col("_r") - 1, F.lit(k)).cast("int")).drop("_r", "_stratum_n")

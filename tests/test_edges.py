@@ -313,3 +313,10 @@ def test_embedding_matrix_zero_fill(spark):
                                  T.StructType([T.StructField("word", T.StringType()), T.StructField("vector", VectorUDT())]))
     m = {r["term"]: (r["vector"], r["found"]) for r in embedding_matrix(vocab, vecs, 2).collect()}
     assert m == {"a": ([1.0, 2.0], True), "b": ([0.0, 0.0], False)}
+
+
+def test_bucket_width_does_not_change_ranks(spark):
+    df = spark.range(0, 2000).withColumn("g", (F.col("id") % 2).cast("string")).withColumnRenamed("id", "doc_id")
+    a = {r["doc_id"]: r["split"] for r in sm.stratified_split(df, "doc_id", "g", bucket_hex=2).collect()}
+    b = {r["doc_id"]: r["split"] for r in sm.stratified_split(df, "doc_id", "g", bucket_hex=5).collect()}
+    assert a == b
