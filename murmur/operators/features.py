@@ -75,7 +75,10 @@ def tfidf(df: DataFrame, id_col: str, tokens_col: str, min_df: int = 2, max_feat
     """
     tf = term_frequencies(df, id_col, tokens_col)
     n_docs = df.select(F.count(F.lit(1))).scalar()
-    vocab = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("_total"))
+    # count_if(tf > 0) equals the row count but keeps the tf column alive, so
+    # this branch's (doc, term) aggregate stays identical to the one joined
+    # below and the exchange after tokenization is reused: the tokenizer runs once.
+    vocab = tf.groupBy("term").agg(F.count_if(F.col("tf") > 0).alias("df"), F.sum("tf").alias("_total"))
     vocab = vocab.filter(F.col("df") >= min_df)
     if max_features is not None:
         vocab = top_k_rank(vocab, "term", "_total", max_features).drop("rank")
