@@ -57,11 +57,30 @@ def doc_vectors(spark, base):
     return md.mean_vectors(doc_tokens(spark, base), "doc_id", "tokens", _w2v(spark, base), W2V_DIM)
 
 
-@query("embedding_coverage")
+def _coverage_sql() -> str:
+    # Word2Vec's vocabulary is deterministic: every token occurring at least
+    # minCount (2) times in the train + val rows.
+    from murmur.plans import sqlfrag as S
+    from murmur.plans.sampling_queries import SPLIT_CTE
+    return SPLIT_CTE + f""",
+dev AS (SELECT d.doc_id, {S.tokens('d.text')} AS t FROM documents d JOIN split s ON d.doc_id = s.doc_id
+        WHERE s.split IN ('train', 'val')),
+w2v AS (SELECT term FROM (SELECT unnest(t) AS term FROM dev) GROUP BY term HAVING count(*) >= 2),
+toks AS (SELECT doc_id, {S.tokens('text')} AS t FROM documents),
+counts AS (SELECT term, count(*) AS n FROM (SELECT unnest(t) AS term FROM toks) GROUP BY term),
+vocab AS (SELECT term FROM (SELECT term, row_number() OVER (ORDER BY n DESC, term) + 1 AS word_id FROM counts)
+          WHERE word_id < {presets.NUM_WORDS})
+SELECT count(*) AS n_vocab, count(w.term) AS n_found, round(count(w.term) / count(*), 9) AS coverage
+FROM vocab v LEFT JOIN w2v w ON v.term = w.term
+"""
+
+
+@query("embedding_coverage", _coverage_sql())
 def embedding_coverage(spark, base):
     from murmur.operators.features import vocab_rank
     vocab = vocab_rank(doc_tokens(spark, base), "tokens", presets.NUM_WORDS)
-    return md.embedding_coverage(vocab, _w2v(spark, base))
+    c = md.embedding_coverage(vocab, _w2v(spark, base))
+    return c.select("n_vocab", "n_found", F.round("coverage", 9).alias("coverage"))
 
 
 def _text_model(spark, base, reg: float = 0.01):
