@@ -196,3 +196,50 @@ def metrics_long(spark, base):
     f"SELECT model, {S.q(x.upper())} AS class, round(f1_{x}, 9) AS f1 FROM cmp" for x in DOC_LABELS))
 def class_metrics_long(spark, base):
     return ev.class_metrics_long(_compare(spark, base), "model")
+
+
+# Second evaluation stand-in: the labels table, truth = quality, prediction = 1 - toxic.
+BINARY_LABELS = ("0", "1")
+
+
+@query("quality_report", """
+WITH p AS (SELECT 'one_minus_toxic' AS model, CAST(quality AS VARCHAR) AS true_label,
+                  CAST(1 - toxic AS VARCHAR) AS predicted_label FROM labels),
+counts AS (SELECT model, true_label, predicted_label, count(*) AS n FROM p GROUP BY ALL),
+grid AS (SELECT m.model, l.label FROM (SELECT DISTINCT model FROM counts) m, (VALUES ('0'), ('1')) l(label)),
+pc AS (
+  SELECT g.model, g.label,
+    coalesce((SELECT sum(n) FROM counts c WHERE c.model = g.model AND c.true_label = g.label
+              AND c.predicted_label = g.label), 0) AS tp,
+    coalesce((SELECT sum(n) FROM counts c WHERE c.model = g.model AND c.true_label = g.label), 0) AS support,
+    coalesce((SELECT sum(n) FROM counts c WHERE c.model = g.model AND c.predicted_label = g.label), 0) AS predicted
+  FROM grid g
+),
+pcm AS (
+  SELECT model, label, tp, support, predicted,
+         CASE WHEN predicted > 0 THEN tp / predicted ELSE 0.0 END AS precision,
+         CASE WHEN support > 0 THEN tp / support ELSE 0.0 END AS recall,
+         CASE WHEN support + predicted > 0 THEN 2 * tp / (support + predicted) ELSE 0.0 END AS f1
+  FROM pc
+)
+SELECT model, label AS row, round(precision, 9) AS precision, round(recall, 9) AS recall, round(f1, 9) AS f1,
+       CAST(support AS BIGINT) AS support FROM pcm
+UNION ALL
+SELECT model, 'accuracy', NULL, NULL, round(sum(tp) / sum(support), 9), CAST(sum(support) AS BIGINT) FROM pcm GROUP BY model
+UNION ALL
+SELECT model, 'macro avg', round(avg(precision), 9), round(avg(recall), 9), round(avg(f1), 9), CAST(sum(support) AS BIGINT)
+FROM pcm GROUP BY model
+UNION ALL
+SELECT model, 'weighted avg', round(sum(precision * support) / sum(support), 9),
+       round(sum(recall * support) / sum(support), 9), round(sum(f1 * support) / sum(support), 9),
+       CAST(sum(support) AS BIGINT)
+FROM pcm GROUP BY model
+""")
+def quality_report(spark, base):
+    from murmur.sources.tables import read_table
+    lab = read_table(spark, base, "labels").select(
+        F.lit("one_minus_toxic").alias("model"), F.col("quality").cast("string").alias("true_label"),
+        (F.lit(1) - F.col("toxic")).cast("string").alias("predicted_label"))
+    r = ev.classification_report(ev.confusion_counts(lab), BINARY_LABELS)
+    return r.select("model", "row", *[F.round(c, 9).alias(c) for c in ("precision", "recall", "f1")],
+                    F.col("support").cast("long").alias("support"))
