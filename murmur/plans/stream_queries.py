@@ -29,8 +29,8 @@ def stream_annotate(spark, base):
 def stream_weekly_volume(spark, base):
     out, ckpt = scratch_dir(spark, "stream-weekly"), scratch_dir(spark, "ckpt")
     jobs.stream_weekly_volume(_stream(spark, base, "events"), out, ckpt)
-    return spark.read.parquet(out).select(F.date_format("week", "yyyy-MM-dd").alias("week"), "event_type",
-                                          "comments")
+    return jobs.read_weekly_volume(spark, out).select(F.date_format("week", "yyyy-MM-dd").alias("week"),
+                                                      "event_type", "comments")
 
 
 @query("stream_score")

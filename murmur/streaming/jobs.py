@@ -53,8 +53,11 @@ def stream_weekly_volume(stream: DataFrame, out_path: str, checkpoint: str, ts_c
     """Weekly (Monday-start, UTC) counts per label, kept current as events arrive.
 
     Tumbling 7-day windows offset by 4 days from the Thursday epoch start on
-    Mondays. The watermark bounds how late an event may arrive. The complete
-    result (weeks x labels, small) is rewritten each epoch, which is idempotent.
+    Mondays. Update mode: each epoch emits only the (week, label) counts it
+    changed, and the watermark lets Spark drop the state of weeks that can no
+    longer change, so state stays bounded on an endless stream. The sink is an
+    upsert by epoch: every epoch writes its own folder (a replayed epoch
+    overwrites itself) and ``read_weekly_volume`` keeps the latest count per key.
     """
     ts = F.col(ts_col).cast("timestamp")
     agg = (stream.withColumn("_ts", ts).withWatermark("_ts", lateness)
@@ -62,7 +65,15 @@ def stream_weekly_volume(stream: DataFrame, out_path: str, checkpoint: str, ts_c
                  .agg(F.count(F.lit(1)).alias("comments")))
 
     def sink(batch: DataFrame, epoch: int) -> None:
-        batch.select(F.col("w.start").alias("week"), label_col, "comments").write.mode("overwrite").parquet(out_path)
+        (batch.select(F.col("w.start").alias("week"), label_col, "comments")
+              .write.mode("overwrite").parquet(f"{out_path}/epoch={epoch}"))
 
-    run_available(agg.writeStream.outputMode("complete").foreachBatch(sink)
+    run_available(agg.writeStream.outputMode("update").foreachBatch(sink)
                   .option("checkpointLocation", checkpoint))
+
+
+def read_weekly_volume(spark: SparkSession, out_path: str, label_col: str = "event_type") -> DataFrame:
+    """Current table of an upsert-by-epoch sink: the latest epoch's count per key."""
+    rows = spark.read.parquet(out_path)
+    return (rows.groupBy("week", label_col)
+                .agg(F.max_by("comments", "epoch").alias("comments")))

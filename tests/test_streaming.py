@@ -31,7 +31,29 @@ def test_stream_weekly_volume_equals_batch(spark, tmp_path):
     ev = read_table(spark, SF, "events")
     out, ckpt = str(tmp_path / "w"), str(tmp_path / "c")
     jobs.stream_weekly_volume(jobs.file_stream(spark, f"{SF}/events.parquet*", ev.schema), out, ckpt)
-    got = {(r["week"].date().isoformat(), r["event_type"], r["comments"]) for r in spark.read.parquet(out).collect()}
+    got = {(r["week"].date().isoformat(), r["event_type"], r["comments"])
+           for r in jobs.read_weekly_volume(spark, out).collect()}
+    batch = weekly_volume(ev, "ts", "event_type").select(
+        F.date_format("week", "yyyy-MM-dd").alias("week"), "event_type", "comments")
+    assert got == {(r["week"], r["event_type"], r["comments"]) for r in batch.collect()}
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="test tables not present")
+def test_weekly_volume_upsert_over_several_epochs(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from murmur.operators.explore import weekly_volume
+    from murmur.sources.tables import read_table
+    from murmur.streaming import jobs
+    ev = read_table(spark, SF, "events")
+    src = str(tmp_path / "src")
+    # Three arrival files (earliest events first), streamed one file per micro-batch.
+    ev.repartitionByRange(3, "ts").write.parquet(src)
+    out, ckpt = str(tmp_path / "w"), str(tmp_path / "c")
+    jobs.stream_weekly_volume(jobs.file_stream(spark, src, ev.schema, max_files=1), out, ckpt, lateness="30 days")
+    assert spark.read.parquet(out).select("epoch").distinct().count() >= 2
+    got = {(r["week"].date().isoformat(), r["event_type"], r["comments"])
+           for r in jobs.read_weekly_volume(spark, out).collect()}
     batch = weekly_volume(ev, "ts", "event_type").select(
         F.date_format("week", "yyyy-MM-dd").alias("week"), "event_type", "comments")
     assert got == {(r["week"], r["event_type"], r["comments"]) for r in batch.collect()}
