@@ -57,6 +57,7 @@ def selection_outputs(spark, base):
     out = scratch_dir(spark, "selection")
     el.write_selection_outputs(flagged, selected, el.funnel_counts(flagged), out, sample_size=-1,
                                seed=presets.SEED, keyword_count=len(KW), rule=_RULE + f" fraction={SELECT_FRACTION}")
+    flagged.unpersist()
     return spark.read.json(out + "/selection_manifest_-1_seed42")
 
 

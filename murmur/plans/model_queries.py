@@ -84,9 +84,12 @@ def embedding_coverage(spark, base):
 
 
 def _text_model(spark, base, reg: float = 0.01):
+    # Cached only while the iterative fit reads it; later transforms use lineage.
     data = _labelled(spark, base).persist()
     pipe = md.text_svm_pipeline("text", "label", "weight", reg=reg, max_iter=SVM_ITER)
-    return data, pipe.fit(data.filter(F.col("split") == "train"))
+    model = pipe.fit(data.filter(F.col("split") == "train"))
+    data.unpersist()
+    return data, model
 
 
 @query("svm_text_classify")
@@ -127,6 +130,7 @@ def svm_dense_classify(spark, base):
     pipe = md.dense_svm_pipeline("features", "y", "weight", kernel="rbf", num_features=128, gamma=0.01,
                                  max_iter=SVM_ITER)
     model = pipe.fit(e.filter(F.col("split") == "train"))
+    e.unpersist()
     out = model.transform(e.filter(F.col("split") == "test"))
     return out.select("vec_id", F.col("label").alias("true_label"),
                       F.col("_pred").cast("int").alias("predicted_label"))
@@ -145,6 +149,7 @@ def grid_search_cv(spark, base):
     cv = CrossValidator(estimator=pipe, estimatorParamMaps=grid, evaluator=idx_pred, foldCol="fold",
                         parallelism=4, seed=presets.SEED)
     model = cv.fit(data)
+    data.unpersist()
     rows = [(float(pm[svm.regParam]), float(m)) for pm, m in zip(grid, model.avgMetrics)]
     return spark.createDataFrame(rows, "reg_param double, avg_macro_f1 double")
 
@@ -158,6 +163,7 @@ def _lda(spark, base, k: int = LDA_K):
     cvm = md.bag_of_words(toks, "tokens", min_df=5, max_df=0.5)
     bow = cvm.transform(toks).select("doc_id", "tokens", "bow").persist()
     model = md.fit_lda(bow, k, max_iter=LDA_ITER)
+    bow.unpersist()  # cached for the iterations only; later reads use lineage
     return bow, cvm.vocabulary, model
 
 
