@@ -55,7 +55,10 @@ def top_k_rank(counts: DataFrame, key: str, count_col: str, k: int, prefix_chars
     # Above-threshold counts are whole; the lowest kept count value is the (possible) tie group.
     # Rank inside each count value by key via ordered key-prefix buckets.
     kept = counts.join(F.broadcast(thr), counts[count_col] == thr["_c"], "inner")
-    kept = kept.withColumn("_b", F.substring(key, 1, prefix_chars))
+    # A provably non-null bucket key: no inferred isnotnull filter is pushed
+    # into this branch, so its count subtree stays identical to the histogram's
+    # and the exchange after tokenization is reused.
+    kept = kept.withColumn("_b", F.coalesce(F.substring(key, 1, prefix_chars), F.lit("")))
     buckets = kept.groupBy("_c", "_above", "_b").agg(F.count(F.lit(1)).alias("_bn"))
     bw = Window.partitionBy("_c").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     buckets = buckets.withColumn("_boff", F.coalesce(F.sum("_bn").over(bw), F.lit(0))).drop("_bn")
