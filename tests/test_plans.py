@@ -34,3 +34,17 @@ def test_eligibility_prunes_columns(spark):
     import __spark_entry__ as E
     p = plan(E.queries()["keyword_eligibility"](spark, SF))
     assert "role" not in p.split("ReadSchema")[1].split("\n")[0]
+
+
+@pytest.mark.parametrize("op", ["tfidf", "vocab_rank"])
+def test_tokenizer_runs_once_per_plan(spark, op):
+    from murmur.functions import text as tx
+    from murmur.operators import features as fx
+    d = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", tx.tokens("text").alias("tokens"))
+    df = fx.tfidf(d, "doc_id", "tokens") if op == "tfidf" else fx.vocab_rank(d, "tokens", 20000)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # static plan shows exchange reuse
+    try:
+        p = plan(df)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert p.count("Generate explode") == 1
