@@ -24,11 +24,20 @@ def plural_lemma_table(df: DataFrame, tokens_col: str, min_chars: int = 2) -> Da
     A corpus-derived noun lemma table standing in for a dictionary lemmatiser;
     any user table with the same two columns can be passed to ``apply_lemmas``.
     """
+    # One grouped pass over the vocabulary (no self-join): every term proposes
+    # itself as a stem and, when it ends in "s", proposes its stripped form as
+    # the stem of a plural. A key that receives both is a (plural, lemma) pair.
     v = vocabulary(df, tokens_col)
-    stems = v.filter(F.length("term") >= min_chars).select(F.col("term").alias("lemma"))
-    forms = v.filter(F.col("term").endswith("s")).select(
-        F.col("term").alias("form"), F.expr("substring(term, 1, length(term) - 1)").alias("lemma"))
-    return forms.join(stems, "lemma", "inner").select("form", "lemma")
+    proposals = F.array(
+        F.struct(F.col("term").alias("key"), F.lit(None).cast("string").alias("plural")),
+        F.when(F.col("term").endswith("s"),
+               F.struct(F.expr("substring(term, 1, length(term) - 1)").alias("key"),
+                        F.col("term").alias("plural"))))
+    p = v.select(F.explode(F.array_compact(proposals)).alias("p")).select("p.key", "p.plural")
+    g = p.groupBy("key").agg(F.max(F.col("plural").isNull().cast("int")).alias("_is_term"),
+                             F.max("plural").alias("plural"))
+    return g.filter((F.col("_is_term") == 1) & F.col("plural").isNotNull() & (F.length("key") >= min_chars)) \
+            .select(F.col("plural").alias("form"), F.col("key").alias("lemma"))
 
 
 def apply_lemmas(df: DataFrame, id_col: str, tokens_col: str, lemmas: DataFrame) -> DataFrame:
