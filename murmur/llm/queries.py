@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from murmur.llm import decontaminate, html_text, langid, minhash, mixing, sharding, warc
+from murmur.llm import decontaminate, html_text, langid, minhash, mixing, passages, sharding, warc
 from murmur.llm.common import scratch_path, ship, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -99,3 +99,8 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_near_duplicates")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op10_passages")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated(table(spark, sf_dir, "documents"))
