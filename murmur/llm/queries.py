@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from murmur.llm import decontaminate, html_text, langid, minhash, mixing, passages, sharding, warc
+from murmur.llm import ann, decontaminate, html_text, langid, minhash, mixing, passages, pii, sharding, warc
 from murmur.llm.common import scratch_path, ship, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -104,3 +104,13 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_passages")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.repeated(table(spark, sf_dir, "documents"))
+
+
+@query("op8_nearest")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"))
+
+
+@query("op6_personal_data")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_personal_data(table(spark, sf_dir, "documents"))
