@@ -222,11 +222,11 @@ def build_index(nodes: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
 
 def search_index(index: DataFrame, queries: DataFrame, k: int = K, query_block: int = QUERY_BLOCK) -> DataFrame:
     """(query_id, rank, vec_id, score): the merged ``k`` nearest of each (id, vec) query, its own row left out."""
-    shards = index.select("shard", "dims")
+    shards = index.select(F.col("shard").alias("to_shard"), "dims")
     n_blocks = max(1, -(-queries.count() // query_block))
-    asked = queries.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(n_blocks)).cast("int"))
+    asked = queries.withColumn("to_block", F.pmod(F.xxhash64("id"), F.lit(n_blocks)).cast("int"))
     # The stated queries go to every shard of their length, in blocks.
-    asked = asked.join(shards, F.size("vec") == F.col("dims")).select("shard", "block", "id", "vec")
+    asked = asked.join(shards, F.size("vec") == F.col("dims")).select("to_shard", "to_block", "id", "vec")
     graphs = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
 
     def run(graph: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
@@ -246,7 +246,7 @@ def search_index(index: DataFrame, queries: DataFrame, k: int = K, query_block:
                 out += [(int(query_id), i, far) for far, i in sorted(near)[:k]]
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
 
-    found = (graphs.groupBy("shard", "block").cogroup(asked.groupBy("shard", "block"))
+    found = (graphs.groupBy("shard", "block").cogroup(asked.groupBy("to_shard", "to_block"))
              .applyInPandas(run, "query_id long, vec_id long, score double"))
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return (found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)

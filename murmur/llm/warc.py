@@ -7,13 +7,13 @@ Chunk 1 becomes the ``response`` record, each later chunk a ``continuation``
 record (WARC 1.1 segmentation: ``WARC-Segment-Number`` and
 ``WARC-Segment-Origin-ID``), so an archive holds only small records.
 
-Archives are plain ``.warc`` text files of Spark's text writer: a row is one
-record and the line separator is the blank line that ends a record. They are
-read by splitting at ``WARC/1.1``; the writer also cuts chunks inside any such
-mark in a payload, so a mark in the file always begins a record and files can
-be split over tasks at any byte. Each reading task carries the incremental
-digest over the chunks of a record in order and checks it against every
-record's header; a damaged archive fails loudly.
+Archives are gzipped files of Spark's text writer, one a writing task: a row is
+one record and the line separator is the blank line that ends a record. They
+are read by splitting at ``WARC/1.1``; the writer also cuts chunks inside any
+such mark in a payload, so a mark in the file always begins a record. Each
+reading task carries the incremental digest over the chunks of a record in
+order and checks it against every record's header; a damaged archive fails
+loudly.
 
 Defined results: a null payload is an empty one; repeated rows are records of
 their own; equal ids with different payloads are kept apart; an empty table
@@ -151,7 +151,7 @@ def write_archives(chunk_rows: DataFrame, path: str) -> None:
         _line("Content-Type", F.lit("application/http; msgtype=response")),
         _line("Content-Length", F.octet_length(block)), F.lit("\r\n"))
     rows = chunk_rows.select(F.concat(header.cast("binary"), block).cast("string").alias("value"))
-    rows.write.option("lineSep", "\r\n\r\n").text(path)
+    rows.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").text(path)
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
