@@ -62,9 +62,11 @@ def source_targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, total_s
     level = ((F.sum("source_size").over(everything) * F.lit(float(total_share)) - F.coalesce(F.sum("_cap").over(filled), F.lit(0.0)))
              / (F.sum("_w").over(everything) - F.coalesce(F.sum("_w").over(filled), F.lit(0.0))))
     rows = rows.withColumn("_level", level)
-    # Sources whose limit lies under the level reached when it is their turn are full; the first other one sets the level.
-    rows = rows.withColumn("_rest", F.min(F.when(F.col("_ratio") > F.col("_level"), F.col("_level"))).over(everything))
-    return rows.select("source", "source_size", F.when(F.col("_ratio") > F.col("_level"), F.col("_rest") * F.col("_w"))
+    # The first source, in that order, whose limit lies over the level reached when it is its turn sets the level of
+    # all later ones; those before it are full.
+    first = F.min(F.when(F.col("_ratio") > F.col("_level"), F.struct("_ratio", -F.col("_level")))).over(everything)
+    rows = rows.withColumn("_rest", -first["col2"])
+    return rows.select("source", "source_size", F.when(F.col("_ratio") > F.col("_rest"), F.col("_rest") * F.col("_w"))
                        .otherwise(F.col("_cap")).alias("target"))
 
 

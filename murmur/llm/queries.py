@@ -59,8 +59,8 @@ WITH d AS (
   SELECT *, (1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(cap) OVER b, 0)) / (sum(w) OVER () - coalesce(sum(w) OVER b, 0)) AS lvl
   FROM f WINDOW b AS (ORDER BY ratio, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
 ), t AS (
-  SELECT source, source_size, CASE WHEN ratio > lvl THEN w * (SELECT min(lvl) FROM l WHERE ratio > lvl) ELSE cap END AS target
-  FROM l
+  SELECT source, source_size, CASE WHEN ratio > rest THEN rest * w ELSE cap END AS target
+  FROM (SELECT *, (SELECT lvl FROM l WHERE ratio > lvl ORDER BY ratio, lvl DESC LIMIT 1) AS rest FROM l)
 ), r AS (
   SELECT *, CAST(floor(target / greatest(source_size, 1)) AS BIGINT) AS repeats FROM t
 ), b AS (
