@@ -88,12 +88,16 @@ def topic_tokens(col: Column | str, extra_stop: Sequence[str] = presets.TOPIC_ST
 
 
 def keyword_match(col: Column | str, keywords: Sequence[str]) -> Column:
-    """Case-insensitive substring match of any keyword; non-strings never match."""
-    low = F.lower(_c(col))
-    cond = F.lit(False)
-    for kw in dict.fromkeys(k.lower() for k in keywords):
-        cond = cond | low.contains(kw)
-    return F.coalesce(cond, F.lit(False))
+    """Case-insensitive substring match of any keyword; non-strings never match.
+
+    One alternation of the quoted keywords over the text lower-cased once,
+    instead of a chain of tests that each lower-case it.
+    """
+    words = sorted({k.lower() for k in keywords if k})
+    if not words:
+        return F.lit(False)
+    pattern = "|".join(r"\Q" + k + r"\E" for k in words)
+    return F.coalesce(F.lower(_c(col)).rlike(pattern), F.lit(False))
 
 
 def word_token_count(col: Column | str) -> Column:

@@ -88,22 +88,27 @@ FUNNEL_STAGES = ("raw_records", "valid_records", "non_empty_valid", "keyword_eli
                  "keyword_ineligible", "selected")
 
 
-def funnel_counts(flagged: DataFrame) -> DataFrame:
+def funnel_counts(flagged: DataFrame, select_fraction: float | None = None) -> DataFrame:
     """One-pass counters of the corpus funnel as a single row.
 
+    The size of an exact sample follows from the eligible count, so with
+    ``select_fraction`` no row needs to be ranked to count the selected ones.
+
     ``flagged`` has one row per raw record with boolean columns
     ``valid_record``, ``non_empty_valid``, ``keyword_eligible`` and ``selected``
     (null = false), so every stage is a conditional count of the same scan.
     """
     def on(c: str):
         return F.coalesce(F.col(c), F.lit(False))
+    eligible = F.count_if(on("non_empty_valid") & on("keyword_eligible"))
+    selected = F.count_if(on("selected")) if select_fraction is None else F.floor(F.lit(select_fraction) * eligible)
     return flagged.agg(
         F.count(F.lit(1)).alias("raw_records"),
         F.count_if(on("valid_record")).alias("valid_records"),
         F.count_if(on("non_empty_valid")).alias("non_empty_valid"),
-        F.count_if(on("non_empty_valid") & on("keyword_eligible")).alias("keyword_eligible"),
+        eligible.alias("keyword_eligible"),
         F.count_if(on("non_empty_valid") & ~on("keyword_eligible")).alias("keyword_ineligible"),
-        F.count_if(on("selected")).alias("selected"))
+        selected.cast("long").alias("selected"))
 
 
 def funnel_long(counts: DataFrame) -> DataFrame:
@@ -120,23 +125,28 @@ SELECTION_EXPORT = ("_doc_id", "_record_key", "date", "text", "postTitle", "face
                     "_dataset_name", "keyword_match_source", "comment_keyword_match", "post_title_keyword_match")
 
 
-def write_selection_outputs(flagged: DataFrame, selected: DataFrame, counts: DataFrame, out_dir: str,
-                            sample_size: int, seed: int, keyword_count: int, rule: str) -> DataFrame:
-    """Write eligible / ineligible / selected CSVs and the manifest (one JSON record
-    with a nested ``outputs`` struct). ``flagged`` is persisted by the caller if
-    it is expensive: it feeds two outputs. Returns the manifest frame."""
+def write_selection_outputs(flagged: DataFrame, counts: DataFrame, out_dir: str, sample_size: int, seed: int,
+                            keyword_count: int, rule: str, raw_path: str) -> DataFrame:
+    """Write eligible / ineligible / selected CSVs, sorted by document id, and the manifest (one JSON record with a
+    nested ``outputs`` struct).
+
+    ``flagged`` holds one row per raw record with its text and the columns ``valid_record``, ``non_empty_valid``,
+    ``keyword_eligible`` and ``selected``; blank or errored records are in no CSV. It is persisted by the caller if it
+    is expensive: it feeds three outputs. Returns the manifest frame.
+    """
     from murmur.sources.files import write_csv, write_json
-    from murmur.sources.schema import select_present
+    from murmur.sources.schema import require_columns, select_present
 
+    require_columns(flagged, ["_doc_id", "text", "keyword_eligible", "selected"])
     paths = {"eligible": f"{out_dir}/keyword_eligible_comments",
              "ineligible": f"{out_dir}/keyword_ineligible_comments",
              "selected": f"{out_dir}/selected_comments_for_annotation_{sample_size}_seed{seed}"}
-    eligible, ineligible = split_eligible(flagged)
-    write_csv(select_present(eligible, SELECTION_EXPORT), paths["eligible"])
-    write_csv(select_present(ineligible, SELECTION_EXPORT), paths["ineligible"])
-    write_csv(select_present(selected, SELECTION_EXPORT), paths["selected"])
+    valid = flagged.filter("valid_record AND non_empty_valid")
+    eligible, ineligible = split_eligible(valid)
+    for name, rows in (("eligible", eligible), ("ineligible", ineligible), ("selected", valid.filter("selected"))):
+        write_csv(select_present(rows, SELECTION_EXPORT), paths[name], order_by=["_doc_id"])
     manifest = counts.select(
-        F.lit(sample_size).alias("sample_size"), F.lit(seed).alias("random_seed"),
+        F.lit(raw_path).alias("raw_path"), F.lit(sample_size).alias("sample_size"), F.lit(seed).alias("random_seed"),
         F.lit(keyword_count).alias("keyword_count"), "raw_records",
         F.col("valid_records").alias("valid_raw_records_excluding_scraper_errors"),
         F.col("non_empty_valid").alias("non_empty_valid_comments"),

@@ -90,6 +90,11 @@ def date_range(df: DataFrame, ts_col: str) -> DataFrame:
 
 
 def parse_mixed_timestamp(col: Column | str, formats: Sequence[str]) -> Column:
-    """First format that parses wins; unparseable -> null (ANSI-safe ``try_to_timestamp``)."""
-    c = F.col(col) if isinstance(col, str) else col
-    return F.coalesce(*[F.try_to_timestamp(c, F.lit(f)) for f in formats])
+    """A date string in any of the usual layouts as a UTC timestamp; unparseable -> null.
+
+    ISO dates and times (blank or ``T``, fractional seconds, ``Z`` or an offset,
+    which is converted to UTC) are read first, then the other ``formats`` in order.
+    """
+    c = F.trim(F.col(col) if isinstance(col, str) else col)
+    iso = F.when(c.rlike(r"^\d{4}-\d{1,2}-\d{1,2}([T ].*)?$"), c.try_cast("timestamp"))
+    return F.coalesce(iso, *[F.try_to_timestamp(c, F.lit(f)) for f in formats])

@@ -95,16 +95,21 @@ def relevance(topic_term: DataFrame, term_freq: DataFrame, lam: float = 0.6,
     """
     p_wt = F.col(weight_col) / F.sum(weight_col).over(Window.partitionBy(topic_col))
     tt = topic_term.withColumn("p_wt", p_wt)
-    tf = term_freq.withColumn("p_w", F.col("n") / F.sum("n").over(Window.partitionBy()))
+    # p(w) is over the dictionary: terms without a topic weight do not count.
+    known = term_freq.join(topic_term.select(term_col).distinct(), term_col, "left_semi")
+    tf = known.withColumn("p_w", F.col("n") / F.sum("n").over(Window.partitionBy()))
     j = tt.join(tf.select(term_col, "p_w"), term_col, "inner")
     return j.select(topic_col, term_col, "p_wt", "p_w",
                     (F.lit(lam) * F.log("p_wt") + F.lit(1 - lam) * F.log(F.col("p_wt") / F.col("p_w"))).alias(
                         "relevance"))
 
 
-def argmax_col(values: Sequence[Column]) -> Column:
-    best = F.greatest(*values)
-    out = None
-    for i in reversed(range(len(values))):
-        out = F.when(values[i] == best, F.lit(i)) if out is None else F.when(values[i] == best, F.lit(i)).otherwise(out)
-    return out
+def topic_marginals(doc_topics: DataFrame, topic_col: str = "topic", weight_col: str = "weight",
+                    length_col: str | None = None) -> DataFrame:
+    """(topic, marginal): each topic's share of the corpus, documents weighted by length if a column is given.
+
+    ``doc_topics`` has one row per document and topic.
+    """
+    w = F.col(weight_col) * F.col(length_col) if length_col else F.col(weight_col)
+    per = doc_topics.groupBy(topic_col).agg(F.sum(w).alias("_w"))
+    return per.select(topic_col, (F.col("_w") / F.sum("_w").over(Window.partitionBy())).alias("marginal"))

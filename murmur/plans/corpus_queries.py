@@ -133,17 +133,24 @@ def merge_sources(spark, base):
 SELECT_FRACTION = 0.5
 
 
-def _flagged_comments(spark, base):
-    """Every comment row with validity, eligibility and selection flags."""
-    from murmur.operators.sampling import stratified_rank
+def _eligible_comments(spark, base):
+    """Every comment row with its text, validity and eligibility flags."""
     conv = read_table(spark, base, "conversations", spread_key=["conv_id", "turn"]).select("conv_id", "turn", "text")
     comments = el.comments_with_parent_flag(conv, KW)
     flagged = el.add_keyword_flags(comments, title_col=None, keywords=KW, title_flag_col="_parent_match")
     flagged = flagged.withColumns({"valid_record": F.lit(True), "non_empty_valid": tx.non_blank("text")})
-    flagged = flagged.withColumn("_stratum", F.col("non_empty_valid") & F.col("keyword_eligible")).drop("text")
-    ranked = stratified_rank(flagged.withColumn("_id", F.concat_ws(":", "conv_id", "turn")), "_id", ["_stratum"])
-    return ranked.withColumn(
-        "selected", F.col("_stratum") & (F.col("sample_rank") <= F.floor(F.lit(SELECT_FRACTION) * F.col("_stratum_n"))))
+    return flagged.withColumn("_id", F.concat_ws(":", "conv_id", "turn"))
+
+
+def _flagged_comments(spark, base):
+    """The eligible comments' flags plus ``selected``: an exact share of the valid eligible ones."""
+    from murmur.operators import sampling as sm
+    flagged = _eligible_comments(spark, base).withColumn("_stratum", F.col("non_empty_valid") & F.col("keyword_eligible"))
+    eligible = flagged.filter("_stratum").select("_id")
+    want = eligible.agg(F.floor(F.lit(SELECT_FRACTION) * F.count(F.lit(1))).cast("long").alias("_want"))
+    cut = sm.rank_cuts(eligible, "_id", [], want, ["_want"]).select("cut__want")
+    flagged = sm.with_cuts(flagged, [], cut, 1)
+    return flagged.withColumn("selected", F.col("_stratum") & sm.not_after("_id", "cut__want")).drop("cut__want", "_stratum")
 
 
 _FUNNEL_CTE = f"""
@@ -172,7 +179,7 @@ FROM n, (VALUES (0, 'raw_records'), (1, 'valid_records'), (2, 'non_empty_valid')
                   WHEN 'keyword_ineligible' THEN keyword_ineligible ELSE selected END AS n) v
 """)
 def corpus_funnel(spark, base):
-    return el.funnel_long(el.funnel_counts(_flagged_comments(spark, base)))
+    return el.funnel_long(el.funnel_counts(_eligible_comments(spark, base), SELECT_FRACTION))
 
 
 _RULE = ("Simple random sample without replacement from keyword-eligible comments: "
@@ -188,7 +195,7 @@ SELECT CAST({SELECT_FRACTION} AS DOUBLE) AS sample_fraction, {presets.SEED} AS r
 FROM n
 """)
 def selection_manifest(spark, base):
-    c = el.funnel_counts(_flagged_comments(spark, base))
+    c = el.funnel_counts(_eligible_comments(spark, base), SELECT_FRACTION)
     return c.select(
         F.lit(SELECT_FRACTION).alias("sample_fraction"), F.lit(presets.SEED).alias("random_seed"),
         F.lit(len(KW)).alias("keyword_count"), "raw_records",
@@ -199,6 +206,26 @@ def selection_manifest(spark, base):
         F.col("selected").alias("selected_comments"), F.lit(_RULE).alias("selection_rule"))
 
 
+# Every line of the three exports: valid rows only, with their text.
+_EXPORT_ROWS_SQL = f"""
+WITH parents AS (SELECT conv_id, {S.kw_match('text', KW)} AS pm FROM conversations WHERE turn = 0),
+c AS (
+  SELECT CAST(v.conv_id AS VARCHAR) || ':' || CAST(v.turn AS VARCHAR) AS _doc_id, v.text, {S.kw_match('v.text', KW)} AS cm,
+         coalesce(p.pm, false) AND {S.substantive('v.text')} AS pt
+  FROM conversations v LEFT JOIN parents p ON v.conv_id = p.conv_id WHERE v.turn >= 1 AND {S.non_blank('v.text')}
+), k AS (
+  SELECT *, row_number() OVER (ORDER BY md5('{presets.SEED}:' || _doc_id), _doc_id) AS r, count(*) OVER () AS n FROM c WHERE cm OR pt
+), o AS (
+  SELECT 'eligible' AS output, _doc_id, text, cm, pt FROM c WHERE cm OR pt
+  UNION ALL SELECT 'ineligible', _doc_id, text, cm, pt FROM c WHERE NOT (cm OR pt)
+  UNION ALL SELECT 'selected', _doc_id, text, cm, pt FROM k WHERE r <= floor({SELECT_FRACTION} * n)
+)
+SELECT output, _doc_id, text, CASE WHEN cm THEN 'comment' WHEN pt THEN 'post_title_context' ELSE '' END AS keyword_match_source,
+       cm AS comment_keyword_match, (SELECT count(*) FROM o WHERE output = 'selected') AS selected_comments
+FROM o
+"""
+
+
 @query("prompt_text", f"""
 WITH p AS (SELECT conv_id, text AS title FROM conversations WHERE turn = 0)
 SELECT c.conv_id, c.turn,

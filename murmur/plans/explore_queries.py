@@ -82,30 +82,36 @@ def date_range(spark, base):
     return r.select(*[F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c) for c in ("min_date", "max_date")])
 
 
-# Mixed-format date strings derived from the event timestamps (one layout per
-# event type; error events carry their JSON payload, which is not a date).
-_LAYOUTS = {"click": "yyyy-MM-dd HH:mm:ss", "view": "yyyy-MM-dd'T'HH:mm:ss'Z'",
-            "purchase": "yyyy/MM/dd HH:mm", "signup": "yyyy-MM-dd"}
-PARSE_FORMATS = ("yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss'Z'", "yyyy/MM/dd HH:mm", "yyyy-MM-dd")
-_SQL_LAYOUTS = {"click": "%Y-%m-%d %H:%M:%S", "view": "%Y-%m-%dT%H:%M:%SZ", "purchase": "%Y/%m/%d %H:%M",
-                "signup": "%Y-%m-%d"}
+# Mixed-format date strings derived from the event timestamps: the layout goes by event type and event_id;
+# error events carry their JSON payload, which is not a date.
+_LAYOUTS = (("event_type = 'click' AND event_id % 2 = 0", "yyyy-MM-dd HH:mm:ss", "%Y-%m-%d %H:%M:%S", ""),
+            ("event_type = 'click'", "yyyy-MM-dd HH:mm:ss.SSS", "%Y-%m-%d %H:%M:%S.%g", ""),
+            ("event_type = 'view' AND event_id % 3 = 0", "yyyy-MM-dd'T'HH:mm:ss'Z'", "%Y-%m-%dT%H:%M:%SZ", ""),
+            ("event_type = 'view' AND event_id % 3 = 1", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'", "%Y-%m-%dT%H:%M:%S.%gZ", ""),
+            ("event_type = 'view'", "yyyy-MM-dd'T'HH:mm:ss", "%Y-%m-%dT%H:%M:%S", "+02:00"),
+            ("event_type = 'purchase'", "yyyy/MM/dd HH:mm", "%Y/%m/%d %H:%M", ""),
+            ("event_type = 'signup'", "yyyy-MM-dd", "%Y-%m-%d", ""))
+PARSE_FORMATS = ("yyyy/MM/dd HH:mm",)
 
 
 @query("parse_dates", """
 WITH r AS (
-  SELECT event_id, CASE event_type """ + " ".join(
-    f"WHEN '{k}' THEN strftime(ts, '{v}')" for k, v in _SQL_LAYOUTS.items()) + """ ELSE props END AS date_raw
+  SELECT event_id, event_type, ts, CASE """ + " ".join(
+    f"WHEN {when} THEN strftime(ts, '{fmt}') || '{offset}'" for when, _, fmt, offset in _LAYOUTS) + """ ELSE props END AS date_raw
   FROM events
 )
-SELECT event_id, date_raw, strftime(coalesce(""" + ", ".join(
-    f"try_strptime(date_raw, '{v}')" for v in _SQL_LAYOUTS.values()) + """), '%Y-%m-%d %H:%M:%S') AS date_utc
+SELECT event_id, date_raw, CASE
+    WHEN event_type = 'view' AND event_id % 3 = 2 THEN strftime(ts - INTERVAL 2 HOUR, '%Y-%m-%d %H:%M:%S')
+    WHEN event_type IN ('click', 'view') THEN strftime(ts, '%Y-%m-%d %H:%M:%S')
+    WHEN event_type = 'purchase' THEN strftime(date_trunc('minute', ts), '%Y-%m-%d %H:%M:%S')
+    WHEN event_type = 'signup' THEN strftime(date_trunc('day', ts), '%Y-%m-%d %H:%M:%S') END AS date_utc
 FROM r
 """)
 def parse_dates(spark, base):
     e = _events(spark, base).select("event_id", "event_type", "props", F.col("ts").cast("timestamp").alias("ts"))
     raw = F.col("props")
-    for k, v in reversed(list(_LAYOUTS.items())):
-        raw = F.when(F.col("event_type") == k, F.date_format("ts", v)).otherwise(raw)
+    for when, layout, _, offset in reversed(_LAYOUTS):
+        raw = F.when(F.expr(when), F.concat(F.date_format("ts", layout), F.lit(offset))).otherwise(raw)
     e = e.withColumn("date_raw", raw)
     parsed = ex.parse_mixed_timestamp("date_raw", PARSE_FORMATS)
     return e.select("event_id", "date_raw", F.date_format(parsed, "yyyy-MM-dd HH:mm:ss").alias("date_utc"))

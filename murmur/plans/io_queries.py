@@ -45,20 +45,32 @@ def partitioned_eligibility(spark, base):
     return back.groupBy("keyword_eligible").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("selection_outputs")
+_EXPORT_SQL = __import__("murmur.plans.corpus_queries", fromlist=["_EXPORT_ROWS_SQL"])._EXPORT_ROWS_SQL
+
+
+@query("selection_outputs", _EXPORT_SQL)
 def selection_outputs(spark, base):
-    """Eligible / ineligible / selected CSVs and the JSON manifest, read back."""
+    """Eligible / ineligible / selected CSVs and the JSON manifest, written and read back: one row per exported line."""
     from murmur.functions import presets
     from murmur.operators import eligibility as el
     from murmur.plans.corpus_queries import KW, SELECT_FRACTION, _RULE, _flagged_comments
-    flagged = _flagged_comments(spark, base).withColumn(
-        "_doc_id", F.concat_ws(":", "conv_id", "turn")).persist()
-    selected = flagged.filter("selected")
+    flagged = _flagged_comments(spark, base).withColumn("_doc_id", F.col("_id")).persist()
+    counts = el.funnel_counts(flagged)
+    size = counts.first()["selected"]
     out = scratch_dir(spark, "selection")
-    el.write_selection_outputs(flagged, selected, el.funnel_counts(flagged), out, sample_size=-1,
-                               seed=presets.SEED, keyword_count=len(KW), rule=_RULE + f" fraction={SELECT_FRACTION}")
+    el.write_selection_outputs(flagged, counts, out, sample_size=size, seed=presets.SEED, keyword_count=len(KW),
+                               rule=_RULE + f" fraction={SELECT_FRACTION}", raw_path=f"{base}/conversations.parquet")
     flagged.unpersist()
-    return spark.read.json(out + "/selection_manifest_-1_seed42")
+    manifest = spark.read.json(f"{out}/selection_manifest_{size}_seed{presets.SEED}").first()
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in
+                           ("_doc_id", "text", "keyword_match_source", "comment_keyword_match", "post_title_keyword_match")])
+    back = None
+    for name in ("eligible", "ineligible", "selected"):
+        rows = files.read_csv_corpus(spark, manifest["outputs"][name], schema).select(F.lit(name).alias("output"), "*")
+        back = rows if back is None else back.unionByName(rows)
+    return back.select("output", "_doc_id", "text", F.coalesce("keyword_match_source", F.lit("")).alias("keyword_match_source"),
+                       F.col("comment_keyword_match").cast("boolean").alias("comment_keyword_match"),
+                       F.lit(manifest["selected_comments"]).cast("long").alias("selected_comments"))
 
 
 _SPLIT_COUNTS = __import__("murmur.plans.sampling_queries", fromlist=["SPLIT_CTE"]).SPLIT_CTE + """

@@ -1,8 +1,8 @@
 """Session construction and the shared scratch location.
 
 On a cluster the scratch location is the shared folder named by
-``spark.checkpoint.dir``; a machine-local temporary folder is only used when
-that setting is absent (local tests).
+``spark.checkpoint.dir``; where that is unset, a local master (tests) gets a
+temporary folder and any other master is an error.
 """
 
 from __future__ import annotations
@@ -45,28 +45,28 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8,
     return spark
 
 
-# Runtime settings the queries' semantics depend on (weeks and dates are UTC).
-RUNTIME_CONF = {"spark.sql.session.timeZone": "UTC"}
-
-
-def prepare_session(spark: SparkSession) -> None:
-    """Apply the runtime settings to a session built elsewhere (e.g. by a driver)."""
-    for k, v in RUNTIME_CONF.items():
-        if spark.conf.get(k, None) != v:
-            spark.conf.set(k, v)
-    ensure_checkpoint_dir(spark)
+def engine_session(spark: SparkSession) -> SparkSession:
+    """A session for the queries: the caller's own if its time zone is UTC, else a sibling with the caller's
+    settings and UTC (weeks and dates are defined in UTC). The caller's session is never changed."""
+    if spark.conf.get("spark.sql.session.timeZone", None) in ("UTC", "Etc/UTC"):
+        return spark
+    sibling = spark.newSession()
+    for k, v in spark.conf.getAll.items():
+        if sibling.conf.isModifiable(k):
+            sibling.conf.set(k, v)
+    sibling.conf.set("spark.sql.session.timeZone", "UTC")
+    return sibling
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the session's checkpoint folder, creating a local one only if unset."""
+    """The session's shared folder. Only a local master gets a temporary one where none is set: on a cluster each
+    host would write its own."""
     current = spark.conf.get("spark.checkpoint.dir", None)
     if not current:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         current = tempfile.mkdtemp(prefix="murmur-ckpt-")
         spark.conf.set("spark.checkpoint.dir", current)
-    try:
-        spark.sparkContext.setCheckpointDir(current)
-    except Exception:  # noqa: BLE001 - no SparkContext handle (remote session): conf is enough
-        pass
     return current
 
 

@@ -7,33 +7,22 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 
 
+SPREAD_CONF = "spark.murmur.spreadPartitions"
+
+
 def read_table(spark: SparkSession, base_dir: str, name: str,
                spread_key: str | Sequence[str] | None = None) -> DataFrame:
     """``base_dir/name.parquet`` as a DataFrame.
 
     Nothing is selected here on purpose: callers project the columns they need
     and Catalyst prunes the scan (``ReadSchema``) and pushes filters into it.
-    With ``spread_key`` the rows are hash-spread over the cluster's cores when
-    the scan yields fewer splits than cores (an unsplittable file); on a
-    cluster-sized input the scan is already split and nothing is added.
+    With ``spread_key`` and the session setting ``SPREAD_CONF`` the rows are
+    hash-partitioned by that key into as many partitions as the setting says:
+    an explicit choice for tables that lie in one unsplittable file (the bench
+    makes it). Without the setting the scan is left as it is.
     """
     df = spark.read.parquet(f"{base_dir.rstrip('/')}/{name}.parquet")
-    return spread(df, spread_key) if spread_key else df
-
-
-def spread(df: DataFrame, key: str | Sequence[str]) -> DataFrame:
-    """Hash-partition by ``key`` only if the input has fewer partitions than cores.
-
-    ``key`` must be unique per row (a document id), so no value can pile up in
-    one task. Hash (not round-robin) so a later aggregate or window keyed by it
-    (or a superset of it) reuses the partitioning instead of shuffling again.
-    """
-    try:
-        cores = df.sparkSession.sparkContext.defaultParallelism
-        splits = df.rdd.getNumPartitions()
-    except Exception:  # noqa: BLE001 - remote session: leave the scan as planned
+    n = spark.conf.get(SPREAD_CONF, None)
+    if not spread_key or not n:
         return df
-    if splits < cores:
-        keys = [key] if isinstance(key, str) else list(key)
-        return df.repartition(cores * 2, *keys)
-    return df
+    return df.repartition(int(n), *([spread_key] if isinstance(spread_key, str) else spread_key))

@@ -16,16 +16,15 @@ from pyspark.sql import functions as F
 from murmur.operators.annotate import lexicon_annotate
 
 
-def file_stream(spark: SparkSession, path_glob: str, schema, max_files: int = 1) -> DataFrame:
+def file_stream(spark: SparkSession, path_glob: str, schema, max_files: int = 1000) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(path_glob)
 
 
-def run_available(writer, timeout_s: int = 600) -> None:
-    """Process everything available now, then stop (batch-style run of a stream)."""
+def run_available(writer) -> None:
+    """Process everything available now, then stop (batch-style run of a stream). Waits for the end; a failed
+    stream raises."""
     q = writer.trigger(availableNow=True).start()
-    q.awaitTermination(timeout_s)
-    if q.isActive:
-        q.stop()
+    q.awaitTermination()
     if q.exception() is not None:
         raise q.exception()
 
@@ -49,31 +48,32 @@ def stream_score(stream: DataFrame, score: Callable[[DataFrame], DataFrame], out
 
 
 def stream_weekly_volume(stream: DataFrame, out_path: str, checkpoint: str, ts_col: str = "ts",
-                         label_col: str = "event_type", lateness: str = "7 days") -> None:
-    """Weekly (Monday-start, UTC) counts per label, kept current as events arrive.
-
-    Tumbling 7-day windows offset by 4 days from the Thursday epoch start on
-    Mondays. Update mode: each epoch emits only the (week, label) counts it
-    changed, and the watermark lets Spark drop the state of weeks that can no
-    longer change, so state stays bounded on an endless stream. The sink is an
-    upsert by epoch: every epoch writes its own folder (a replayed epoch
-    overwrites itself) and ``read_weekly_volume`` keeps the latest count per key.
-    """
-    ts = F.col(ts_col).cast("timestamp")
-    agg = (stream.withColumn("_ts", ts).withWatermark("_ts", lateness)
-                 .groupBy(F.window("_ts", "7 days", startTime="4 days").alias("w"), F.col(label_col))
-                 .agg(F.count(F.lit(1)).alias("comments")))
+                         label_col: str = "event_type") -> None:
+    """Weekly (Monday-start, UTC) counts per label, exact however late events arrive.
 
+    Every micro-batch writes its own counts to a folder of its epoch (a
+    replayed epoch overwrites itself), and ``read_weekly_volume`` adds the
+    epochs. Counts are additive, so neither state nor a watermark is needed and
+    no late row is lost. ``compact_weekly_volume`` keeps the folders few.
+    """
     def sink(batch: DataFrame, epoch: int) -> None:
-        (batch.select(F.col("w.start").alias("week"), label_col, "comments")
-              .write.mode("overwrite").parquet(f"{out_path}/epoch={epoch}"))
+        ts = F.col(ts_col).cast("timestamp")
+        counts = (batch.filter(ts.isNotNull())
+                  .groupBy(F.window(ts, "7 days", startTime="4 days").alias("w"), F.col(label_col))
+                  .agg(F.count(F.lit(1)).alias("comments")))
+        (counts.select(F.col("w.start").alias("week"), label_col, "comments")
+               .write.mode("overwrite").parquet(f"{out_path}/epoch={epoch}"))
 
-    run_available(agg.writeStream.outputMode("update").foreachBatch(sink)
-                  .option("checkpointLocation", checkpoint))
+    run_available(stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint))
 
 
 def read_weekly_volume(spark: SparkSession, out_path: str, label_col: str = "event_type") -> DataFrame:
-    """Current table of an upsert-by-epoch sink: the latest epoch's count per key."""
-    rows = spark.read.parquet(out_path)
-    return (rows.groupBy("week", label_col)
-                .agg(F.max_by("comments", "epoch").alias("comments")))
+    """The current table: the sum of all epochs' counts."""
+    return spark.read.parquet(out_path).groupBy("week", label_col).agg(F.sum("comments").alias("comments"))
+
+
+def compact_weekly_volume(spark: SparkSession, out_path: str, compacted_path: str, label_col: str = "event_type") -> DataFrame:
+    """Write the sum of all epochs of a stopped stream as epoch -1 below a new folder, which a stream with a new
+    checkpoint may go on filling."""
+    read_weekly_volume(spark, out_path, label_col).write.mode("overwrite").parquet(f"{compacted_path}/epoch=-1")
+    return read_weekly_volume(spark, compacted_path, label_col)
