@@ -126,6 +126,21 @@ CODEBOOK_NEUTRAL = (
     "signed into law", "provides that", "states", "what does the act say",
     "an amendment is", "defines", "according to",
 )
+# Terms with fixed orientation (rule 6).
+CODEBOOK_FIXED = (
+    "chilling effect", "surveillance state", "surveillance tool",
+    "criminalise online speech", "long overdue", "much needed",
+    "unconstitutional", "violates rights", "political tool", "weaponise",
+    "vague", "poorly drafted", "lacks clarity", "good move", "good job",
+    "well done",
+)
+# Words that negate the signal after them (rule 3), as they stand once
+# punctuation is a space, and words that may stand between.
+CODEBOOK_NEGATORS = (
+    "not", "no", "never", "cannot", "isn t", "aren t", "wasn t", "weren t",
+    "don t", "doesn t", "didn t", "won t", "can t",
+)
+CODEBOOK_BETWEEN = ("a", "an", "the", "at all", "very", "really", "so", "too", "even")
 # Fewer meaningful words than this and no signal -> UNCERTAIN (rule 8).
 SHORT_COMMENT_WORDS = 5
 
@@ -136,6 +151,9 @@ PROMPT_TITLE_CHARS = 300
 PROMPT_HEAD = "Classify the following Facebook comment."
 PROMPT_TITLE_HEADER = "PARENT POST TITLE (context only — do not label this):"
 PROMPT_COMMENT_HEADER = "COMMENT TEXT:"
+ERROR_MESSAGE_CHARS = 100
+CONNECTION_FAILURE_RULE = "Connection error"
+OTHER_FAILURE_RULE = "API error"
 PARSE_FAILURE = ("UNCERTAIN", "LOW", "JSON parse error — model output malformed.", "Parse failure")
 
 # ---------------------------------------------------------------------------

@@ -9,6 +9,7 @@ an ``ERROR`` row instead of a failed job.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Sequence
 
 import pandas as pd
@@ -22,36 +23,70 @@ from murmur.functions import text as tx
 ANNOTATION_FIELDS = ("label", "confidence", "rationale", "rule_applied")
 
 
-def _phrase_hits(padded: Column, phrases: Sequence[str]) -> Column:
-    """Number of distinct phrases present as whole words."""
-    total = F.lit(0)
-    for p in dict.fromkeys(p.lower() for p in phrases):
-        total = total + F.when(padded.contains(f" {p} "), 1).otherwise(0)
-    return total
+def _spaced(phrases: Sequence[str]) -> list[str]:
+    """Phrases as they stand in text whose words are two spaces apart."""
+    return [p.lower().replace(" ", "  ") for p in dict.fromkeys(phrases)]
+
+
+def negation_prefix(negators: Sequence[str] = presets.CODEBOOK_NEGATORS,
+                    between: Sequence[str] = presets.CODEBOOK_BETWEEN) -> str:
+    return f"(?:{'|'.join(_spaced(negators))})  (?:(?:{'|'.join(_spaced(between))})  )?"
+
+
+def signal_pattern(phrases: Sequence[str]) -> str:
+    """One signal phrase, with the negator before it if there is one; longer phrases are tried first, so that
+    "surveillance state" is one signal and not also "surveillance". For text whose words are two spaces apart:
+    every match takes one space on either side, so neighbouring signals are both found."""
+    ordered = sorted(_spaced(phrases), key=lambda p: (-len(p), p))
+    return f" (?:{negation_prefix()})?(?:{'|'.join(ordered)}) "
 
 
 def lexicon_annotate(df: DataFrame, text_col: str = "text",
                      negative: Sequence[str] = presets.CODEBOOK_NEGATIVE,
                      positive: Sequence[str] = presets.CODEBOOK_POSITIVE,
                      neutral: Sequence[str] = presets.CODEBOOK_NEUTRAL,
+                     fixed: Sequence[str] = presets.CODEBOOK_FIXED,
                      short_words: int = presets.SHORT_COMMENT_WORDS) -> DataFrame:
-    """Adds ``ai_label``, ``ai_confidence``, ``ai_rationale``, ``ai_rule_applied``.
-
-    Rules in order: short comment without signal -> UNCERTAIN/LOW (rule 8);
-    one side dominates -> that side, HIGH when ahead by 2+ else MEDIUM
-    (rule 2); equal non-zero -> NEUTRAL/LOW (rule 2, balanced); no evaluative
-    signal -> NEUTRAL, MEDIUM with informational phrasing else LOW.
+    """Adds ``ai_label``, ``ai_confidence``, ``ai_rationale``, ``ai_rule_applied`` by the codebook's rules.
+
+    Signals are the different phrases found, the longest first at each place
+    (``signal_pattern``). A negated signal counts for the other side (rule 3).
+    Short comments without signal are UNCERTAIN/LOW (rule 8); the side with
+    more signals is the label, HIGH when ahead by 2 or more, else MEDIUM (rule
+    2); equal sides are NEUTRAL/LOW; without evaluative signal NEUTRAL, MEDIUM
+    with informational phrasing, else LOW. The rule named is 3 where a negated
+    signal is on the deciding side, else 6 where a term of fixed orientation
+    is, else 2.
     """
-    # The normalised text is its own column so it is built once per row, not
-    # once per phrase test.
-    df = df.withColumn("_padded", tx.padded_boundary_text(text_col))
-    padded = F.col("_padded")
-    # The four counters come out of a one-row generator: a filter on the labels
-    # (routing) is then evaluated on these integers instead of being rewritten
-    # into dozens of copies of the phrase tests.
-    counters = F.struct(_phrase_hits(padded, negative).alias("_neg"), _phrase_hits(padded, positive).alias("_pos"),
-                        _phrase_hits(padded, neutral).alias("_neu"), tx.word_token_count(text_col).alias("_words"))
-    out = df.select("*", F.inline(F.array(counters))).drop("_padded")
+    spaced = F.regexp_replace(tx.padded_boundary_text(text_col), " ", "  ")
+    found = F.array_distinct(F.regexp_extract_all(spaced, F.lit(signal_pattern([*negative, *positive, *neutral])), F.lit(0)))
+    prefix = f"^ {negation_prefix()}"
+    hits = F.transform(found, lambda h: F.struct(
+        h.rlike(prefix).alias("negated"), F.trim(F.regexp_replace(h, prefix, "")).alias("phrase")))
+
+    def among(h: Column, phrases: Sequence[str]) -> Column:
+        return h["phrase"].isin(*_spaced(phrases))
+
+    def side(h: Column, own: Sequence[str], other: Sequence[str]) -> Column:
+        return (among(h, own) & ~h["negated"]) | (among(h, other) & h["negated"])
+
+    def count(hits_col: Column, test) -> Column:
+        return F.size(F.filter(hits_col, test))
+
+    # The hits are made once; the counters come out of a one-row generator, so that a filter on the labels (routing)
+    # is evaluated on these integers instead of being rewritten into copies of the search.
+    df = df.withColumn("_hits", hits)
+    h = F.col("_hits")
+    counters = F.struct(
+        count(h, lambda x: side(x, negative, positive)).alias("_neg"),
+        count(h, lambda x: side(x, positive, negative)).alias("_pos"),
+        count(h, lambda x: among(x, neutral)).alias("_neu"),
+        count(h, lambda x: side(x, negative, positive) & x["negated"]).alias("_neg3"),
+        count(h, lambda x: side(x, positive, negative) & x["negated"]).alias("_pos3"),
+        count(h, lambda x: side(x, negative, positive) & among(x, fixed)).alias("_neg6"),
+        count(h, lambda x: side(x, positive, negative) & among(x, fixed)).alias("_pos6"),
+        tx.word_token_count(text_col).alias("_words"))
+    out = df.select("*", F.inline(F.array(counters))).drop("_hits")
     neg, pos, neu, words = F.col("_neg"), F.col("_pos"), F.col("_neu"), F.col("_words")
     no_signal = (neg == 0) & (pos == 0)
     short = no_signal & (words < short_words)
@@ -65,7 +100,11 @@ def lexicon_annotate(df: DataFrame, text_col: str = "text",
                    .when(margin == 1, F.lit("MEDIUM"))
                    .when(no_signal & (neu > 0), F.lit("MEDIUM"))
                    .otherwise(F.lit("LOW")))
+    decided3 = ((neg > pos) & (F.col("_neg3") > 0)) | ((pos > neg) & (F.col("_pos3") > 0))
+    decided6 = ((neg > pos) & (F.col("_neg6") > 0)) | ((pos > neg) & (F.col("_pos6") > 0))
     rule = (F.when(short, F.lit("Rule 8: very short comment without signal"))
+             .when(decided3, F.lit("Rule 3: negation"))
+             .when(decided6, F.lit("Rule 6: term with fixed orientation"))
              .when(neg > pos, F.lit("Rule 2: negative signals dominate"))
              .when(pos > neg, F.lit("Rule 2: positive signals dominate"))
              .when(~no_signal, F.lit("Rule 2: balanced mixed sentiment"))
@@ -73,7 +112,7 @@ def lexicon_annotate(df: DataFrame, text_col: str = "text",
              .otherwise(F.lit("NEUTRAL definition: no evaluative signal")))
     rationale = F.format_string("negative=%d positive=%d neutral=%d words=%d", neg, pos, neu, words)
     return out.withColumns({"ai_label": label, "ai_confidence": confidence, "ai_rationale": rationale,
-                            "ai_rule_applied": rule}).drop("_neg", "_pos", "_neu", "_words")
+                            "ai_rule_applied": rule}).drop("_neg", "_pos", "_neu", "_neg3", "_pos3", "_neg6", "_pos6", "_words")
 
 
 JSON_OBJECT_RE = r'(?s)\{[^{}]*"label"[^{}]*\}'
@@ -165,8 +204,10 @@ def annotate_with(df: DataFrame, fn: Callable[[dict], dict], key: str, text_col:
                   title_col: str | None = None) -> DataFrame:
     """Plug-in annotator ``record -> {label, confidence, rationale, rule_applied}``.
 
-    Runs in Arrow batches on the executors; an exception in ``fn`` yields an
-    ``ERROR``/``LOW`` row with the message cut to 100 characters.
+    Runs in Arrow batches on the executors. A reply that is no JSON (``ValueError``
+    of a parser) is the fixed parse-failure record; a failed connection and any
+    other exception are ``ERROR``/``LOW`` rows of their own rule names, with the
+    message cut to ``presets.ERROR_MESSAGE_CHARS`` characters.
     """
     cols = [key, text_col] + ([title_col] if title_col else [])
     out_schema = T.StructType([df.schema[key]] + [T.StructField(f"ai_{k}", T.StringType())
@@ -178,9 +219,12 @@ def annotate_with(df: DataFrame, fn: Callable[[dict], dict], key: str, text_col:
             for rec in pdf.to_dict("records"):
                 try:
                     res = fn(rec) or {}
+                except json.JSONDecodeError:
+                    res = dict(zip(ANNOTATION_FIELDS, presets.PARSE_FAILURE, strict=True))
                 except Exception as e:  # noqa: BLE001 - recorded as an ERROR annotation
-                    res = {"label": "ERROR", "confidence": "LOW", "rationale": str(e)[:100],
-                           "rule_applied": "API error"}
+                    rule = presets.CONNECTION_FAILURE_RULE if isinstance(e, ConnectionError) else presets.OTHER_FAILURE_RULE
+                    res = {"label": "ERROR", "confidence": "LOW", "rationale": str(e)[:presets.ERROR_MESSAGE_CHARS],
+                           "rule_applied": rule}
                 rows.append({key: rec[key], **{f"ai_{k}": res.get(k) for k in ANNOTATION_FIELDS}})
             yield pd.DataFrame(rows, columns=[f.name for f in out_schema.fields])
 

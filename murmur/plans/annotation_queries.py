@@ -12,18 +12,37 @@ from murmur.plans.registry import query
 from murmur.sources.tables import read_table
 
 
-def _phrase_sql(padded: str, phrases) -> str:
-    return "(" + " + ".join(f"CASE WHEN contains({padded}, {S.q(' ' + p.lower() + ' ')}) THEN 1 ELSE 0 END"
-                            for p in dict.fromkeys(p.lower() for p in phrases)) + ")"
+def _list_sql(phrases) -> str:
+    return S.str_list([p.lower().replace(" ", "  ") for p in dict.fromkeys(phrases)])
 
 
+_NEG, _POS = presets.CODEBOOK_NEGATIVE, presets.CODEBOOK_POSITIVE
 _PAD = S.padded_boundary("text")
+_PREFIX = an.negation_prefix()
+_SIDE = {"neg": f"(list_contains({_list_sql(_NEG)}, h.p) AND NOT h.n OR list_contains({_list_sql(_POS)}, h.p) AND h.n)",
+         "pos": f"(list_contains({_list_sql(_POS)}, h.p) AND NOT h.n OR list_contains({_list_sql(_NEG)}, h.p) AND h.n)"}
+_FIXED = f"list_contains({_list_sql(presets.CODEBOOK_FIXED)}, h.p)"
+
+
+def _hits_sql(test: str) -> str:
+    return f"len(list_filter(hits, lambda h: {test}))"
+
+
 LEXICON_CTE = f"""
-WITH lx0 AS (
-  SELECT doc_id, text, {_phrase_sql(_PAD, presets.CODEBOOK_NEGATIVE)} AS neg,
-         {_phrase_sql(_PAD, presets.CODEBOOK_POSITIVE)} AS pos,
-         {_phrase_sql(_PAD, presets.CODEBOOK_NEUTRAL)} AS neu, {S.word_token_count('text')} AS words
+WITH lw AS (
+  SELECT doc_id, text, {S.word_token_count('text')} AS words,
+         list_distinct(regexp_extract_all(replace({_PAD}, ' ', '  '), {S.q(an.signal_pattern([*_NEG, *_POS, *presets.CODEBOOK_NEUTRAL]))})) AS f
   FROM documents
+), lh AS (
+  SELECT doc_id, text, words, list_transform(f, lambda x: {{'n': regexp_matches(x, {S.q('^ ' + _PREFIX)}),
+         'p': trim(regexp_replace(x, {S.q('^ ' + _PREFIX)}, ''))}}) AS hits
+  FROM lw
+), lx0 AS (
+  SELECT doc_id, text, words, {_hits_sql(_SIDE['neg'])} AS neg, {_hits_sql(_SIDE['pos'])} AS pos,
+         {_hits_sql(f"list_contains({_list_sql(presets.CODEBOOK_NEUTRAL)}, h.p)")} AS neu,
+         {_hits_sql(_SIDE['neg'] + ' AND h.n')} AS neg3, {_hits_sql(_SIDE['pos'] + ' AND h.n')} AS pos3,
+         {_hits_sql(_SIDE['neg'] + ' AND ' + _FIXED)} AS neg6, {_hits_sql(_SIDE['pos'] + ' AND ' + _FIXED)} AS pos6
+  FROM lh
 ), lx1 AS (
   SELECT *, (neg = 0 AND pos = 0) AS no_signal, (neg = 0 AND pos = 0 AND words < {presets.SHORT_COMMENT_WORDS}) AS short
   FROM lx0
@@ -35,6 +54,8 @@ WITH lx0 AS (
          WHEN no_signal AND neu > 0 THEN 'MEDIUM' ELSE 'LOW' END AS ai_confidence,
     printf('negative=%d positive=%d neutral=%d words=%d', neg, pos, neu, words) AS ai_rationale,
     CASE WHEN short THEN 'Rule 8: very short comment without signal'
+         WHEN neg > pos AND neg3 > 0 OR pos > neg AND pos3 > 0 THEN 'Rule 3: negation'
+         WHEN neg > pos AND neg6 > 0 OR pos > neg AND pos6 > 0 THEN 'Rule 6: term with fixed orientation'
          WHEN neg > pos THEN 'Rule 2: negative signals dominate'
          WHEN pos > neg THEN 'Rule 2: positive signals dominate'
          WHEN NOT no_signal THEN 'Rule 2: balanced mixed sentiment'
@@ -98,18 +119,9 @@ parsed AS (
 )"""
 
 
-def parsed(spark, base, materialise: bool = False):
-    """Parsed annotator replies.
-
-    ``materialise`` stores the replies first (reliable checkpoint in the shared
-    checkpoint folder), as a reply table from an external annotator would be:
-    a filter on the parsed fields must not be rewritten into the expression
-    tree that produced the replies.
-    """
-    o = model_outputs(spark, base)
-    if materialise:
-        o = o.checkpoint(eager=True)
-    return o.select("src", "id", an.parse_annotation(F.col("raw")).alias("p")).select("src", "id", "p.*")
+def parsed(spark, base):
+    """Parsed annotator replies."""
+    return model_outputs(spark, base).select("src", "id", an.parse_annotation(F.col("raw")).alias("p")).select("src", "id", "p.*")
 
 
 @query("parse_annotations", _PARSED_CTE + " SELECT * FROM parsed")
@@ -127,7 +139,7 @@ SELECT src, id, label AS ai_label, confidence AS ai_confidence, '' AS human_labe
 FROM parsed WHERE {_REVIEW}
 """)
 def review_queue(spark, base):
-    p = parsed(spark, base, materialise=True).select("src", "id", F.col("label").alias("ai_label"),
+    p = parsed(spark, base).select("src", "id", F.col("label").alias("ai_label"),
                                    F.col("confidence").alias("ai_confidence"))
     return an.review_queue(p)
 
@@ -136,7 +148,7 @@ def review_queue(spark, base):
 SELECT src, id, label AS ai_label, confidence AS ai_confidence FROM parsed WHERE {_CONFIRMED}
 """)
 def confirmed_labels(spark, base):
-    p = parsed(spark, base, materialise=True).select("src", "id", F.col("label").alias("ai_label"),
+    p = parsed(spark, base).select("src", "id", F.col("label").alias("ai_label"),
                                    F.col("confidence").alias("ai_confidence"))
     return an.confirmed_labels(p)
 
