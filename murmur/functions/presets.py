@@ -167,3 +167,17 @@ REPRESENTATIVE_DOCS = 5
 MAX_SEQUENCE_LEN = 60
 NUM_WORDS = 20000
 COHERENCE_WINDOW = 110
+
+# ---------------------------------------------------------------------------
+# FIXED VALUES — model settings of the reference's training jobs.
+# ---------------------------------------------------------------------------
+W2V_DIM = 300
+W2V_EPOCHS = 30
+LDA_PASSES = 15
+LDA_SEARCH_PASSES = 8
+LDA_K_RANGE = (3, 10)
+DICTIONARY_TERMS = 100_000
+FOLDS = 10
+TEXT_GRID = {"n_max": (1, 2), "max_features": (10_000, 20_000, None), "c": (0.1, 1.0, 10.0)}
+DENSE_GRID = (("linear", None), ("rbf", "scale"), ("rbf", 0.01))
+DENSE_C = (1.0, 10.0, 100.0)

@@ -9,7 +9,10 @@ bounded by vocabulary x topics, not by the corpus.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+import warnings
+from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pandas as pd
@@ -21,6 +24,7 @@ from pyspark.ml.evaluation import Evaluator
 from pyspark.ml.feature import (CountVectorizer, IDF, IndexToString, Normalizer, SQLTransformer, StandardScaler,
                                 StringIndexer, Word2Vec)
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.ml.param.shared import HasInputCol, HasOutputCol, Param, Params, TypeConverters
 from pyspark.ml.stat import Summarizer
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
@@ -36,13 +40,16 @@ from murmur.functions.text import WS_RE
 # Word vectors
 # --------------------------------------------------------------------------
 
+# Shards that Word2Vec trains side by side. A fixed number, so that the vectors do not depend on the cluster's size.
+W2V_SHARDS = 8
+# A word-vector matrix up to this size is broadcast to score documents without a shuffle.
+BROADCAST_VECTOR_BYTES = 512 << 20
+
+
 def fit_word2vec(df: DataFrame, tokens_col: str, vector_size: int = 300, window: int = 5, min_count: int = 2,
-                 epochs: int = 1, seed: int = presets.SEED, partitions: int | None = None):
-    """Skip-gram Word2Vec trained on ``partitions`` parallel shards (default: one
-    per core of the cluster). ``partitions=1`` is bit-reproducible but trains the
+                 epochs: int = 30, seed: int = presets.SEED, partitions: int = W2V_SHARDS):
+    """Skip-gram Word2Vec on ``partitions`` parallel shards. ``partitions=1`` is bit-reproducible but trains the
     whole corpus in a single task, which does not scale."""
-    if partitions is None:
-        partitions = df.sparkSession.sparkContext.defaultParallelism
     w2v = Word2Vec(vectorSize=vector_size, windowSize=window, minCount=min_count, maxIter=epochs, seed=seed,
                    numPartitions=partitions, inputCol=tokens_col, outputCol="_w2v")
     return w2v.fit(df)
@@ -52,9 +59,13 @@ def mean_vectors(df: DataFrame, id_col: str, tokens_col: str, vectors: DataFrame
     """Mean of the *in-vocabulary* word vectors per document; zeros if none.
 
     (``Word2VecModel.transform`` divides by all tokens, OOV included, which is
-    not the same.) Tokens are joined to the vector table (vocabulary-sized, so
-    AQE may broadcast it), then ``Summarizer.mean`` folds vectors per document.
+    not the same.) The vectors' size is counted first. Up to
+    ``BROADCAST_VECTOR_BYTES`` they are broadcast as one matrix and each document
+    is averaged where it is read; a larger table is joined by word.
     """
+    n_words = vectors.count()
+    if n_words * (dim * 4 + 64) <= BROADCAST_VECTOR_BYTES:
+        return _mean_broadcast(df, id_col, tokens_col, vectors, dim)
     from murmur.operators.features import explode_terms
     ex = explode_terms(df, tokens_col, id_col, name="word")
     j = ex.join(vectors.select("word", "vector"), "word", "inner")
@@ -66,6 +77,23 @@ def mean_vectors(df: DataFrame, id_col: str, tokens_col: str, vectors: DataFrame
                       F.coalesce("_a", zeros).alias("doc_vector"))
 
 
+def _mean_broadcast(df: DataFrame, id_col: str, tokens_col: str, vectors: DataFrame, dim: int) -> DataFrame:
+    rows = vectors.select("word", vector_to_array("vector", "float32").alias("v")).collect()  # size checked by the caller
+    matrix = np.array([r["v"] for r in rows], dtype=np.float32).reshape(len(rows), dim)
+    shared = df.sparkSession.sparkContext.broadcast(({r["word"]: i for i, r in enumerate(rows)}, matrix))
+
+    @F.pandas_udf("struct<n_in_vocab: long, doc_vector: array<double>>")
+    def mean(tokens: pd.Series) -> pd.DataFrame:
+        index, m = shared.value
+        n, out = [], []
+        for own in tokens:
+            at = [index[t] for t in (own if own is not None else ()) if t in index]
+            n.append(len(at))
+            out.append(m[at].mean(axis=0, dtype=np.float64) if at else np.zeros(dim))
+        return pd.DataFrame({"n_in_vocab": n, "doc_vector": out})
+    return df.select(id_col, mean(tokens_col).alias("_x")).select(id_col, "_x.n_in_vocab", "_x.doc_vector")
+
+
 def embedding_coverage(vocab: DataFrame, vectors: DataFrame) -> DataFrame:
     """Share of vocabulary terms with a vector (misses get a zero vector downstream)."""
     found = vectors.select(F.col("word").alias("term"), F.lit(True).alias("_found"))
@@ -153,8 +181,47 @@ class RandomFourierFeatures(Transformer, HasInputCol, HasOutputCol, DefaultParam
 # Text classifier pipeline (cleaning inside the pipeline: train/score cannot drift)
 # --------------------------------------------------------------------------
 
-def _token_sql(text_col: str) -> str:
-    """SQL form of the shared token pipeline for ``SQLTransformer``."""
+class SublinearTermFrequency(Transformer, HasInputCol, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable):
+    """1 + ln(tf) for every term present. Vectors are no Arrow type, so this is a row function (numpy inside)."""
+
+    @keyword_only
+    def __init__(self, inputCol: str = "_counts", outputCol: str = "_tf"):
+        super().__init__()
+        self._setDefault(inputCol="_counts", outputCol="_tf")
+        self._set(**self._input_kwargs)
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        @F.udf(VectorUDT())
+        def sublinear(v):
+            return Vectors.sparse(v.size, v.indices, 1.0 + np.log(v.values)) if len(v.indices) else v
+        return dataset.withColumn(self.getOutputCol(), sublinear(F.col(self.getInputCol())))
+
+
+class SmoothedIdf(Transformer, HasInputCol, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable):
+    """tf * (idf + 1), from tf and tf * idf: a term in every document keeps its weight."""
+
+    tfCol = Param(Params._dummy(), "tfCol", "term frequencies", typeConverter=TypeConverters.toString)
+
+    @keyword_only
+    def __init__(self, inputCol: str = "_tfidf0", tfCol: str = "_tf", outputCol: str = "_tfidf"):
+        super().__init__()
+        self._setDefault(inputCol="_tfidf0", tfCol="_tf", outputCol="_tfidf")
+        self._set(**self._input_kwargs)
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        @F.udf(VectorUDT())
+        def add(a, b):
+            return Vectors.sparse(a.size, b.indices, a.toArray()[b.indices] + b.values) if len(a.indices) != len(b.indices) \
+                else Vectors.sparse(a.size, a.indices, a.values + b.values)
+        return dataset.withColumn(self.getOutputCol(), add(F.col(self.getInputCol()), F.col(self.getOrDefault(self.tfCol))))
+
+
+# CountVectorizer's largest vocabulary: no limit in practice.
+ALL_FEATURES = 2**31 - 1
+
+
+def _token_sql(text_col: str, n_max: int = 1) -> str:
+    """SQL form of the shared token pipeline (with word pairs for ``n_max=2``) for ``SQLTransformer``."""
     from murmur.functions.text import HASHTAG_RE, MENTION_RE, NON_LATIN_RE, URL_RE, default_stopwords
     stop = ", ".join(f"'{w}'" for w in default_stopwords())
 
@@ -163,21 +230,74 @@ def _token_sql(text_col: str) -> str:
     t = f"lower(coalesce({text_col}, ''))"
     for pat, rep in ((URL_RE, " "), (MENTION_RE, " "), (HASHTAG_RE, "$1"), (NON_LATIN_RE, " ")):
         t = f"regexp_replace({t}, {lit(pat)}, {lit(rep)})"
-    return (f"filter(split({t}, {lit(WS_RE)}), w -> length(w) >= 2 AND NOT array_contains(array({stop}), w))")
+    toks = f"filter(split({t}, {lit(WS_RE)}), w -> length(w) >= 2 AND NOT array_contains(array({stop}), w))"
+    if n_max == 1:
+        return toks
+    if n_max != 2:
+        raise ValueError("ngram_range up to (1, 2) is supported")
+    return (f"element_at(transform(array({toks}), t -> concat(t, zip_with(slice(t, 1, greatest(size(t) - 1, 0)), "
+            f"slice(t, 2, greatest(size(t) - 1, 0)), (a, b) -> concat(a, ' ', b)))), 1)")
+
+
+def text_feature_stages(text_col: str = "text", min_df: int = 2, max_features: int | None = None, n_max: int = 1) -> list:
+    """clean -> tokens (1..n_max grams) -> 1 + ln(tf) -> idf + 1 -> L2. ``max_features`` keeps the terms most frequent
+    in the corpus; None keeps all."""
+    return [SQLTransformer(statement=f"SELECT *, {_token_sql(text_col, n_max)} AS _tokens FROM __THIS__"),
+            CountVectorizer(inputCol="_tokens", outputCol="_counts", minDF=min_df, vocabSize=max_features or ALL_FEATURES),
+            SublinearTermFrequency(inputCol="_counts", outputCol="_tf"), IDF(inputCol="_tf", outputCol="_tfidf0"),
+            SmoothedIdf(inputCol="_tfidf0", tfCol="_tf", outputCol="_tfidf"),
+            Normalizer(inputCol="_tfidf", outputCol="features", p=2.0)]
+
+
+def regularisation(c: float, n: int) -> float:
+    """The regularisation of the mean loss over ``n`` rows that equals the penalty ``c`` on the summed loss."""
+    return 1.0 / (c * max(n, 1))
+
+
+def linear_svm(features_col: str = "features", label_col: str = "_y", weight_col: str | None = "weight", reg: float = 0.01,
+               max_iter: int = 100, tol: float = 1e-4) -> OneVsRest:
+    """One-vs-rest linear SVM with class weights."""
+    weight = {"weightCol": weight_col} if weight_col else {}
+    return OneVsRest(classifier=LinearSVC(regParam=reg, maxIter=max_iter, tol=tol, **weight), labelCol=label_col,
+                     featuresCol=features_col, predictionCol="_pred", parallelism=4, **weight)
 
 
 def text_svm_pipeline(text_col: str = "text", label_col: str = "label", weight_col: str | None = "weight",
-                      min_df: int = 2, vocab_size: int = 1 << 18, reg: float = 0.01, max_iter: int = 20) -> Pipeline:
-    """clean -> tokens -> counts -> idf -> L2 -> one-vs-rest linear SVM -> label string."""
-    tok = SQLTransformer(statement=f"SELECT *, {_token_sql(text_col)} AS _tokens FROM __THIS__")
+                      min_df: int = 2, max_features: int | None = None, n_max: int = 1, reg: float = 0.01,
+                      max_iter: int = 100) -> Pipeline:
+    """Text features -> one-vs-rest linear SVM -> label string."""
     idx = StringIndexer(inputCol=label_col, outputCol="_y", stringOrderType="alphabetAsc", handleInvalid="keep")
-    cv = CountVectorizer(inputCol="_tokens", outputCol="_tf", minDF=min_df, vocabSize=vocab_size)
-    idf = IDF(inputCol="_tf", outputCol="_tfidf")
-    norm = Normalizer(inputCol="_tfidf", outputCol="features", p=2.0)
-    svm = LinearSVC(regParam=reg, maxIter=max_iter, **({"weightCol": weight_col} if weight_col else {}))
-    ovr = OneVsRest(classifier=svm, labelCol="_y", featuresCol="features", predictionCol="_pred", parallelism=4,
-                    **({"weightCol": weight_col} if weight_col else {}))
-    return Pipeline(stages=[tok, idx, cv, idf, norm, ovr])
+    return Pipeline(stages=[idx, *text_feature_stages(text_col, min_df, max_features, n_max),
+                            linear_svm("features", "_y", weight_col, reg, max_iter)])
+
+
+def cross_validated(rows: DataFrame, fold_col: str, feature_stages: dict[str, list], fits: dict[str, Callable[[int], OneVsRest]],
+                    label_col: str = "_y", threads: int = 4) -> list[tuple[str, str, float]]:
+    """(features, fit, mean macro-F1) over all folds for every pair of feature settings and fits.
+
+    Features are fitted once per setting and fold (on the fold's training rows) and kept while the fits read them;
+    ``fits`` make an estimator for a number of training rows.
+    """
+    folds = sorted(r[0] for r in rows.select(fold_col).distinct().collect())  # the fold numbers
+    evaluator = MacroF1Evaluator(labelCol=label_col, predictionCol="_pred")
+
+    def one(job: tuple[str, int]) -> list[tuple[str, str, float]]:
+        setting, fold = job
+        train, held = rows.filter(F.col(fold_col) != fold), rows.filter(F.col(fold_col) == fold)
+        model = Pipeline(stages=feature_stages[setting]).fit(train)
+        needed = [c for c in (label_col, "weight") if c in rows.columns]
+        last = feature_stages[setting][-1].getOutputCol()
+        a = model.transform(train).select(*needed, F.col(last).alias("features")).persist()
+        b = model.transform(held).select(*needed, F.col(last).alias("features")).persist()
+        n = a.count()
+        out = [(setting, name, evaluator.evaluate(make(n).fit(a).transform(b))) for name, make in fits.items()]
+        a.unpersist()
+        b.unpersist()
+        return out
+
+    with ThreadPoolExecutor(threads) as pool:
+        scores = [x for part in pool.map(one, [(s, f) for s in feature_stages for f in folds]) for x in part]
+    return [(s, name, sum(v for a, b, v in scores if (a, b) == (s, name)) / len(folds)) for s in feature_stages for name in fits]
 
 
 def decode_predictions(model, df: DataFrame, out_col: str = "predicted_label") -> DataFrame:
@@ -187,21 +307,25 @@ def decode_predictions(model, df: DataFrame, out_col: str = "predicted_label") -
     return conv.transform(df)
 
 
+def dense_feature_stages(vec_col: str = "features", kernel: str = "rbf", num_features: int = 1024, gamma: float | str = "scale",
+                         input_dim: int = 64) -> list:
+    """standardise -> (random Fourier features). After standardising, gamma ``scale`` is 1 / width."""
+    stages: list = [StandardScaler(inputCol=vec_col, outputCol="_std", withMean=True, withStd=True)]
+    if kernel == "rbf":
+        g = 1.0 / input_dim if gamma == "scale" else float(gamma)
+        stages.append(RandomFourierFeatures(inputCol="_std", outputCol="_rff", numFeatures=num_features, gamma=g,
+                                            inputDim=input_dim))
+    elif kernel != "linear":
+        raise ValueError("kernel is rbf or linear")
+    return stages
+
+
 def dense_svm_pipeline(vec_col: str = "features", label_col: str = "label", weight_col: str | None = "weight",
-                       kernel: str = "rbf", num_features: int = 256, gamma: float = 0.01, reg: float = 0.01,
-                       max_iter: int = 20, input_dim: int = 64) -> Pipeline:
+                       kernel: str = "rbf", num_features: int = 1024, gamma: float | str = "scale", reg: float = 0.01,
+                       max_iter: int = 100, input_dim: int = 64) -> Pipeline:
     """standardise -> (random Fourier features) -> one-vs-rest linear SVM."""
-    scaler = StandardScaler(inputCol=vec_col, outputCol="_std", withMean=True, withStd=True)
-    stages: list = [scaler]
-    feat = "_std"
-    if kernel == "rbf":
-        stages.append(RandomFourierFeatures(inputCol="_std", outputCol="_rff", numFeatures=num_features,
-                                            gamma=gamma, inputDim=input_dim))
-        feat = "_rff"
-    svm = LinearSVC(regParam=reg, maxIter=max_iter, **({"weightCol": weight_col} if weight_col else {}))
-    stages.append(OneVsRest(classifier=svm, labelCol=label_col, featuresCol=feat, predictionCol="_pred", parallelism=4,
-                            **({"weightCol": weight_col} if weight_col else {})))
-    return Pipeline(stages=stages)
+    stages = dense_feature_stages(vec_col, kernel, num_features, gamma, input_dim)
+    return Pipeline(stages=[*stages, linear_svm(stages[-1].getOutputCol(), label_col, weight_col, reg, max_iter)])
 
 
 # --------------------------------------------------------------------------
@@ -209,18 +333,25 @@ def dense_svm_pipeline(vec_col: str = "features", label_col: str = "label", weig
 # --------------------------------------------------------------------------
 
 def bag_of_words(df: DataFrame, tokens_col: str, min_df: int = 5, max_df: float = 0.5,
-                 vocab_size: int = 100_000):
-    """Dictionary with document-frequency limits; raises if it ends up empty."""
+                 vocab_size: int = presets.DICTIONARY_TERMS):
+    """Dictionary with document-frequency limits; raises if it ends up empty, and warns where ``vocab_size`` (the
+    reference dictionary's own limit) leaves terms out."""
     cv = CountVectorizer(inputCol=tokens_col, outputCol="bow", minDF=float(min_df), maxDF=max_df,
                          vocabSize=vocab_size)
     model = cv.fit(df)
     if not model.vocabulary:
-        raise ValueError("The topic-model dictionary is empty after frequency filtering.")
+        raise ValueError("no term lies between the document-frequency limits")
+    if len(model.vocabulary) >= vocab_size:
+        warnings.warn(f"the dictionary holds its limit of {vocab_size} terms; rarer ones are left out", stacklevel=2)
     return model
 
 
-def fit_lda(bow: DataFrame, k: int, max_iter: int = 20, seed: int = presets.SEED, subsampling: float = 0.05):
-    lda = LDA(k=k, maxIter=max_iter, seed=seed, optimizer="online", optimizeDocConcentration=True,
+def fit_lda(bow: DataFrame, k: int, passes: int = presets.LDA_PASSES, seed: int = presets.SEED, subsampling: float = 1.0):
+    """Online variational LDA that reads the corpus ``passes`` times. An iteration samples ``subsampling`` of it;
+    with the default every document is read in every pass."""
+    if not 0 < subsampling <= 1 or passes < 1:
+        raise ValueError("passes must be at least 1 and subsampling over 0 and at most 1")
+    lda = LDA(k=k, maxIter=math.ceil(passes / subsampling), seed=seed, optimizer="online", optimizeDocConcentration=True,
               subsamplingRate=subsampling, featuresCol="bow", topicDistributionCol="topic_distribution")
     return lda.fit(bow)
 

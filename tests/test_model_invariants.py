@@ -36,4 +36,63 @@ def test_topic_tables_shapes(spark):
 
 def test_doc_vectors_width(spark):
     df = q("doc_vectors")(spark, SF)
-    assert df.select(F.size("doc_vector")).distinct().first()[0] == 100
+    assert df.select(F.size("doc_vector")).distinct().first()[0] == 300
+
+
+def test_text_features_equal_the_stated_formula(spark):
+    """1 + ln(tf), idf + 1, unit length, against a plain computation over all grams."""
+    from collections import Counter
+
+    from pyspark.ml import Pipeline
+
+    from murmur.operators import models as md
+    texts = ["alpha beta beta gamma", "alpha gamma gamma gamma delta", "beta alpha delta delta", "the alpha"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, text string")
+    model = Pipeline(stages=md.text_feature_stages("text", min_df=2, max_features=None, n_max=2)).fit(df)
+    vocab = model.stages[1].vocabulary
+    toks = [[w for w in t.split() if w != "the"] for t in texts]
+    grams = [Counter(ws + [f"{a} {b}" for a, b in zip(ws, ws[1:])]) for ws in toks]
+    n = Counter(g for c in grams for g in c)
+    assert set(vocab) == {g for g, k in n.items() if k >= 2}
+    for r in model.transform(df).collect():
+        w = {g: (1 + math.log(c)) * (math.log((1 + len(texts)) / (1 + n[g])) + 1) for g, c in grams[r.id].items() if n[g] >= 2}
+        norm = math.sqrt(sum(x * x for x in w.values())) or 1.0
+        got = {vocab[i]: v for i, v in zip(r.features.indices.tolist(), r.features.values.tolist())}
+        assert set(got) == set(w) and all(abs(got[g] - w[g] / norm) < 1e-12 for g in w)
+
+
+def test_mean_vectors_broadcast_equals_join(spark, monkeypatch):
+    from pyspark.ml.linalg import Vectors
+
+    from murmur.operators import models as md
+    vec = spark.createDataFrame([("a", Vectors.dense(1.0, 2.0)), ("b", Vectors.dense(3.0, -2.0))], ["word", "vector"])
+    docs = spark.createDataFrame([(1, ["a", "b", "b", "x"]), (2, ["x"]), (3, []), (4, None)], "id int, tokens array<string>")
+    one = sorted((r.id, r.n_in_vocab, tuple(r.doc_vector)) for r in md.mean_vectors(docs, "id", "tokens", vec, 2).collect())
+    monkeypatch.setattr(md, "BROADCAST_VECTOR_BYTES", 0)
+    two = sorted((r.id, r.n_in_vocab, tuple(r.doc_vector)) for r in md.mean_vectors(docs, "id", "tokens", vec, 2).collect())
+    assert one[1:] == two[1:] and one[0][1] == 3 and all(abs(x - y) < 1e-9 for x, y in zip(one[0][2], two[0][2]))
+
+
+def test_lda_reads_the_corpus_and_rejects_less_than_a_pass(spark):
+    from pyspark.ml.linalg import Vectors
+
+    from murmur.operators import models as md
+    bow = spark.createDataFrame([(Vectors.sparse(3, [i % 3], [2.0]),) for i in range(9)], ["bow"])
+    assert md.fit_lda(bow, 2, passes=3).getOrDefault("maxIter") == 3
+    assert md.fit_lda(bow, 2, passes=3, subsampling=0.5).getOrDefault("maxIter") == 6
+    with pytest.raises(ValueError):
+        md.fit_lda(bow, 2, passes=0)
+
+
+def test_comparison_skips_absent_models_and_needs_one(spark):
+    from murmur.operators import evaluate as ev
+    a = spark.createDataFrame([("x", "x"), ("y", "x")], "true_label string, predicted_label string")
+    b = spark.createDataFrame([("x", "x"), ("y", "y")], "true_label string, predicted_label string")
+    assert [r.model for r in ev.compare_predictions({"a": a, "none": None, "b": b}, ["x", "y"]).collect()] == ["b", "a"]
+    with pytest.raises(RuntimeError):
+        ev.compare_predictions({"none": None}, ["x"])
+
+
+def test_topic_marginals_sum_to_one(spark):
+    rows = q("topic_marginals")(spark, SF).collect()
+    assert len(rows) == 5 and abs(sum(r["marginal"] for r in rows) - 1) < 1e-9
