@@ -10,6 +10,8 @@ large partial count, never a large group.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -151,6 +153,14 @@ def softmax(arr: Column) -> Column:
         lambda acc: F.transform(arr, lambda v: F.exp(v.cast("double") - acc["m"]) / acc["s"]))
 
 
+def label_scores(df: DataFrame, id_col: str, scores: Column, labels: Sequence[str]) -> DataFrame:
+    """(id, label, score) for every label of a closed set; a label without a score gets 0. ``scores`` is a map."""
+    named = df.select(id_col, scores.alias("_m"))
+    rows = F.array(*[F.struct(F.lit(x).alias("label"), F.coalesce(F.try_element_at("_m", F.lit(x)), F.lit(0.0)).alias("score"))
+                     for x in labels])
+    return named.select(id_col, F.inline(rows))
+
+
 def l1_normalise(arr: Column) -> Column:
     """|x| / sum|x| per element, linear per row."""
     return F.aggregate(arr, F.lit(0.0), lambda a, v: a + F.abs(v.cast("double")),

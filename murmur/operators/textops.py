@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 
-def min_token_filter(df: DataFrame, tokens_col: str, n: int = 3) -> DataFrame:
-    """Rows with at least ``n`` tokens; the number excluded is exposed as an observed metric."""
-    flagged = df.observe("min_token_filter", F.count_if(F.size(tokens_col) < n).alias("excluded_short_docs"))
+def min_token_filter(df: DataFrame, tokens_col: str, n: int = 3, counter: Observation | None = None) -> DataFrame:
+    """Rows with at least ``n`` tokens; ``counter.get["excluded_short_docs"]`` is the number left out, once an action ran."""
+    counter = counter or Observation("min_token_filter")
+    flagged = df.observe(counter, F.count_if(F.size(tokens_col) < n).alias("excluded_short_docs"))
     return flagged.filter(F.size(tokens_col) >= n)
 
 

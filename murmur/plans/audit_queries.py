@@ -31,7 +31,7 @@ WITH raw AS (
 )"""
 
 
-@query("unused_audit", _RAW_CTE + f""",
+_UNUSED_SQL = _RAW_CTE + f""",
 model AS (SELECT DISTINCT r._doc_id FROM raw r JOIN labels l ON r.doc_id = l.doc_id),
 elig AS (SELECT DISTINCT _doc_id FROM raw WHERE {S.kw_match('text', KW)}),
 unused AS (SELECT * FROM raw WHERE _doc_id NOT IN (SELECT _doc_id FROM model)),
@@ -44,7 +44,10 @@ SELECT _doc_id, doc_id, lang, source, n_chars, raw_occurrences,
             WHEN _doc_id IN (SELECT _doc_id FROM elig) THEN 'keyword_eligible_not_in_final_corpus'
             ELSE 'keyword_ineligible' END AS exclusion_reason
 FROM ranked WHERE rn = 1
-""")
+"""
+
+
+@query("unused_audit", _UNUSED_SQL)
 def unused_audit(spark, base):
     raw = _raw(spark, base)
     labelled = read_table(spark, base, "labels").select("doc_id", F.lit(True).alias("_labelled"))
@@ -58,6 +61,18 @@ def unused_audit(spark, base):
                       F.col("raw_occurrences").cast("long").alias("raw_occurrences"), "exclusion_reason")
 
 
+@query("unused_audit_join", _UNUSED_SQL)
+def unused_audit_join(spark, base):
+    """The same audit from separate id sets, through the joins of ``audit.unused_audit``."""
+    raw = _raw(spark, base)
+    labels = read_table(spark, base, "labels").select("doc_id")
+    model = raw.join(labels, "doc_id", "left_semi").select("_doc_id")
+    eligible = raw.filter(tx.keyword_match("text", KW)).select("_doc_id")
+    out = audit.unused_audit(raw, model, eligible, columns=["lang", "source", "n_chars"])
+    return out.select("_doc_id", "doc_id", "lang", "source", "n_chars",
+                      F.col("raw_occurrences").cast("long").alias("raw_occurrences"), "exclusion_reason")
+
+
 @query("dedup_first", _RAW_CTE + """
 SELECT _doc_id, doc_id, lang, source, n_occurrences FROM (
   SELECT *, row_number() OVER (PARTITION BY _doc_id ORDER BY doc_id) AS rn,

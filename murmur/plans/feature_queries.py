@@ -131,6 +131,23 @@ def softmax_scores(spark, base):
                                              F.round("top_probability", 9).alias("top_probability"))
 
 
+SCORE_LABELS = ("NEGATIVE", "NEUTRAL", "POSITIVE", "UNCERTAIN")
+
+
+@query("label_scores", """
+WITH x AS (SELECT vec_id, list_transform(embedding[1:3], lambda v: exp(CAST(v AS DOUBLE) - CAST(list_max(embedding[1:3]) AS DOUBLE))) AS e
+           FROM embeddings),
+g AS (SELECT * FROM (VALUES ('NEGATIVE', 1), ('NEUTRAL', 2), ('POSITIVE', 3), ('UNCERTAIN', 4)) v(label, i))
+SELECT vec_id, label, round(coalesce(e[i] / list_sum(e), 0.0), 9) AS score FROM x, g
+""")
+def label_scores(spark, base):
+    """Scores of three logits by label name; the fourth label has no logit and gets 0."""
+    e = read_table(spark, base, "embeddings").select("vec_id", fx.softmax(F.slice("embedding", 1, 3)).alias("p"))
+    scores = F.map_from_arrays(F.array(*[F.lit(x) for x in SCORE_LABELS[:3]]), F.col("p"))
+    out = fx.label_scores(e, "vec_id", scores, SCORE_LABELS)
+    return out.select("vec_id", "label", F.round("score", 9).alias("score"))
+
+
 @query("dominant_topic", """
 WITH a AS (SELECT vec_id, list_transform(embedding, lambda v: abs(CAST(v AS DOUBLE))) AS a FROM embeddings),
 p AS (SELECT vec_id, list_transform(a, lambda v: v / list_sum(a)) AS p FROM a)

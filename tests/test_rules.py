@@ -106,3 +106,12 @@ def test_engine_session_leaves_the_callers_time_zone(spark):
     own = engine_session(other)
     assert own.conf.get("spark.sql.session.timeZone") == "UTC" and other.conf.get("spark.sql.session.timeZone") == "Asia/Tokyo"
     assert engine_session(spark) is spark
+
+
+def test_excluded_rows_are_counted(spark):
+    from pyspark.sql import Observation
+
+    from murmur.operators.textops import min_token_filter
+    counter = Observation("short")
+    df = spark.createDataFrame([(["a"],), (["a", "b", "c"],), ([],)], "tokens array<string>")
+    assert min_token_filter(df, "tokens", 3, counter).count() == 1 and counter.get["excluded_short_docs"] == 2
