@@ -160,7 +160,6 @@ PARSE_FAILURE = ("UNCERTAIN", "LOW", "JSON parse error — model output malforme
 # FIXED VALUES — model settings of the original runs.
 # ---------------------------------------------------------------------------
 SEED = 42
-SAMPLE_SIZE = 3472
 PREVIEW_CHARS = 140
 TOP_WORDS = 12
 REPRESENTATIVE_DOCS = 5

@@ -45,13 +45,15 @@ def keyword_eligibility(spark, base):
 
 @query("keyword_match", f"""
 SELECT doc_id, {S.kw_match('text', TEST_KEYWORDS)} AS test_keyword_match,
-       {S.kw_match('text', KW)} AS preset_keyword_match
+       {S.kw_match('text', KW)} AS preset_keyword_match,
+       {S.kw_match('text', presets.ANNOTATION_KEYWORDS)} AS annotation_keyword_match
 FROM documents
 """)
 def keyword_match(spark, base):
     d = read_table(spark, base, "documents", spread_key="doc_id")
     return d.select("doc_id", tx.keyword_match("text", TEST_KEYWORDS).alias("test_keyword_match"),
-                    tx.keyword_match("text", KW).alias("preset_keyword_match"))
+                    tx.keyword_match("text", KW).alias("preset_keyword_match"),
+                    tx.keyword_match("text", presets.ANNOTATION_KEYWORDS).alias("annotation_keyword_match"))
 
 
 @query("substantive", f"""

@@ -31,8 +31,8 @@ def faceted_filter(spark, base):
 
 
 @query("theme_facet", f"""
-SELECT doc_id, lang FROM (SELECT doc_id, lang, {S.theme('text', list(presets.THEMES.values())[0])} AS a,
-  {S.theme('text', list(presets.THEMES.values())[1])} AS b, {S.non_blank('text')} AND length(text) < 1500 AS short FROM documents)
+SELECT doc_id, lang FROM (SELECT doc_id, lang, {S.theme_sql('text', list(presets.THEMES.values())[0])} AS a,
+  {S.theme_sql('text', list(presets.THEMES.values())[1])} AS b, {S.non_blank('text')} AND length(text) < 1500 AS short FROM documents)
 WHERE lang IN ('en', 'fr') AND (a OR b OR short)
 """)
 def theme_facet(spark, base):

@@ -72,11 +72,6 @@ def topic_tokens(col: str) -> str:
             f"lambda w: NOT list_contains({str_list(extra)}, w))")
 
 
-def theme(col: str, pattern: str) -> str:
-    """A theme regex rewritten for RE2 with Unicode word boundaries."""
-    return f"coalesce(regexp_matches({col}, {q(pattern)}, 'i'), false)"
-
-
 def padded_boundary(col: str) -> str:
     return f"(' ' || regexp_replace(lower(coalesce({col}, '')), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g') || ' ')"
 

@@ -9,7 +9,6 @@ from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 
 class MissingColumnsError(ValueError):
@@ -39,34 +38,3 @@ def first_present_col(df: DataFrame, candidates: Sequence[str]) -> Column:
 def select_present(df: DataFrame, preferred: Sequence[str]) -> DataFrame:
     """Project onto the preferred columns that exist, keeping the preferred order."""
     return df.select(*[c for c in preferred if c in df.columns])
-
-
-# Logical raw-comment record (all nullable). Personal columns are not part of it;
-# they are dropped at ingest by ``anonymise``.
-RAW_COMMENT = T.StructType([
-    T.StructField("_doc_id", T.StringType()),
-    T.StructField("_dataset_name", T.StringType()),
-    T.StructField("anon_commenter_id", T.StringType()),
-    T.StructField("commentId", T.StringType()),
-    T.StructField("commentUrl", T.StringType()),
-    T.StructField("facebookUrl", T.StringType()),
-    T.StructField("inputUrl", T.StringType()),
-    T.StructField("date", T.StringType()),
-    T.StructField("text", T.StringType()),
-    T.StructField("postTitle", T.StringType()),
-    T.StructField("likesCount", T.LongType()),
-    T.StructField("commentsCount", T.LongType()),
-    T.StructField("threadingDepth", T.LongType()),
-    T.StructField("facebookId", T.StringType()),
-    T.StructField("error", T.StringType()),
-])
-
-CORPUS_SPLIT = T.StructType([
-    T.StructField("_doc_id", T.StringType()),
-    T.StructField("text_original", T.StringType()),
-    T.StructField("text_clean", T.StringType()),
-    T.StructField("label", T.StringType()),
-    T.StructField("date_utc", T.StringType()),
-    T.StructField("postTitle", T.StringType()),
-    T.StructField("split", T.StringType()),
-])
