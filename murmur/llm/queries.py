@@ -33,13 +33,50 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract_main_text(pages)
 
 
-@query("op2_warc")
+@query("op2_warc", """
+WITH e AS (
+  SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest
+  FROM pages
+), k AS (
+  SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest) END AS keeper FROM e
+)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN keeper <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN keeper <> page_id THEN keeper END AS refers_to
+FROM k
+""")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = warc.round_trip(spark, table(spark, sf_dir, "pages"), scratch_path(spark, "warc"))
     return out.select(F.col("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-@query("op5_sharding")
+def _shard_sql(n: int) -> str:
+    costs = ", ".join(f"{{'cost': -ln((CAST(CAST('0x' || substr(md5(k || '/{i}'), 1, 13) AS BIGINT) AS DOUBLE) + 0.5)"
+                      f" / 4503599627370496.0), 's': {i}}}" for i in range(n))
+    return f"CAST((list_min([{costs}])).s AS INTEGER)"
+
+
+# CRC-32 from its polynomial: the table of 256 bytes, then the bytes of the text one after another.
+_OP5_SQL = f"""
+WITH t AS (
+  SELECT list_transform(range(256), lambda n: list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x:
+    CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS tbl
+), d AS (
+  SELECT doc_id, coalesce(CAST(doc_id AS VARCHAR), '') AS k, hex(encode(coalesce(text, ''))) AS h FROM documents
+), c AS (
+  SELECT doc_id, k, CAST(length(h) // 2 + 1 AS BIGINT) AS size, xor(list_reduce(list_prepend(4294967295, list_transform(
+      regexp_extract_all(h, '..'), lambda b: CAST('0x' || b AS BIGINT))),
+      lambda a, b: xor(a >> 8, tbl[(xor(a, b) & 255) + 1])), 4294967295) AS text_crc32
+  FROM d, t
+), s AS (
+  SELECT *, {_shard_sql(8)} AS shard, {_shard_sql(9)} AS grown_shard, md5(k || ':' || CAST(text_crc32 AS VARCHAR)) AS o FROM c
+)
+SELECT doc_id, size, text_crc32, 'key' AS law, shard,
+       row_number() OVER (PARTITION BY shard ORDER BY o, doc_id NULLS FIRST, size, text_crc32, grown_shard) - 1 AS slot, grown_shard
+FROM s
+"""
+
+
+@query("op5_sharding", _OP5_SQL)
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
