@@ -73,6 +73,32 @@ def doc_vectors(spark, base):
     return md.mean_vectors(doc_tokens(spark, base), "doc_id", "tokens", _w2v(spark, base), presets.W2V_DIM)
 
 
+# A fixed vector table, so that the in-vocabulary mean has an exact counterpart.
+_FIXED_VECTORS = (("de", 1.0, -2.0), ("que", 0.5, 4.0), ("und", -3.0, 0.25))
+
+
+def _mean_sql() -> str:
+    from murmur.plans import sqlfrag as S
+    values = ", ".join(f"({S.q(w)}, {a}, {b})" for w, a, b in _FIXED_VECTORS)
+    return f"""
+WITH v AS (SELECT * FROM (VALUES {values}) v(term, x, y)),
+t AS (SELECT doc_id, unnest({S.tokens('text')}) AS term FROM documents),
+m AS (SELECT doc_id, count(*) AS n, avg(CAST(x AS DOUBLE)) AS x, avg(CAST(y AS DOUBLE)) AS y FROM t JOIN v USING (term) GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n, 0) AS n_in_vocab, round(coalesce(x, 0.0), 6) AS x, round(coalesce(y, 0.0), 6) AS y
+FROM documents d LEFT JOIN m ON d.doc_id = m.doc_id
+"""
+
+
+@query("mean_vectors_fixed", _mean_sql())
+def mean_vectors_fixed(spark, base):
+    """In-vocabulary means over a fixed vector table."""
+    rows = [(w, [a, b]) for w, a, b in _FIXED_VECTORS]
+    vectors = spark.createDataFrame(rows, "word string, v array<double>").select("word", array_to_vector("v").alias("vector"))
+    m = md.mean_vectors(doc_tokens(spark, base), "doc_id", "tokens", vectors, 2)
+    return m.select("doc_id", F.col("n_in_vocab").cast("long").alias("n_in_vocab"),
+                    *[F.round(F.col("doc_vector")[i], 6).alias(c) for i, c in enumerate("xy")])
+
+
 def _coverage_sql() -> str:
     # Word2Vec's vocabulary is deterministic: every token occurring at least
     # minCount (2) times in the train + val rows.
@@ -298,6 +324,56 @@ def topic_coherence(spark, base):
     return _coherence(bow, vocab, model)
 
 
+# Frequent words of the test texts, for the counting stage of the coherence.
+WINDOW_WORDS = ("de", "die", "que", "und", "ou")
+
+
+def _window_sql() -> str:
+    from murmur.plans import sqlfrag as S
+    n = presets.COHERENCE_WINDOW
+    pairs = [(a, b) for i, a in enumerate(sorted(WINDOW_WORDS)) for b in sorted(WINDOW_WORDS)[i:]]
+    has = ", ".join(f"list_contains(win, {S.q(w)}) AS w{i}" for i, w in enumerate(sorted(WINDOW_WORDS)))
+    at = {w: f"w{i}" for i, w in enumerate(sorted(WINDOW_WORDS))}
+    rows = " UNION ALL ".join(f"SELECT {S.q(a)} AS w1, {S.q(b)} AS w2, count(*) FILTER (WHERE {at[a]} AND {at[b]}) AS n FROM f" for a, b in pairs)
+    return f"""
+WITH t AS (SELECT {S.tokens('text')} AS t FROM documents),
+w AS (SELECT t[i + 1:i + {n}] AS win FROM (SELECT t, unnest(range(greatest(len(t) - {n} + 1, 1))) AS i FROM t)),
+f AS (SELECT {has} FROM w)
+SELECT * FROM ({rows}) WHERE n > 0 UNION ALL SELECT '', '', count(*) FROM f
+"""
+
+
+@query("window_counts", _window_sql())
+def window_counts(spark, base):
+    """The counting stage of the coherence for a fixed word list."""
+    return md.window_cooccurrence(doc_tokens(spark, base), "tokens", WINDOW_WORDS)
+
+
+# A fixed topic-term table, so that the relevance formula has an exact counterpart.
+_FIXED_TOPICS = ((0, "de", 6.0), (0, "que", 3.0), (0, "und", 1.0), (1, "de", 1.0), (1, "que", 1.0), (1, "und", 8.0))
+
+
+def _relevance_sql() -> str:
+    from murmur.plans import sqlfrag as S
+    values = ", ".join(f"({t}, {S.q(w)}, {x})" for t, w, x in _FIXED_TOPICS)
+    return f"""
+WITH tt AS (SELECT topic, term, CAST(weight AS DOUBLE) AS weight FROM (VALUES {values}) v(topic, term, weight)),
+tf AS (SELECT term, count(*) AS n FROM (SELECT unnest({S.tokens('text')}) AS term FROM documents) GROUP BY term),
+known AS (SELECT term, n, sum(n) OVER () AS total FROM tf WHERE term IN (SELECT term FROM tt)),
+p AS (SELECT topic, term, weight / sum(weight) OVER (PARTITION BY topic) AS pt FROM tt)
+SELECT CAST(topic AS INTEGER) AS topic, term, round(0.6 * ln(pt) + 0.4 * ln(pt / (n / CAST(total AS DOUBLE))), 9) AS relevance
+FROM p JOIN known USING (term)
+"""
+
+
+@query("relevance_fixed", _relevance_sql())
+def relevance_fixed(spark, base):
+    """Relevance over the corpus's term counts, for a fixed topic-term table."""
+    weights = spark.createDataFrame(list(_FIXED_TOPICS), "topic int, term string, weight double")
+    freq = doc_tokens(spark, base).select(F.explode("tokens").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    return tp.relevance(weights, freq, lam=0.6).select("topic", "term", F.round("relevance", 9).alias("relevance"))
+
+
 @query("topic_relevance")
 def topic_relevance(spark, base):
     bow, vocab, model = _lda(spark, base)

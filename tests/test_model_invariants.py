@@ -96,3 +96,8 @@ def test_comparison_skips_absent_models_and_needs_one(spark):
 def test_topic_marginals_sum_to_one(spark):
     rows = q("topic_marginals")(spark, SF).collect()
     assert len(rows) == 5 and abs(sum(r["marginal"] for r in rows) - 1) < 1e-9
+
+
+def test_stream_scores_equal_batch_scores(spark):
+    one = sorted(tuple(r) for r in q("stream_score")(spark, SF).select("doc_id", "predicted_label").collect())
+    assert one == sorted(tuple(r) for r in q("score_corpus")(spark, SF).select("doc_id", "predicted_label").collect())
