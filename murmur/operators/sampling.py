@@ -52,11 +52,19 @@ def stratified_rank(df: DataFrame, id_col: str, strata: Sequence[str] = (), seed
                     bucket_hex: int = 4, rank_col: str = "sample_rank") -> DataFrame:
     """(strata, id, ``rank_col``, _stratum_n): the 1-based rank of every id in its stratum."""
     strata = list(strata)
-    keyed = _keyed(df, id_col, strata, seed, bucket_hex)
-    offsets = _offsets(keyed, strata).alias("_o")
-    joined = keyed.alias("_k").join(offsets, _join_cond(keyed, offsets, [*strata, "_b"]), "inner")
-    joined = joined.select("_k.*", "_o._off", "_o._stratum_n")
-    w = Window.partitionBy(*strata, "_b").orderBy("_h", "_id")
+    # Dealt out by a stated number of partitions, which are not merged again, on one key of stratum and bucket:
+    # counting, join and window all use it.
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    stratum = F.to_json(F.struct(*strata)) if strata else F.lit("")
+    keyed = _keyed(df, id_col, strata, seed, bucket_hex).withColumn("_s", stratum)
+    keyed = keyed.withColumn("_key", F.concat_ws(":", "_b", "_s")).repartition(n, "_key")
+    counts = keyed.groupBy("_key").agg(F.first("_s").alias("_s"), F.first("_b").alias("_b"), F.count(F.lit(1)).alias("_n"))
+    by_stratum = Window.partitionBy("_s")
+    before = by_stratum.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("_key", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"),
+                            F.sum("_n").over(by_stratum).alias("_stratum_n"))
+    joined = keyed.join(offsets.hint("merge"), "_key")
+    w = Window.partitionBy("_key").orderBy("_h", "_id")
     return joined.select(*strata, F.col("_id").alias(id_col), (F.col("_off") + F.row_number().over(w)).alias(rank_col),
                          "_stratum_n")
 
