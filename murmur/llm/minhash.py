@@ -12,15 +12,18 @@ of the two k-mer sequences within the widest band that 0.8 allows. Labelled
 k-mers are distinct, so it is the longest increasing run of matched positions.
 The similarity is the aligned k-mers over all k-mers of both; 0.8 links.
 
-Groups are never paired out. Texts of equal word sequence are one node. In a
-bucket (documents sharing a sketch) every document is verified against the
-bucket's least node; a bucket whose documents then lie in several components
-is gone on with, in rounds of ``FACTOR`` times more documents, verified
-against all members of *other* components, until one component remains or all
-pairs between components are verified. So no link between different texts of
-a bucket is lost, while a large group of copies costs about one verification
-a document. Components are found by joins; every round is written to the
-shared folder.
+Groups are never paired out. Texts of equal word sequence are one node. In the
+buckets of the first four sketches (documents sharing the sketch) every
+document is verified against the bucket's least node. Buckets of any sketch
+whose documents then lie in several components are gone on with: k-mers are
+counted over their documents, and documents and pairs that cannot reach 0.8,
+because too many of their k-mers occur in no other document, are ruled out.
+The rest is verified against each bucket's most shared node, and then in
+rounds of ``FACTOR`` times more nodes against all members of *other*
+components, until one component remains or all pairs between components are
+done. So no link between different texts of a bucket is lost, while a large
+group of copies costs a few verifications a document. Components are found by
+joins; every round is written to the shared folder.
 
 Defined results: a null text is a class of its own; texts without words (empty
 ones too) are alike if equal; documents of fewer than five words have one
@@ -36,13 +39,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from murmur.llm.common import SIMILARITY, Words, blocks, mix, packed, seeds, shingles, signed, stored, text_keys
 
 SKETCHES = 16
 SAMPLED = 3
+FIRST_SKETCHES = 4
 FACTOR = 16
 _U = np.uint64
 
@@ -136,25 +140,27 @@ def sketched(docs: DataFrame, key_col: str, text_col: str) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(node, label): the least node of each connected component of (a, b) edges.
 
-    Each round takes the least label among a node's neighbours and then the
-    label of that label, so stars take two rounds and paths a logarithmic
-    number. Rounds are written out; only a count reaches the driver.
+    Each round gives a node the least label among its own and its neighbours';
+    from the fourth round on also the label of that label, so that stars take
+    one or two rounds and long paths a logarithmic number. Every round is one
+    job, written out; only the number of changes reaches the driver.
     """
     both = stored(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(),
                   "edges")
-    labels = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label"))
-    labels = stored(labels, "labels")
+    labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "labels")
+    turn = 0
     while True:
-        near = (both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("label").alias("near")))
-        step = labels.join(near, labels["node"] == near["a"]).select(
-            "node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        step = stored(step, "labels")
-        jump = step.select(F.col("node").alias("via"), F.col("label").alias("next"))
-        new = stored(step.join(jump, step["label"] == jump["via"]).select("node", "old", F.least("label", "next").alias("label")),
-                     "labels")
-        changed = new.filter("label <> old").limit(1).count()
-        labels = new.select("node", "label")
-        if not changed:
+        turn += 1
+        heard = both.join(labels, both["b"] == labels["node"]).select(F.col("a").alias("node"), "label", F.lit(None).cast("long").alias("own"))
+        step = (heard.unionByName(labels.select("node", "label", F.col("label").alias("own")))
+                .groupBy("node").agg(F.min("label").alias("label"), F.max("own").alias("own")))
+        if turn > 3:
+            step = stored(step, "labels")
+            jump = step.select(F.col("node").alias("via"), F.col("label").alias("next"))
+            step = step.join(jump, step["label"] == jump["via"]).select("node", F.least("label", "next").alias("label"), "own")
+        changes = Observation()
+        labels = stored(step.observe(changes, F.count_if(F.col("label") != F.col("own")).alias("n")), "labels").select("node", "label")
+        if not changes.get["n"]:
             return labels
 
 
@@ -201,36 +207,87 @@ def _verified(pairs: DataFrame, kmers: DataFrame) -> DataFrame:
     return stored(out.filter(F.col("similarity") >= SIMILARITY), "links")
 
 
+def _labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
+    return members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+
+
+def _split(own: DataFrame) -> DataFrame:
+    """The members of buckets that hold more than one label."""
+    split = own.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi")
+    return own.join(split.select("bucket"), "bucket", "left_semi")
+
+
+def _hopeful(members: DataFrame, kmers: DataFrame) -> DataFrame:
+    """(node, size, shared) of the members that can be linked with another member at all.
+
+    ``shared`` counts a node's k-mers that some other member has too. Two nodes have at most the lesser of their
+    shared counts in common, so a similarity of 0.8 can be ruled out without comparing them.
+    """
+    own = kmers.join(members.select("node").distinct(), "node", "left_semi")
+
+    def exploded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for x in range(0, len(batch), 256):
+                data, nodes = batch["kmers"].iloc[x:x + 256], batch["node"].iloc[x:x + 256].to_numpy()
+                yield pd.DataFrame({"kmer": np.frombuffer(b"".join(data), np.int32),
+                                    "node": np.repeat(nodes, [len(d) // 4 for d in data])})
+    alone = (own.mapInPandas(exploded, "kmer int, node long").groupBy("kmer")
+             .agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("node")).filter("n = 1")
+             .groupBy("node").agg(F.count(F.lit(1)).alias("alone")))
+    size = (F.octet_length("kmers") / 4).cast("long")
+    out = own.select("node", size.alias("size")).join(alone, "node", "left")
+    out = out.select("node", "size", (F.col("size") - F.coalesce("alone", F.lit(0))).alias("shared"))
+    return out.filter(F.col("shared") >= SIMILARITY * F.col("size") - 1e-9)
+
+
 def linked_classes(docs: DataFrame, key_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
     """(documents with their node, one row per node with its label, verified links between nodes)."""
     rows = stored(sketched(docs, key_col, text_col), "sketches")
     nodes = stored(rows.groupBy("node").agg(F.min(F.struct("doc_id", "raw")).alias("first"), F.min("doc_id").alias("least"),
                                             F.count(F.lit(1)).alias("copies"), F.first("sketch").alias("sketch")), "nodes")
-    cells = nodes.select("node", F.explode("sketch").alias("bucket"))
+    cells = nodes.select("node", F.posexplode("sketch").alias("turn", "bucket"))
     sizes = cells.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("rep")).filter("n > 1")
     members = stored(cells.join(sizes, "bucket"), "buckets")
     wanted = nodes.join(members.select("node").distinct(), "node", "left_semi")
     kmers = stored(_kmer_table(docs, wanted, key_col, text_col), "kmers")
 
-    pairs = members.filter("node <> rep").select(F.col("rep").alias("a"), F.col("node").alias("b")).distinct()
-    links = _verified(pairs, kmers)
+    # The first sketches' buckets: every member against the least one.
+    first = F.col("turn") < FIRST_SKETCHES
+    links = _verified(members.filter(first & (F.col("node") != F.col("rep")))
+                      .select(F.col("rep").alias("a"), F.col("node").alias("b")).distinct(), kmers)
     labels = components(links)
-    served = 1
-    while True:
-        own = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        split = (own.filter(F.col("n") > max(served, 2)).groupBy("bucket")
-                 .agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("bucket"))
-        still = stored(own.join(split, "bucket", "left_semi"), "open")
+
+    # Buckets of several components, without what cannot reach the similarity at all.
+    left = members.select("bucket", "node", "n", F.when(first, F.col("rep")).alias("rep"))
+    left = stored(_split(_labelled(left.filter("rep IS NULL OR n > 2"), labels)).select("bucket", "node", "rep"), "open")
+    left = left.join(_hopeful(left, kmers), "node")
+    centre = left.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct(F.col("shared") / F.col("size"), "node"))["node"].alias("centre"))
+    left = stored(left.join(centre.filter("n > 1"), "bucket"), "hopeful")
+
+    # First each bucket's most shared node, which links copies with what they were copied from; then ever more nodes.
+    served, most = -1, left.agg(F.max("n")).first()[0] or 0
+    while served < most:
+        own = _labelled(left.filter(F.col("n") > served), labels)
+        still = stored(_split(own), "still")
         if not still.limit(1).count():
             break
-        # A node's place among a bucket's n members, from 0 to n, by its hash: the least came first.
+        # A node's place among a bucket's n members, from 0 to n, by its hash.
         place = (F.col("node") / F.lit(2.0 ** 64) + F.lit(0.5)) * F.col("n")
-        reps = still.filter((place < served * FACTOR) & ((place >= served) if served > 1 else F.lit(True)) & (F.col("node") != F.col("rep")))
-        reps = reps.select("bucket", F.col("node").alias("a"), F.col("label").alias("a_label"))
-        pairs = (reps.join(still.select("bucket", F.col("node").alias("b"), "label"), "bucket")
-                 .filter("a < b AND a_label <> label").select("a", "b").distinct())
+        upto = max(0, served) * FACTOR or FACTOR
+        if served < 0:
+            reps, upto = still.filter(F.col("node") == F.col("centre")), 0
+        else:
+            compared = (F.col("node") == F.col("centre")) | F.coalesce(F.col("node") == F.col("rep"), F.lit(False))
+            reps = still.filter((place < upto) & (place >= served) & ~compared)
+        reps = reps.select("bucket", *[F.col(c).alias(f"a_{c}") for c in ("node", "label", "size", "shared")])
+        both = F.least("shared", "a_shared")  # k-mers that both can have
+        order = F.col("a_node") != F.col("node") if served < 0 else F.col("a_node") < F.col("node")
+        pairs = (reps.join(still.select("bucket", "node", "label", "size", "shared"), "bucket")
+                 .filter(order & (F.col("a_label") != F.col("label"))
+                         & (both >= SIMILARITY * (F.col("size") + F.col("a_size") - both) - 1e-9))
+                 .select(F.least("a_node", "node").alias("a"), F.greatest("a_node", "node").alias("b")).distinct())
         more = _verified(pairs, kmers)
-        served *= FACTOR
+        served = upto
         if more.limit(1).count():
             links = links.unionByName(more)
             labels = components(links)
