@@ -252,7 +252,7 @@ def grid_search_cv(spark, base):
     g = presets.TEXT_GRID
     settings = {f"{n}/{m}": (n, m) for n in g["n_max"] for m in g["max_features"]}
     stages = {k: md.text_feature_stages("text", 2, m, n) for k, (n, m) in settings.items()}
-    fits = {str(c): (lambda n, c=c: md.linear_svm(reg=md.regularisation(c, n))) for c in g["c"]}
+    fits = {str(c): (lambda n, c=c: md.linear_svm(reg=md.regularisation(c, n), max_iter=presets.SEARCH_ITERATIONS)) for c in g["c"]}
     scores = md.cross_validated(rows, "fold", stages, fits)
     rows.unpersist()
     return _best_first(spark, [(*settings[k], float(c), v) for k, c, v in scores], "ngram_max int, max_features int, c double")
@@ -264,7 +264,7 @@ def w2v_grid_search_cv(spark, base):
     rows = _folds(_document_vectors(spark, base)).persist()
     settings = {f"{k}/{g}": (k, None if g is None else str(g)) for k, g in presets.DENSE_GRID}
     stages = {f"{k}/{g}": md.dense_feature_stages("vec", k, gamma=g or "scale", input_dim=presets.W2V_DIM) for k, g in presets.DENSE_GRID}
-    fits = {str(c): (lambda n, c=c: md.linear_svm(reg=md.regularisation(c, n))) for c in presets.DENSE_C}
+    fits = {str(c): (lambda n, c=c: md.linear_svm(reg=md.regularisation(c, n), max_iter=presets.SEARCH_ITERATIONS)) for c in presets.DENSE_C}
     scores = md.cross_validated(rows, "fold", stages, fits)
     rows.unpersist()
     return _best_first(spark, [(*settings[k], float(c), v) for k, c, v in scores], "kernel string, gamma string, c double")
