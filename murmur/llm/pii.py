@@ -6,18 +6,20 @@ Positions are code points, taken from the lengths of the pieces between the
 matches by prefix sums over blocks of the match list, so texts with very many
 numbers stay far from quadratic work.
 
-Terms around an entity's mentions (words within ``CONTEXT`` code points) are
-judged by corpus co-occurrence. With N documents, the entity e in n(e), the
-term t in n(t) and t beside e in n(t, e) of them, the pointwise mutual
+The words of the documents that mention an entity are judged by corpus
+co-occurrence. With N documents, the entity e in n(e), the term t in n(t) and
+both in n(t, e) of them, wherever in the text, the pointwise mutual
 information PMI = log(n(t, e) N / (n(t) n(e))) is what t tells of e, and
-IC = log(N / n(e)) all there is to tell. A term met beside the entity in at
+IC = log(N / n(e)) all there is to tell. A term met with the entity in at
 least ``SUPPORT`` documents with PMI / IC of at least ``GENERALISE`` is
-generalised in the texts that mention the entity; with at least ``REMOVE`` it
-is removed. n(t) counts all words of all documents.
+generalised, at every occurrence outside base spans, in the texts that mention
+the entity; with at least ``REMOVE`` it is removed.
 
-Everything is DataFrame expressions. Counts are combined in the tasks before
-each shuffle, and documents are told apart by a row number written with them,
-so copies of a text are no hot key.
+Everything is DataFrame expressions. Entities of fewer than ``SUPPORT``
+documents disclose nothing and are left out before documents' words meet their
+entities. Counts are combined in the tasks before each shuffle, and documents
+are told apart by a row number written with them, so copies of a text are no
+hot key.
 
 Defined results: null text is empty; a text without spans has the hash of the
 empty string and ``""``; repeated rows are documents of their own; empty
@@ -44,7 +46,6 @@ PATTERNS = {
 }
 IP_PARTS = r"^0*(?:25[0-5]|2[0-4][0-9]|[01]?[0-9]{1,2})(?:\.0*(?:25[0-5]|2[0-4][0-9]|[01]?[0-9]{1,2})){3}$"
 WORD = r"[\p{L}\p{N}]+"
-CONTEXT = 80
 SUPPORT = 2
 GENERALISE = 0.9
 REMOVE = 1.0
@@ -72,20 +73,14 @@ def _running(steps: Column) -> Column:
 
 
 def matches(text: Column, pattern: str) -> Column:
-    """array<struct<start, end, match, before, after>> of a pattern's matches, in code points, end exclusive.
-
-    ``before`` and ``after`` are up to ``CONTEXT`` code points (and one more where the text goes on) of the pieces
-    next to the match.
-    """
+    """array<struct<start, end, match>> of a pattern's matches, in code points, end exclusive."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
     def of(r: Column) -> Column:
         steps = F.zip_with(F.slice(r["pieces"], F.lit(1), F.size(r["found"])), r["found"],
                            lambda p, m: (F.length(p) + F.length(m)).cast("long"))
         return _let(_running(steps), lambda ends: F.transform(r["found"], lambda m, i: F.struct(
-            (ends[i] - F.length(m)).alias("start"), ends[i].alias("end"), m.alias("match"),
-            F.right(r["pieces"][i], F.lit(CONTEXT + 1)).alias("before"),
-            F.left(r["pieces"][i + 1], F.lit(CONTEXT + 1)).alias("after"))))
+            (ends[i] - F.length(m)).alias("start"), ends[i].alias("end"), m.alias("match"))))
     return _let(F.struct(found.alias("found"), F.split(text, pattern, -1).alias("pieces")), of)
 
 
@@ -118,10 +113,8 @@ def _kind_spans(text: Column, kind: str) -> Column:
     }[kind]
     good = F.filter(matches(text, PATTERNS[kind]), lambda s: test(s["match"]))
     spans = F.transform(good, lambda s: F.struct(s["start"].alias("start"), F.lit(KINDS.index(kind)).alias("place"),
-                                                 F.lit(kind).alias("kind"), s["end"].alias("end"), s["match"].alias("match"),
-                                                 s["before"].alias("before"), s["after"].alias("after")))
-    empty = F.array().cast("array<struct<start: bigint, place: int, kind: string, end: bigint, match: string, "
-                           "before: string, after: string>>")
+                                                 F.lit(kind).alias("kind"), s["end"].alias("end"), s["match"].alias("match")))
+    empty = F.array().cast("array<struct<start: bigint, place: int, kind: string, end: bigint, match: string>>")
     return F.when(possible, spans).otherwise(empty)
 
 
@@ -130,61 +123,69 @@ def base_spans(text: Column) -> Column:
     return F.array_sort(F.concat(*[_kind_spans(text, k) for k in KINDS]))
 
 
-def _near_words(span: Column) -> Column:
-    """array<struct<term, start, end>>: the whole words within ``CONTEXT`` code points of a span, up to the next match."""
-    def words(part: Column, offset: Column, cut: Column) -> Column:
-        own = F.transform(matches(part, WORD), lambda w: F.struct(
-            F.lower(w["match"]).alias("term"), (w["start"] + offset).alias("start"), (w["end"] + offset).alias("end")))
-        # A word that reaches the end of a part that was cut may go on beyond it.
-        return F.filter(own, lambda w: (w["start"] != cut) & (w["end"] != cut))
-
-    before, after = span["before"], span["after"]
-    long = [F.length(x) > CONTEXT for x in (before, after)]
-    left = words(before, span["start"] - F.length(before), F.when(long[0], span["start"] - CONTEXT - 1).otherwise(-1))
-    right = words(after, span["end"], F.when(long[1], span["end"] + CONTEXT + 1).otherwise(-1))
-    return F.concat(left, right)
+def _distinct_words(text: Column) -> Column:
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), F.lower))
 
 
 def analysed(docs: DataFrame, keep: list[str], text_col: str, with_text: bool = False) -> DataFrame:
-    """Stored (row number, kept columns as ``row``, spans with their neighbouring words[, text])."""
+    """Stored (row number, kept columns as ``row``, spans, text where it has spans or all text is wanted)."""
     text = F.coalesce(docs[f"`{text_col}`"].cast("string"), F.lit(""))
     source = docs.select(F.struct(*[docs[f"`{c}`"] for c in (docs.columns if with_text else keep)]).alias("row"), text.alias("text"))
     source = source.withColumn("base", base_spans(F.col("text")))
     spans = F.transform("base", lambda s: F.struct(
         s["start"].alias("start"), s["place"].alias("place"), s["kind"].alias("kind"), s["end"].alias("end"),
-        F.concat(s["kind"], F.lit(":"), F.lower(s["match"])).alias("entity"), _near_words(s).alias("words")))
-    return stored(source.select(F.monotonically_increasing_id().alias("rid"), "row", spans.alias("spans"),
-                                *(["text"] if with_text else [])), "spans")
+        F.concat(s["kind"], F.lit(":"), F.lower(s["match"])).alias("entity")))
+    kept = F.col("text") if with_text else F.when(F.size("base") > 0, F.col("text"))
+    return stored(source.select(F.monotonically_increasing_id().alias("rid"), "row", spans.alias("spans"), kept.alias("text")), "spans")
 
 
 def term_counts(docs: DataFrame, text_col: str) -> DataFrame:
     """(term, n): the number of documents that hold each word, over all words of all documents."""
-    words = F.array_distinct(F.regexp_extract_all(F.lower(docs[f"`{text_col}`"].cast("string")), F.lit(WORD), F.lit(0)))
-    return docs.select(F.explode(words).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
+    words = _distinct_words(docs[f"`{text_col}`"].cast("string"))
+    return docs.select(F.explode_outer(words).alias("term")).filter("term IS NOT NULL").groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
+
+
+def mentioning(rows: DataFrame, support: int = SUPPORT) -> DataFrame:
+    """Stored (rid, text, entities) of the documents with an entity of at least ``support`` documents; the entities
+    are distinct, each with its number of documents."""
+    mentions = rows.filter(F.size("spans") > 0).select("rid", F.explode(F.array_distinct(F.col("spans.entity"))).alias("entity"))
+    entities = mentions.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity")).filter(F.col("n_entity") >= support)
+    of_rows = mentions.join(entities, "entity").groupBy("rid").agg(F.collect_list(F.struct("entity", "n_entity")).alias("entities"))
+    return stored(rows.select("rid", "text").join(of_rows, "rid"), "mentions")
+
+
+def _entity_words(mentions: DataFrame) -> DataFrame:
+    """(rid, entity, n_entity, term): a document's distinct words with each of its distinct entities."""
+    words = mentions.select("rid", "entities", _distinct_words(F.col("text")).alias("words"))
+    each = words.select("rid", "words", F.explode("entities").alias("e"))
+    return (each.select("rid", "e.entity", "e.n_entity", F.explode_outer("words").alias("term"))
+            .filter("term IS NOT NULL"))
 
 
-def disclosing_terms(rows: DataFrame, docs: DataFrame, text_col: str, generalise: float = GENERALISE,
+def disclosing_terms(rows: DataFrame, mentions: DataFrame, docs: DataFrame, text_col: str, generalise: float = GENERALISE,
                      support: int = SUPPORT) -> DataFrame:
-    """(entity, term, disclosure): the terms beside an entity that tell at least ``generalise`` of it."""
-    mentions = rows.select("rid", F.explode("spans").alias("s")).select("rid", F.col("s.entity").alias("entity"), F.col("s.words.term").alias("terms"))
-    beside = mentions.select("rid", "entity", F.explode("terms").alias("term")).distinct()
-    both = beside.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_both")).filter(F.col("n_both") >= support)
-    entities = (mentions.select("rid", "entity").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity")))
+    """(entity, term, disclosure): the terms of an entity's documents that tell at least ``generalise`` of it."""
+    both = (_entity_words(mentions).groupBy("entity", "n_entity", "term").agg(F.count(F.lit(1)).alias("n_both"))
+            .filter(F.col("n_both") >= support))
     total = rows.agg(F.count(F.lit(1)).alias("n_all"))
     # total is one row
-    out = both.join(entities, "entity").join(term_counts(docs, text_col), "term").crossJoin(F.broadcast(total))
+    out = both.join(term_counts(docs, text_col), "term").crossJoin(F.broadcast(total))
     known = F.log(F.col("n_all") / F.col("n_entity"))
     told = F.log(F.col("n_both") * F.col("n_all") / (F.col("n_term") * F.col("n_entity").cast("double")))
     disclosure = F.when(known > 0, told / known)
     return out.withColumn("disclosure", disclosure).filter(F.col("disclosure") >= generalise - 1e-9).select("entity", "term", "disclosure")
 
 
-def with_terms(rows: DataFrame, terms: DataFrame) -> DataFrame:
-    """``rows`` with ``terms``: the spans of disclosing terms that overlap no base span, with their disclosure."""
-    words = (rows.select("rid", F.explode("spans").alias("s"))
-             .select("rid", F.col("s.entity").alias("entity"), F.explode("s.words").alias("w"))
-             .select("rid", "entity", F.col("w.term").alias("term"), F.col("w.start").alias("start"), F.col("w.end").alias("end")))
-    found = (words.join(terms, ["entity", "term"]).groupBy("rid", "start", "end").agg(F.max("disclosure").alias("disclosure"))
+def with_terms(rows: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
+    """``rows`` with ``terms``: all occurrences of terms that disclose an entity of the document, without those that
+    overlap a base span, with their disclosure."""
+    mentions = mentioning(rows)
+    terms = disclosing_terms(rows, mentions, docs, text_col)
+    told = (_entity_words(mentions).join(terms, ["entity", "term"])
+            .groupBy("rid", "term").agg(F.max("disclosure").alias("disclosure")))
+    words = (mentions.select("rid", F.explode_outer(matches(F.col("text"), WORD)).alias("w"))
+             .select("rid", F.lower("w.match").alias("term"), "w.start", "w.end").filter("term IS NOT NULL"))
+    found = (words.join(told, ["rid", "term"])
              .groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("start", "end", "disclosure"))).alias("terms")))
     free = F.filter("terms", lambda t: ~F.exists("spans", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
     none = F.array().cast("array<struct<start: bigint, end: bigint, disclosure: double>>")
@@ -202,7 +203,7 @@ def _count_of(kind: str) -> Column:
 def find_personal_data(docs: DataFrame, key_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: counts of base spans by kind, the hash of their list, and all spans."""
     rows = analysed(docs, [key_col], text_col)
-    out = with_terms(rows, disclosing_terms(rows, docs, text_col))
+    out = with_terms(rows, docs, text_col)
     base = F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["place"].alias("place"), s["kind"].alias("kind"), s["end"].alias("end")))
     terms = F.transform("terms", lambda t: F.struct(
         t["start"].alias("start"), F.lit(len(KINDS)).alias("place"), F.lit("term").alias("kind"), t["end"].alias("end")))
@@ -216,7 +217,7 @@ def sanitise(docs: DataFrame, text_col: str = "text", remove: float = REMOVE) ->
     """``docs`` with personal data replaced by its kind, disclosing terms by what they are (a name, a number, a
     word), and terms of disclosure ``remove`` or more left out. Texts without spans stay as they are."""
     rows = analysed(docs, [], text_col, with_text=True)
-    out = with_terms(rows, disclosing_terms(rows, docs, text_col))
+    out = with_terms(rows, docs, text_col)
     base = F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")).alias("put")))
     text = F.col("text")
 

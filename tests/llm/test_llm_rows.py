@@ -176,6 +176,23 @@ def test_disclosing_terms(spark):
     assert general[0].startswith("[NAME] of [WORD] ")
 
 
+def test_disclosing_terms_anywhere_in_the_text(spark):
+    far = "plain filler text " * 30
+    rows = [(i, f"Zebulon {far}bob@x.org {far}Yours, Zebulon") for i in range(5)]
+    # Beside the address in some of its texts only, but in all of them.
+    rows += [(10 + i, f"Quillon {far if i % 2 else ''}ann@x.org {far}") for i in range(6)]
+    # In two texts of an address, and in ten others.
+    rows += [(20 + i, f"{'Marrow' if i < 2 else ''} {far}cat@x.org") for i in range(4)] + [(30 + i, f"Marrow {far}") for i in range(10)]
+    rows += [(50 + i, far) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.spans.split(",") for r in pii.find_personal_data(df).collect()}
+    clean = {r.doc_id: r.text for r in pii.sanitise(df).collect()}
+    for i, text in rows:
+        terms = [f"term:{m.start()}:{m.end()}" for m in re.finditer("Zebulon|Quillon|Yours", text)]
+        assert [s for s in got[i] if s.startswith("term:")] == terms
+        assert not re.search("Zebulon|Quillon|@", clean[i]) and ("Marrow" in clean[i]) == ("Marrow" in text)
+
+
 def nearest_plain(rows, every, k):
     good = {i: np.asarray(v, float) for i, v in rows if v is not None and len(v) and all(x is not None and math.isfinite(x) for x in v) and any(v)}
     out = {}
