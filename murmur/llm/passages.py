@@ -15,9 +15,18 @@ the first of its context, each context with the first of the group; equal
 shuffle, so a passage that a third of all documents share sends one row a
 block. Texts of equal word sequence are one node.
 
+Groups whose members did not all verify into one component, each within a
+verified passage, go on: without documents that share no run of 22 words (an
+edit costs the two sides at least 9 shingles, so a passage has at most one to
+36 equal ones and a run of 18 shingles) and without windows that no passage
+can cover (it needs 0.8 of its shingles in another document of these groups),
+ever more of a group's members, 16, 256 and so on, are verified against the others
+until all have been or the group is done.
+
 Two documents are candidates where windows of at least ``ENOUGH`` different
 hash functions meet in a common passage: the windows' rectangles of starts and
-ends must intersect in both documents (an interval join). Candidates are
+ends must intersect in both documents (an interval join); in groups that go on
+one window is enough. Candidates are
 verified shingle by shingle: matched runs along the windows' diagonals are
 chained, and a chain of at least 50 words whose matched shingles are 0.8 of
 all shingles of both sides is a passage. A passage of equal words longer than
@@ -38,7 +47,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from murmur.llm.common import SHINGLE_WORDS, SIMILARITY, Words, blocks, mix, seeds, shingles, signed, stored, text_keys
-from murmur.llm.minhash import components
+from murmur.llm.minhash import FACTOR, components
 
 LEAST_WORDS = 50
 LEAST = LEAST_WORDS - SHINGLE_WORDS + 1
@@ -47,6 +56,8 @@ ENOUGH = 2
 CONTEXT = 3
 GAP = 25
 LEAST_RUN = 3
+PRINT_WORDS = 13  # every run of PRINT_WORDS + PRINTS - 1 = 22 words has one of its prints chosen
+PRINTS = 10
 _U = np.uint64
 _EXTENT = (1 << 18) - 1
 
@@ -210,7 +221,8 @@ def document_nodes(docs: DataFrame, key_col: str, text_col: str) -> DataFrame:
 
 
 def window_rows(docs: DataFrame, key_col: str, text_col: str) -> DataFrame:
-    """All compact windows of all documents: signature (its last 3 bits tell the hash function), context, node, place."""
+    """All compact windows of all documents: signature (its last 3 bits tell the hash function, the bit before them
+    whether it is a block's own and the context holds the common one), context, node, place."""
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             texts = batch["text"].tolist()
@@ -225,7 +237,7 @@ def window_rows(docs: DataFrame, key_col: str, text_col: str) -> DataFrame:
                 keep = once[text]
                 f, text, left, centre, right = (v[keep] for v in (f, text, left, centre, right))
                 at, begin, end = offsets[text] + centre, offsets[text], offsets[text + 1] - 1
-                sig = signed((mix(grams[at]) & ~_U(7)) | f.astype(_U))
+                sig = signed((mix(grams[at]) & ~_U(15)) | f.astype(_U))
                 context = signed(mix(grams[np.maximum(at - CONTEXT, begin)] * _U(3) + grams[np.minimum(at + CONTEXT, end)]))
                 yield _linked_in_block(sig, context, own[text], pack(left, centre, right))
     return _texts(docs, key_col, text_col).select("text").mapInPandas(run, _WINDOW)
@@ -241,20 +253,19 @@ def _linked_in_block(sig, context, node, place) -> pd.DataFrame:
     first = np.maximum.accumulate(np.where(new, np.arange(len(sig)), 0)) if len(sig) else np.empty(0, np.int64)
     more = np.flatnonzero(~new & (node != node[first]))
     f = sig[more].astype(np.int64).view(_U) & _U(7)
-    private = signed((mix(sig[more].view(_U) ^ mix(node[more].view(_U) + place[more].view(_U))) & ~_U(7)) | f)
+    private = signed((mix(sig[more].view(_U) ^ mix(node[more].view(_U) + place[more].view(_U))) & ~_U(15)) | _U(8) | f)
     one = np.flatnonzero(new)
-    zero = np.zeros(len(more), dtype=np.int64)
     return pd.DataFrame({"sig": np.concatenate((sig[one], private, private)),
-                         "context": np.concatenate((context[one], zero, zero)),
+                         "context": np.concatenate((context[one], sig[more], sig[more])),
                          "node": np.concatenate((node[one], node[first[more]], node[more])),
                          "place": np.concatenate((place[one], place[first[more]], place[more]))})
 
 
-_MATCH = "a long, b long, f int, at_a long, at_b long"
+_MATCH = "a long, b long, f int, at_a long, at_b long, root long"
 
 
 def matched_windows(windows: DataFrame) -> DataFrame:
-    """(a, b, hash function, places): each window of a group with the first of its context, each context with the
+    """(a, b, hash function, places, common signature): each window of a group with the first of its context, each context with the
     first of its group. Reads the sorted rows as a stream and keeps two rows of it."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         carry = np.empty((4, 0), dtype=np.int64)
@@ -274,19 +285,22 @@ def matched_windows(windows: DataFrame) -> DataFrame:
                 swap = node[hit] < node[to[hit]]
                 a, b = np.where(swap, hit, to[hit]), np.where(swap, to[hit], hit)
                 yield pd.DataFrame({"a": node[a], "b": node[b], "f": (sig[hit] & 7).astype(np.int32),
-                                    "at_a": place[a], "at_b": place[b]})
+                                    "at_a": place[a], "at_b": place[b], "root": np.where(sig[hit] & 8, context[hit], sig[hit])})
             last = [group[-1]] if group[-1] == inner[-1] else [group[-1], inner[-1]]
             carry = rows[:, last]
     n = int(windows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return (windows.repartition(n, "sig").sortWithinPartitions("sig", "context", "node", "place").mapInPandas(run, _MATCH))
 
 
-def _shingle_table(docs: DataFrame, wanted: DataFrame, key_col: str, text_col: str) -> DataFrame:
-    """(node, grams): the shingles, 16 bits each, of one document of each wanted node."""
+def _node_texts(docs: DataFrame, wanted: DataFrame, key_col: str, text_col: str) -> DataFrame:
+    """(node, text) of one document (and rows equal to it) of each wanted node."""
     rows = _texts(docs, key_col, text_col)
     w = wanted.select(F.col("first.doc_id").alias("w_id"), F.col("first.raw").alias("w_raw"), "node")
-    rows = rows.join(w, rows["doc_id"].eqNullSafe(w["w_id"]) & (rows["raw"] == w["w_raw"])).select("node", "text")
+    return rows.join(w, rows["doc_id"].eqNullSafe(w["w_id"]) & (rows["raw"] == w["w_raw"])).select("node", "text")
+
 
+def _shingle_table(docs: DataFrame, wanted: DataFrame, key_col: str, text_col: str) -> DataFrame:
+    """(node, grams): the shingles, 16 bits each, of one document of each wanted node."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             texts = batch["text"].tolist()
@@ -295,13 +309,26 @@ def _shingle_table(docs: DataFrame, wanted: DataFrame, key_col: str, text_col: s
                 short = (grams >> _U(48)).astype(np.uint16)
                 yield pd.DataFrame({"node": batch["node"].iloc[x:y],
                                     "grams": [short[offsets[i]:offsets[i + 1]].tobytes() for i in range(y - x)]})
-    return rows.mapInPandas(run, "node long, grams binary").dropDuplicates(["node"])
+    return _node_texts(docs, wanted, key_col, text_col).mapInPandas(run, "node long, grams binary").dropDuplicates(["node"])
+
+
+def _placed_shingles(docs: DataFrame, wanted: DataFrame, key_col: str, text_col: str) -> DataFrame:
+    """(node, gram, at): every shingle of the wanted nodes, whole."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            texts, node = batch["text"].tolist(), batch["node"].to_numpy(np.int64)
+            for x, y in blocks(texts):
+                grams, offsets = shingles(Words(texts[x:y]))
+                sizes = np.diff(offsets)
+                yield pd.DataFrame({"node": np.repeat(node[x:y], sizes), "gram": signed(grams),
+                                    "at": (np.arange(len(grams)) - np.repeat(offsets[:-1], sizes)).astype(np.int32)})
+    return _node_texts(docs, wanted, key_col, text_col).mapInPandas(run, "node long, gram long, at int")
 
 
 _PASSAGE = "array<struct<a_first: int, a_end: int, b_first: int, b_end: int, similarity: double>>"
 
 
-def _passages(windows: Column, x: Column, y: Column) -> Column:
+def _passages(windows: Column, x: Column, y: Column, enough: int = ENOUGH) -> Column:
     @F.pandas_udf(_PASSAGE)
     def run(windows: pd.Series, xs: pd.Series, ys: pd.Series) -> pd.Series:
         out = []
@@ -309,7 +336,7 @@ def _passages(windows: Column, x: Column, y: Column) -> Column:
             f = np.fromiter((r["f"] for r in w), np.int64, len(w))
             a = np.fromiter((r["at_a"] for r in w), np.int64, len(w))
             b = np.fromiter((r["at_b"] for r in w), np.int64, len(w))
-            good = joined_windows(f, a, b)
+            good = joined_windows(f, a, b) if enough > 1 else np.ones(len(f), dtype=bool)
             found = []
             if good.any():
                 found = repeated_passages(np.frombuffer(p, np.uint16), np.frombuffer(q, np.uint16), (b[good] >> 36) - (a[good] >> 36))
@@ -319,22 +346,147 @@ def _passages(windows: Column, x: Column, y: Column) -> Column:
     return run(windows, x, y)
 
 
+def within_reach(shared: np.ndarray, centres: np.ndarray, least: int = LEAST, similarity: float = SIMILARITY) -> np.ndarray:
+    """Whether a span of at least ``least`` shingles round each centre has ``similarity`` of them at the ``shared`` places."""
+    n = int(max(shared.max(initial=0), centres.max(initial=0))) + least + 1
+    step = np.full(n, -similarity)
+    step[shared] += 1
+    sums = np.concatenate(([0.0], np.cumsum(step)))
+    ahead = np.maximum.accumulate(sums[::-1])[::-1]  # the largest sum from here on
+    before = np.minimum.accumulate(sums)
+    starts = np.maximum(centres[:, None] - np.arange(least)[None, :], 0)
+    near = (ahead[starts + least] - sums[starts]).max(axis=1, initial=-np.inf)
+    far = np.where(centres >= least, ahead[centres + 1] - before[np.maximum(centres - least, 0)], -np.inf)
+    return np.maximum(near, far) >= -1e-6
+
+
+def _hopeful(members: DataFrame, docs: DataFrame, nodes: DataFrame, key_col: str, text_col: str) -> DataFrame:
+    """The members (root, node, place) that a passage with another node of the members can cover."""
+    @F.pandas_udf("array<boolean>")
+    def reach(at: pd.Series, places: pd.Series) -> pd.Series:
+        return pd.Series([within_reach(np.asarray(a, np.int64), np.asarray(p, np.int64) >> 36) for a, p in zip(at, places, strict=True)], dtype=object)
+
+    wanted = nodes.join(members.select("node").distinct(), "node", "left_semi")
+    placed = stored(_placed_shingles(docs, wanted, key_col, text_col), "placed")
+    common = placed.groupBy("gram").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high").select("gram")
+    shared = placed.join(common, "gram").groupBy("node").agg(F.collect_set("at").alias("at"))
+    own = members.groupBy("node").agg(F.collect_list(F.struct("root", "place")).alias("own")).join(shared, "node")
+    each = own.withColumn("good", reach("at", "own.place")).select("node", F.explode(F.arrays_zip("own", "good")).alias("m"))
+    return each.filter("m.good").select("m.own.root", "node", "m.own.place")
+
+
+def run_nodes(docs: DataFrame, key_col: str, text_col: str) -> DataFrame:
+    """(node): the nodes that share a run of 22 words with another one, by the least print of every ``PRINTS``."""
+    def prints(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            texts = batch["text"].tolist()
+            for x, y in blocks(texts):
+                words = Words(texts[x:y])
+                node = signed(text_keys(words))
+                grams, offsets = shingles(words, PRINT_WORDS)
+                if len(grams) < PRINTS:
+                    continue
+                least = signed(sliding_minima(grams, PRINTS))
+                owner = np.repeat(np.arange(y - x), np.diff(offsets))
+                whole = (owner[:len(least)] == owner[PRINTS - 1:]) & (words.counts()[owner[:len(least)]] >= LEAST_WORDS)
+                rows = pd.DataFrame({"print": least[whole], "node": node[owner[:len(least)][whole]]})
+                rows = rows.drop_duplicates().sort_values(["print", "node"])
+                value, own = rows["print"].to_numpy(), rows["node"].to_numpy()
+                # Of a block's equal prints one goes on; each other node meets its neighbour under a print of its own.
+                more = np.flatnonzero(value[1:] == value[:-1]) + 1
+                private = signed(mix(value[more].view(_U) ^ mix(own[more].view(_U))))
+                one = np.setdiff1d(np.arange(len(value)), more, assume_unique=True)
+                yield pd.DataFrame({"print": np.concatenate((value[one], private, private)),
+                                    "node": np.concatenate((own[one], own[more], own[more - 1]))})
+
+    def met(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        carry = np.empty((2, 0), dtype=np.int64)
+        for batch in batches:
+            value, node = rows = np.concatenate((carry, batch[["print", "node"]].to_numpy(np.int64).T), axis=1)
+            at = np.flatnonzero((value[1:] == value[:-1]) & (node[1:] != node[:-1]))
+            yield pd.DataFrame({"node": np.unique(np.concatenate((node[at], node[at + 1])))})
+            carry = rows[:, -1:]
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = _texts(docs, key_col, text_col).select("text").mapInPandas(prints, "print long, node long")
+    return rows.repartition(n, "print").sortWithinPartitions("print", "node").mapInPandas(met, "node long").distinct()
+
+
+def _unsettled(members: DataFrame, found: DataFrame) -> DataFrame:
+    """The members, with label and whether a verified passage covers them, of the groups that are not one component
+    with all members covered."""
+    sides = [found.select(F.col(x).alias("node"), F.struct(F.col(f"{x}_first").alias("first"), F.col(f"{x}_end").alias("end")).alias("s")) for x in "ab"]
+    spans = sides[0].unionByName(sides[1]).groupBy("node").agg(F.collect_set("s").alias("spans"))
+    labels = components(found.select("a", "b").distinct())
+    centre = F.shiftright("place", 36)
+    covered = F.exists("spans", lambda s: (s["first"] <= centre) & (centre < s["end"] - (SHINGLE_WORDS - 1)))
+    own = members.join(spans.join(labels, "node"), "node", "left").select(
+        "root", "node", "place", F.coalesce("label", "node").alias("label"), F.coalesce(covered, F.lit(False)).alias("covered"))
+    roots = (own.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("n0"), F.max("node").alias("n1"), F.min("label").alias("l0"),
+                                     F.max("label").alias("l1"), F.min("covered").alias("all"))
+             .filter("n0 < n1 AND (l0 < l1 OR NOT all)").select("root", "n"))
+    return own.join(roots, "root")
+
+
+def _verified(pairs: DataFrame, grams: DataFrame, enough: int) -> DataFrame:
+    x = grams.select(F.col("node").alias("a"), F.col("grams").alias("x"))
+    y = grams.select(F.col("node").alias("b"), F.col("grams").alias("y"))
+    found = pairs.join(y, "b").join(x, "a").select("a", "b", F.explode(_passages(F.col("windows"), F.col("x"), F.col("y"), enough)).alias("p"))
+    return stored(found.select("a", "b", "p.*"), "passages")
+
+
+def _gone_on(found: DataFrame, matches: DataFrame, docs: DataFrame, nodes: DataFrame, key_col: str, text_col: str) -> DataFrame:
+    """``found`` with the passages of further members of the groups that are not settled by it."""
+    sides = [matches.select("root", F.col(x).alias("node"), F.col(f"at_{x}").alias("place")) for x in "ab"]
+    alike = stored(run_nodes(docs, key_col, text_col), "alike")
+    members = stored(sides[0].unionByName(sides[1]).join(alike, "node", "left_semi").distinct(), "members")
+    members = stored(_unsettled(members, found).select("root", "node", "place"), "open")
+    if not members.limit(1).count():
+        return found
+    members = stored(_hopeful(members, docs, nodes, key_col, text_col), "hopeful")
+    still = stored(_unsettled(members, found), "still")
+    most = still.agg(F.max("n")).first()[0]
+    if not most:
+        return found
+    members = stored(still.select("root", "node", "place", "n"), "members")
+    grams = stored(_shingle_table(docs, nodes.join(members.select("node").distinct(), "node", "left_semi"), key_col, text_col), "grams")
+    served, upto = 0, FACTOR
+    while True:
+        # A member's place among a group's n, from 0 to n, by its node's hash.
+        sized = still.drop("n").join(members, ["root", "node", "place"])
+        turn = (F.col("node") / F.lit(2.0 ** 64) + F.lit(0.5)) * F.col("n")
+        reps = sized.filter((turn >= served) & ((turn < upto) | F.lit(upto >= most))).select(
+            "root", *[F.col(c).alias(f"r_{c}") for c in ("node", "place", "label", "covered")])
+        settled = (F.col("r_label") == F.col("label")) & F.col("r_covered") & F.col("covered")
+        low = F.col("r_node") < F.col("node")
+        pairs = (reps.join(sized, "root").filter((F.col("r_node") != F.col("node")) & ~settled)
+                 .select(F.least("r_node", "node").alias("a"), F.greatest("r_node", "node").alias("b"),
+                         F.struct(F.col("root").bitwiseAND(7).cast("int").alias("f"),
+                                  F.when(low, F.col("r_place")).otherwise(F.col("place")).alias("at_a"),
+                                  F.when(low, F.col("place")).otherwise(F.col("r_place")).alias("at_b")).alias("w"))
+                 .groupBy("a", "b").agg(F.collect_set("w").alias("windows")))
+        found = stored(found.unionByName(_verified(pairs, grams, 1)).distinct(), "passages")
+        if upto >= most:
+            return found
+        served, upto = upto, upto * FACTOR
+        still = stored(_unsettled(members.drop("n"), found), "still")
+        if not still.limit(1).count():
+            return found
+
+
 def passage_links(docs: DataFrame, key_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
     """(documents with their node, nodes, verified passages between nodes)."""
     rows = stored(document_nodes(docs, key_col, text_col), "nodes-of-documents")
     nodes = stored(rows.groupBy("node").agg(F.min(F.struct("doc_id", "raw")).alias("first"), F.min("doc_id").alias("least"),
                                             F.count(F.lit(1)).alias("copies"), F.max("words").alias("words")), "nodes")
-    matches = matched_windows(window_rows(docs, key_col, text_col))
+    matches = stored(matched_windows(window_rows(docs, key_col, text_col)), "matches")
     pairs = (matches.groupBy("a", "b").agg(F.collect_set(F.struct("f", "at_a", "at_b")).alias("windows"))
              .filter(F.size(F.array_distinct(F.col("windows.f"))) >= ENOUGH))
     pairs = stored(pairs, "pairs")
     wanted = nodes.join(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct(),
                         "node", "left_semi")
     grams = stored(_shingle_table(docs, wanted, key_col, text_col), "grams")
-    x = grams.select(F.col("node").alias("a"), F.col("grams").alias("x"))
-    y = grams.select(F.col("node").alias("b"), F.col("grams").alias("y"))
-    found = pairs.join(y, "b").join(x, "a").select("a", "b", F.explode(_passages(F.col("windows"), F.col("x"), F.col("y"))).alias("p"))
-    return rows, nodes, stored(found.select("a", "b", "p.*"), "passages")
+    found = _verified(pairs, grams, ENOUGH)
+    return rows, nodes, _gone_on(found, matches, docs, nodes, key_col, text_col)
 
 
 def _merged(spans: Column) -> Column:

@@ -237,6 +237,25 @@ def test_hot_passage_keeps_every_document(spark):
     assert len(got) == 400 and {r.class_id for r in got} == {0}
 
 
+def test_rare_passage_with_a_frequent_sentence(spark):
+    rnd = random.Random(4)
+    fresh = lambda n: [f"w{rnd.randrange(10 ** 9)}" for _ in range(n)]
+    docs, rare = [], []
+    for _ in range(3):
+        sentence = fresh(45)
+        passage = fresh(3) + sentence + fresh(3)
+        docs += [fresh(30) + sentence + fresh(30) for _ in range(100)]
+        for _ in range(2):
+            rare.append(len(docs))
+            docs.append(fresh(30) + passage + fresh(30))
+        docs += [fresh(30) + sentence + fresh(30) for _ in range(100)]
+    df = spark.createDataFrame([(i, " ".join(d)) for i, d in enumerate(docs)], "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r for r in passages.repeated(df).collect()}
+    assert sorted(got) == rare
+    for x, y in zip(rare[0::2], rare[1::2]):
+        assert got[x].class_id == got[y].class_id == x and got[x].spans == got[y].spans == [(30, 81)]
+
+
 def contained(docs, items):
     out = set()
     for d, t in docs:
