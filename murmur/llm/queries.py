@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from murmur.llm import ann, decontaminate, html_text, langid, minhash, mixing, passages, pii, sharding, warc
+from murmur.llm import (ann, decontaminate, html_text, langid, lexical, minhash, mixing, passages, pii, quality, sharding, warc,
+                        whiten)
 from murmur.llm.common import scratch_path, ship, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -151,3 +152,45 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_personal_data")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_personal_data(table(spark, sf_dir, "documents"))
+
+
+@query("op11_whitening")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten.whiten(table(spark, sf_dir, "embeddings"))
+
+
+@query("op12_quality")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+_OP13_TERMS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')""".replace("\\\\", "\\")
+
+_OP13_SQL = f"""
+WITH d AS (
+  SELECT row_number() OVER () AS row, doc_id, {_OP13_TERMS} AS words FROM documents
+), s AS (
+  SELECT count(*) AS docs, CAST(sum(len(words)) AS BIGINT) AS total FROM d WHERE len(words) > 0
+), i AS (
+  SELECT row_number() OVER () AS item, item_id, {_OP13_TERMS} AS words FROM (SELECT DISTINCT item_id, text FROM benchmark)
+), q AS (
+  SELECT item, item_id, term, count(*) AS n FROM (SELECT item, item_id, unnest(words) AS term FROM i) GROUP BY ALL
+), tf AS (
+  SELECT row, doc_id, length, term, count(*) AS tf FROM (SELECT row, doc_id, len(words) AS length, unnest(words) AS term FROM d)
+  WHERE term IN (SELECT term FROM q) GROUP BY ALL
+), df AS (
+  SELECT term, CAST(floor(1000 * ln(CAST(2 * (SELECT docs FROM s) + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS w FROM tf GROUP BY term
+), p AS (
+  SELECT item, item_id, row, doc_id, CAST(sum(n * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * length * docs) // total)))) AS BIGINT) AS score
+  FROM q JOIN tf USING (term) JOIN df USING (term), s GROUP BY ALL
+), r AS (
+  SELECT *, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM p WHERE score > 0
+)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM r WHERE rank <= 10
+"""
+
+
+@query("op13_lexical_search", _OP13_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
