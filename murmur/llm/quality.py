@@ -165,9 +165,14 @@ def training_rows(docs: DataFrame, labels: DataFrame, key_col: str = "doc_id", t
     own = labels.select(key.cast("string").alias("k"), labels[f"`{label_col}`"].cast("int").alias("y"))
     own = own.filter(key.isNotNull() & F.col("y").isin(0, 1) & ~held_out(key)).groupBy("k").agg(F.max("y").alias("y"))
     counts = {r["y"]: r["n"] for r in own.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
-    order = Window.partitionBy("y").orderBy(F.xxhash64("k"), "k")
-    # The rank keeps per_class rows of a class in every task before the shuffle.
-    sample = own.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= per_class)
+    # The share of the hash range that holds about twice the wanted rows of a class, then the exact rank in it: a rank
+    # over all labels would meet in one task.
+    spread = {y: min(1.0, (2.0 * per_class + 100) / n) for y, n in counts.items()}
+    h = F.xxhash64("k")
+    share = F.create_map(*[F.lit(x) for y in sorted(spread) for x in (y, spread[y])])[F.col("y")] if spread else F.lit(0.0)
+    order = Window.partitionBy("y").orderBy(h, "k")
+    sample = own.filter(h / F.lit(2.0 ** 64) + 0.5 <= share).withColumn("place", F.row_number().over(order))
+    sample = sample.filter(F.col("place") <= per_class)
     rows = docs.select(docs[f"`{key_col}`"].cast("string").alias("k"), docs[f"`{text_col}`"].alias("t")).filter("t IS NOT NULL")
     rows = rows.join(F.broadcast(sample), "k").groupBy("k", "y").agg(F.min("t").alias("t"))
 
