@@ -14,16 +14,20 @@ The similarity is the aligned k-mers over all k-mers of both; 0.8 links.
 
 Groups are never paired out. Texts of equal word sequence are one node. In the
 buckets of the first four sketches (documents sharing the sketch) every
-document is verified against the bucket's least node. Buckets of any sketch
-whose documents then lie in several components are gone on with: k-mers are
-counted over their documents, and documents and pairs that cannot reach 0.8,
-because too many of their k-mers occur in no other document, are ruled out.
-The rest is verified against each bucket's most shared node, and then in
-rounds of ``FACTOR`` times more nodes against all members of *other*
-components, until one component remains or all pairs between components are
-done. So no link between different texts of a bucket is lost, while a large
-group of copies costs a few verifications a document. Components are found by
-joins; every round is written to the shared folder.
+document is verified against the bucket's least node. What is left are buckets
+of any sketch whose documents lie in several components: mostly texts that have
+a frequent line or passage in common and little else. They are settled by their
+rare k-mers. Of a node's k-mers only those count that some node of *another*
+component has too; ordered rarest first, two nodes of 0.8 must share one of
+their first (usable - 0.8 size + 1), and that k-mer bounds what they can have in
+common. Nodes with fewer usable k-mers than 0.8 of their size are out at once.
+In ``CENTRE_ROUNDS`` rounds the nodes that share such a k-mer are verified
+against the one with most left after it, which links copies with what they were
+copied from; components grow and k-mers that only one component has drop out.
+Then all pairs across components that the bound admits are verified. So no link
+between different texts is lost, and the work follows real overlap: neither a
+passage that thousands of texts share nor a large group of copies is paired out.
+Components are found by joins; every round is written to the shared folder.
 
 Defined results: a null text is a class of its own; texts without words (empty
 ones too) are alike if equal; documents of fewer than five words have one
@@ -47,7 +51,7 @@ from murmur.llm.common import SIMILARITY, Words, blocks, mix, packed, seeds, shi
 SKETCHES = 16
 SAMPLED = 3
 FIRST_SKETCHES = 4
-FACTOR = 16
+CENTRE_ROUNDS = 2
 _U = np.uint64
 
 
@@ -178,7 +182,7 @@ def _kmer_table(docs: DataFrame, wanted: DataFrame, key_col: str, text_col: str)
                 kmers, offsets = labelled_kmers(Words(texts[x:y]))
                 short = (kmers >> _U(32)).astype(np.uint32)
                 yield pd.DataFrame({"node": batch["node"].iloc[x:y],
-                                    "kmers": [short[offsets[i]:offsets[i + 1]].tobytes() for i in range(y - x)]})
+                                    "kmers": [_distinct(short[offsets[i]:offsets[i + 1]]).tobytes() for i in range(y - x)]})
     return rows.mapInPandas(run, "node long, kmers binary").dropDuplicates(["node"])
 
 
@@ -187,16 +191,15 @@ def _similarity(a: Column, b: Column) -> Column:
     def run(x: pd.Series, y: pd.Series) -> pd.Series:
         out = []
         for p, q in zip(x, y, strict=True):
-            p, q = np.frombuffer(p, np.uint32), np.frombuffer(q, np.uint32)
-            if len(p) != len(np.unique(p)) or len(q) != len(np.unique(q)):  # 32 bits: a chance collision in a long text
-                p, q = _distinct(p), _distinct(q)
-            out.append(aligned_similarity(p, q))
+            out.append(aligned_similarity(np.frombuffer(p, np.uint32), np.frombuffer(q, np.uint32)))
         return pd.Series(out, dtype="float64")
     return run(a, b)
 
 
 def _distinct(x: np.ndarray) -> np.ndarray:
-    return x[np.sort(np.unique(x, return_index=True)[1])]
+    """The k-mers without repeats (32 bits: a chance collision in a long text), in text order."""
+    first = np.unique(x, return_index=True)[1]
+    return x if len(first) == len(x) else x[np.sort(first)]
 
 
 def _verified(pairs: DataFrame, kmers: DataFrame) -> DataFrame:
@@ -217,27 +220,52 @@ def _split(own: DataFrame) -> DataFrame:
     return own.join(split.select("bucket"), "bucket", "left_semi")
 
 
-def _hopeful(members: DataFrame, kmers: DataFrame) -> DataFrame:
-    """(node, size, shared) of the members that can be linked with another member at all.
+def _postings(own: DataFrame, kmers: DataFrame) -> DataFrame:
+    """(kmer, node, label, size, rest): the rare k-mers of (node, label) by which a node can be linked across labels.
 
-    ``shared`` counts a node's k-mers that some other member has too. Two nodes have at most the lesser of their
-    shared counts in common, so a similarity of 0.8 can be ruled out without comparing them.
+    ``rest`` counts the node's usable k-mers that are more frequent than this one. A k-mer with fewer than 0.8 of the
+    node's size in it and the rest is no part of the prefix.
     """
-    own = kmers.join(members.select("node").distinct(), "node", "left_semi")
-
     def exploded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for x in range(0, len(batch), 256):
-                data, nodes = batch["kmers"].iloc[x:x + 256], batch["node"].iloc[x:x + 256].to_numpy()
-                yield pd.DataFrame({"kmer": np.frombuffer(b"".join(data), np.int32),
-                                    "node": np.repeat(nodes, [len(d) // 4 for d in data])})
-    alone = (own.mapInPandas(exploded, "kmer int, node long").groupBy("kmer")
-             .agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("node")).filter("n = 1")
-             .groupBy("node").agg(F.count(F.lit(1)).alias("alone")))
-    size = (F.octet_length("kmers") / 4).cast("long")
-    out = own.select("node", size.alias("size")).join(alone, "node", "left")
-    out = out.select("node", "size", (F.col("size") - F.coalesce("alone", F.lit(0))).alias("shared"))
-    return out.filter(F.col("shared") >= SIMILARITY * F.col("size") - 1e-9)
+                part = batch.iloc[x:x + 256]
+                sizes = np.array([len(d) // 4 for d in part["kmers"]], dtype=np.int32)
+                yield pd.DataFrame({"kmer": np.frombuffer(b"".join(part["kmers"]), np.int32), "size": np.repeat(sizes, sizes),
+                                    "node": np.repeat(part["node"].to_numpy(), sizes), "label": np.repeat(part["label"].to_numpy(), sizes)})
+    cells = kmers.join(own, "node").mapInPandas(exploded, "kmer int, size int, node long, label long")
+    common = cells.groupBy("kmer").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("n"))
+    cells = cells.join(common.filter("lo <> hi").select("kmer", "n"), "kmer")
+    frequent_first = Window.partitionBy("node").orderBy(F.desc("n"), "kmer")
+    cells = cells.withColumn("rest", F.row_number().over(frequent_first) - 1).filter(F.col("rest") + 1 >= SIMILARITY * F.col("size") - 1e-9)
+    return stored(cells.select("kmer", "node", "label", "size", "rest"), "postings")
+
+
+def _admitted() -> Column:
+    """Can two nodes (columns and a_ columns) that share a k-mer, and no rarer one, be linked across labels?"""
+    most = F.least("rest", "a_rest") + 1
+    return (F.col("a_label") != F.col("label")) & (most >= SIMILARITY * (F.col("size") + F.col("a_size") - most) - 1e-9)
+
+
+def _as_a(rows: DataFrame) -> DataFrame:
+    return rows.select("kmer", *[F.col(c).alias(f"a_{c}") for c in ("node", "label", "size", "rest")])
+
+
+def _centre_pairs(postings: DataFrame) -> DataFrame:
+    """Pairs of each k-mer's nodes with the one that has most of its size left after it."""
+    first = F.struct(F.col("rest") / F.col("size"), "node", "label", "size", "rest")
+    centre = postings.groupBy("kmer").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max(first).alias("c"))
+    centre = _as_a(centre.filter("lo <> hi").select("kmer", "c.node", "c.label", "c.size", "c.rest"))
+    return postings.join(centre, "kmer").filter(_admitted())
+
+
+def _all_pairs(postings: DataFrame) -> DataFrame:
+    """All admitted pairs across labels. A k-mer's most frequent label is never joined with itself."""
+    per = postings.groupBy("kmer", "label").agg(F.count(F.lit(1)).alias("n"))
+    per = per.groupBy("kmer").agg(F.max(F.struct("n", "label"))["label"].alias("major"), F.count(F.lit(1)).alias("labels"))
+    rows = stored(postings.join(per.filter("labels > 1").select("kmer", "major"), "kmer"), "open")
+    others = _as_a(rows.filter("label <> major"))
+    return rows.join(others, "kmer").filter(((F.col("label") == F.col("major")) | (F.col("a_node") < F.col("node"))) & _admitted())
 
 
 def linked_classes(docs: DataFrame, key_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -257,37 +285,14 @@ def linked_classes(docs: DataFrame, key_col: str = "doc_id", text_col: str = "te
                       .select(F.col("rep").alias("a"), F.col("node").alias("b")).distinct(), kmers)
     labels = components(links)
 
-    # Buckets of several components, without what cannot reach the similarity at all.
+    # Buckets of several components: by rare k-mers, first against centres, then all that can still be linked.
     left = members.select("bucket", "node", "n", F.when(first, F.col("rep")).alias("rep"))
-    left = stored(_split(_labelled(left.filter("rep IS NULL OR n > 2"), labels)).select("bucket", "node", "rep"), "open")
-    left = left.join(_hopeful(left, kmers), "node")
-    centre = left.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct(F.col("shared") / F.col("size"), "node"))["node"].alias("centre"))
-    left = stored(left.join(centre.filter("n > 1"), "bucket"), "hopeful")
-
-    # First each bucket's most shared node, which links copies with what they were copied from; then ever more nodes.
-    served, most = -1, left.agg(F.max("n")).first()[0] or 0
-    while served < most:
-        own = _labelled(left.filter(F.col("n") > served), labels)
-        still = stored(_split(own), "still")
-        if not still.limit(1).count():
-            break
-        # A node's place among a bucket's n members, from 0 to n, by its hash.
-        place = (F.col("node") / F.lit(2.0 ** 64) + F.lit(0.5)) * F.col("n")
-        upto = max(0, served) * FACTOR or FACTOR
-        if served < 0:
-            reps, upto = still.filter(F.col("node") == F.col("centre")), 0
-        else:
-            compared = (F.col("node") == F.col("centre")) | F.coalesce(F.col("node") == F.col("rep"), F.lit(False))
-            reps = still.filter((place < upto) & (place >= served) & ~compared)
-        reps = reps.select("bucket", *[F.col(c).alias(f"a_{c}") for c in ("node", "label", "size", "shared")])
-        both = F.least("shared", "a_shared")  # k-mers that both can have
-        order = F.col("a_node") != F.col("node") if served < 0 else F.col("a_node") < F.col("node")
-        pairs = (reps.join(still.select("bucket", "node", "label", "size", "shared"), "bucket")
-                 .filter(order & (F.col("a_label") != F.col("label"))
-                         & (both >= SIMILARITY * (F.col("size") + F.col("a_size") - both) - 1e-9))
-                 .select(F.least("a_node", "node").alias("a"), F.greatest("a_node", "node").alias("b")).distinct())
-        more = _verified(pairs, kmers)
-        served = upto
+    left = _split(_labelled(left.filter("rep IS NULL OR n > 2"), labels)).select("node").distinct()
+    for turn in range(CENTRE_ROUNDS + 1):
+        postings = _postings(_labelled(left, labels), kmers)
+        pairs = _centre_pairs(postings) if turn < CENTRE_ROUNDS else _all_pairs(postings)
+        more = _verified(pairs.select(F.least("a_node", "node").alias("a"), F.greatest("a_node", "node").alias("b")).distinct(), kmers)
+        left = postings.select("node").distinct()
         if more.limit(1).count():
             links = links.unionByName(more)
             labels = components(links)
@@ -297,18 +302,18 @@ def linked_classes(docs: DataFrame, key_col: str = "doc_id", text_col: str = "te
 
 
 def near_duplicates(docs: DataFrame, key_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, class_id, class_size, links) of every document: its class, the class's documents, and how many
-    verified links its text has to other texts."""
+    """(doc_id, class_id, class_size, verified_links) of every document: its class, the class's documents, and the
+    verified pairs its text is part of (enough to connect its class, not all pairs of similar texts)."""
     rows, classes, links = linked_classes(docs, key_col, text_col)
     per_class = classes.groupBy("label").agg(F.min("least").alias("class_id"), F.sum("copies").alias("class_size"))
     degree = (links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node")))
-              .groupBy("node").agg(F.count(F.lit(1)).alias("links")))
+              .groupBy("node").agg(F.count(F.lit(1)).alias("verified_links")))
     by_node = (classes.join(per_class, "label").join(degree, "node", "left")
-               .select("node", "class_id", "class_size", F.coalesce("links", F.lit(0).cast("long")).alias("links")))
-    found = rows.select("doc_id", "node").join(by_node, "node").select("doc_id", "class_id", "class_size", "links")
+               .select("node", "class_id", "class_size", F.coalesce("verified_links", F.lit(0).cast("long")).alias("verified_links")))
+    found = rows.select("doc_id", "node").join(by_node, "node").select("doc_id", "class_id", "class_size", "verified_links")
     text, key = docs[f"`{text_col}`"], docs[f"`{key_col}`"].cast("long")
     none = docs.filter(text.isNull()).select(key.alias("doc_id"), key.alias("class_id"), F.lit(1).cast("long").alias("class_size"),
-                                             F.lit(0).cast("long").alias("links"))
+                                             F.lit(0).cast("long").alias("verified_links"))
     return found.unionByName(none)
 
 

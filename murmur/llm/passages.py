@@ -47,11 +47,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from murmur.llm.common import SHINGLE_WORDS, SIMILARITY, Words, blocks, mix, seeds, shingles, signed, stored, text_keys
-from murmur.llm.minhash import FACTOR, components
+from murmur.llm.minhash import components
 
 LEAST_WORDS = 50
 LEAST = LEAST_WORDS - SHINGLE_WORDS + 1
 HASHES = 6
+FACTOR = 16
 ENOUGH = 2
 CONTEXT = 3
 GAP = 25
