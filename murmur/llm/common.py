@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BLOCK_CHARS = 1_000_000
+BLOCK_CHARS = 1 << 18
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
 

@@ -39,6 +39,8 @@ MAX_LANGUAGES = 256
 LANDMARKS = 64
 RIDGE = 0.1
 UNKNOWN = "und"
+# A text is of a known language if the best one has this many times its share by chance.
+LEAST_LIFT = 1.2
 BLOCK_TEXTS = 128
 
 
@@ -178,8 +180,22 @@ def identify(docs: DataFrame, key_col: str = "doc_id", text_col: str = "text", l
 
 
 def known_language(docs: DataFrame, key_col: str = "doc_id", text_col: str = "text",
-                   lang_col: str = "lang") -> DataFrame:
-    """The documents whose language the model tells (text with at least one letter), all columns."""
+                   lang_col: str = "lang", least_lift: float = LEAST_LIFT) -> DataFrame:
+    """The documents that resemble a learned language, all columns.
+
+    Texts without a letter go, and texts whose best language has no more than ``least_lift`` / number of languages of
+    the positive scores: they share (nearly) no n-gram with any language, or the same few with all. Where no row is
+    labelled nothing can be told apart and every text with a letter stays.
+    """
     key, text, lang = docs[f"`{key_col}`"], docs[f"`{text_col}`"], docs[f"`{lang_col}`"]
     model = fit(docs, key, text, lang, ~held_out(key))
-    return docs.filter(predicted(model, text)["lang_pred"] != UNKNOWN)
+    if model is None:
+        return docs.filter(text.rlike(r"\p{L}"))
+    least = least_lift / len(model.languages) if len(model.languages) > 1 else 0.0
+
+    @F.pandas_udf("boolean")
+    def accepted(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in texts:
+            p = model.predict(batch.tolist())
+            yield (p["lang_pred"] != UNKNOWN) & (p["score"] > least)
+    return docs.filter(accepted(text))
