@@ -3,7 +3,7 @@
 ``STAGES`` lists (name, function); a function takes (spark, docs, sf_dir) and
 returns a DataFrame. All but the last return the columns of ``docs``.
 
-1. language: drops documents whose language cannot be told (null text, no letter).
+1. language: drops documents that resemble no learned language (null text, no letter, no language's n-grams).
 2. near_duplicates: keeps one document of every class of near duplicates.
 3. decontamination: drops documents that contain a benchmark item.
 4. mixing: repeats or drops documents so that the sources meet their target weights.
