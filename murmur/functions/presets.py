@@ -180,5 +180,3 @@ FOLDS = 10
 TEXT_GRID = {"n_max": (1, 2), "max_features": (10_000, 20_000, None), "c": (0.1, 1.0, 10.0)}
 DENSE_GRID = (("linear", None), ("rbf", "scale"), ("rbf", 0.01))
 DENSE_C = (1.0, 10.0, 100.0)
-# Not a value of the reference: the most iterations of one fit while grids are searched (final fits take 100).
-SEARCH_ITERATIONS = 10

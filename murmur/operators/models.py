@@ -1,6 +1,4 @@
-"""Distributed models on Spark MLlib: Word2Vec, mean pooling, linear SVMs with
-balanced class weights, random Fourier features, macro-F1 model selection, LDA
-and topic coherence.
+"""Distributed models: Word2Vec, mean pooling, LDA and topic coherence (``svm`` and ``kernel_svm`` hold the classifiers).
 
 Training data never leaves the executors except where MLlib itself keeps a
 model on the driver (LDA topic matrix, Word2Vec vocabulary), whose size is
@@ -11,29 +9,18 @@ from __future__ import annotations
 
 import math
 import warnings
-from collections.abc import Callable, Sequence
-from concurrent.futures import ThreadPoolExecutor
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark import keyword_only
-from pyspark.ml import Pipeline, PipelineModel, Transformer
-from pyspark.ml.classification import LinearSVC, OneVsRest
 from pyspark.ml.clustering import LDA
-from pyspark.ml.evaluation import Evaluator
-from pyspark.ml.feature import (CountVectorizer, IDF, IndexToString, Normalizer, SQLTransformer, StandardScaler,
-                                StringIndexer, Word2Vec)
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.linalg import Vectors, VectorUDT
-from pyspark.ml.param.shared import HasInputCol, HasOutputCol, Param, Params, TypeConverters
+from pyspark.ml.feature import CountVectorizer, Word2Vec
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from murmur.functions import presets
-from murmur.functions.text import WS_RE
 
 
 # --------------------------------------------------------------------------
@@ -102,232 +89,6 @@ def embedding_coverage(vocab: DataFrame, vectors: DataFrame) -> DataFrame:
                  (F.count("_found") / F.count(F.lit(1))).alias("coverage"))
 
 
-# --------------------------------------------------------------------------
-# Macro-F1 evaluator (MulticlassClassificationEvaluator "f1" is *weighted*)
-# --------------------------------------------------------------------------
-
-class MacroF1Evaluator(Evaluator, HasInputCol):
-    """Macro-F1 over the labels present in truth or prediction, computed from one
-    grouped confusion count on the executors."""
-
-    labelCol = Param(Params._dummy(), "labelCol", "label column", typeConverter=TypeConverters.toString)
-    predictionCol = Param(Params._dummy(), "predictionCol", "prediction column", typeConverter=TypeConverters.toString)
-
-    @keyword_only
-    def __init__(self, labelCol: str = "label", predictionCol: str = "prediction"):
-        super().__init__()
-        self._setDefault(labelCol="label", predictionCol="prediction")
-        self._set(**self._input_kwargs)
-
-    def _evaluate(self, dataset: DataFrame) -> float:
-        lab, pred = self.getOrDefault(self.labelCol), self.getOrDefault(self.predictionCol)
-        c = dataset.groupBy(F.col(lab).alias("t"), F.col(pred).alias("p")).agg(F.count(F.lit(1)).alias("n"))
-        stats = c.select("n", F.explode(F.array(
-            F.struct(F.col("t").alias("k"), F.lit(1).alias("s"), F.lit(0).alias("q"), F.lit(0).alias("tp")),
-            F.struct(F.col("p").alias("k"), F.lit(0).alias("s"), F.lit(1).alias("q"), F.lit(0).alias("tp")),
-            F.struct(F.col("t").alias("k"), F.lit(0).alias("s"), F.lit(0).alias("q"),
-                     (F.col("t") == F.col("p")).cast("int").alias("tp")))).alias("x"))
-        per = stats.groupBy("x.k").agg(F.sum(F.col("n") * F.col("x.s")).alias("sup"),
-                                      F.sum(F.col("n") * F.col("x.q")).alias("prd"),
-                                      F.sum(F.col("n") * F.col("x.tp")).alias("tp"))
-        f1 = F.when(F.col("sup") + F.col("prd") > 0, 2.0 * F.col("tp") / (F.col("sup") + F.col("prd"))).otherwise(0.0)
-        row = per.agg(F.avg(f1).alias("m")).first()
-        return float(row["m"] or 0.0)
-
-    def isLargerBetter(self) -> bool:
-        return True
-
-
-# --------------------------------------------------------------------------
-# Random Fourier features (RBF kernel approximation, Rahimi & Recht 2007)
-# --------------------------------------------------------------------------
-
-class RandomFourierFeatures(Transformer, HasInputCol, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable):
-    """z(x) = sqrt(2/D) cos(W x + b), W ~ N(0, 2 gamma), b ~ U[0, 2 pi), seeded.
-
-    Arrow-batched: one matrix product per batch inside the executor.
-    """
-
-    numFeatures = Param(Params._dummy(), "numFeatures", "D", typeConverter=TypeConverters.toInt)
-    gamma = Param(Params._dummy(), "gamma", "RBF gamma", typeConverter=TypeConverters.toFloat)
-    seed = Param(Params._dummy(), "seed", "seed", typeConverter=TypeConverters.toInt)
-    inputDim = Param(Params._dummy(), "inputDim", "input width", typeConverter=TypeConverters.toInt)
-
-    @keyword_only
-    def __init__(self, inputCol: str = "features", outputCol: str = "rff", numFeatures: int = 256,
-                 gamma: float = 0.01, seed: int = presets.SEED, inputDim: int = 64):
-        super().__init__()
-        self._setDefault(numFeatures=256, gamma=0.01, seed=presets.SEED, inputDim=64)
-        self._set(**self._input_kwargs)
-
-    def _transform(self, dataset: DataFrame) -> DataFrame:
-        d, g = self.getOrDefault(self.numFeatures), self.getOrDefault(self.gamma)
-        rng = np.random.default_rng(self.getOrDefault(self.seed))
-        w = rng.normal(0.0, np.sqrt(2.0 * g), size=(self.getOrDefault(self.inputDim), d))
-        b = rng.uniform(0.0, 2 * np.pi, size=d)
-        scale = np.sqrt(2.0 / d)
-
-        @F.pandas_udf(T.ArrayType(T.DoubleType()))
-        def rff(x: pd.Series) -> pd.Series:
-            m = np.vstack(x.to_numpy()) if len(x) else np.zeros((0, w.shape[0]))
-            z = scale * np.cos(m @ w + b)
-            return pd.Series(list(z))
-
-        arr = vector_to_array(F.col(self.getInputCol()))
-        return dataset.withColumn(self.getOutputCol(), array_to_vector(rff(arr)))
-
-
-# --------------------------------------------------------------------------
-# Text classifier pipeline (cleaning inside the pipeline: train/score cannot drift)
-# --------------------------------------------------------------------------
-
-class SublinearTermFrequency(Transformer, HasInputCol, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable):
-    """1 + ln(tf) for every term present. Vectors are no Arrow type, so this is a row function (numpy inside)."""
-
-    @keyword_only
-    def __init__(self, inputCol: str = "_counts", outputCol: str = "_tf"):
-        super().__init__()
-        self._setDefault(inputCol="_counts", outputCol="_tf")
-        self._set(**self._input_kwargs)
-
-    def _transform(self, dataset: DataFrame) -> DataFrame:
-        @F.udf(VectorUDT())
-        def sublinear(v):
-            return Vectors.sparse(v.size, v.indices, 1.0 + np.log(v.values)) if len(v.indices) else v
-        return dataset.withColumn(self.getOutputCol(), sublinear(F.col(self.getInputCol())))
-
-
-class SmoothedIdf(Transformer, HasInputCol, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable):
-    """tf * (idf + 1), from tf and tf * idf: a term in every document keeps its weight."""
-
-    tfCol = Param(Params._dummy(), "tfCol", "term frequencies", typeConverter=TypeConverters.toString)
-
-    @keyword_only
-    def __init__(self, inputCol: str = "_tfidf0", tfCol: str = "_tf", outputCol: str = "_tfidf"):
-        super().__init__()
-        self._setDefault(inputCol="_tfidf0", tfCol="_tf", outputCol="_tfidf")
-        self._set(**self._input_kwargs)
-
-    def _transform(self, dataset: DataFrame) -> DataFrame:
-        @F.udf(VectorUDT())
-        def add(a, b):
-            return Vectors.sparse(a.size, b.indices, a.toArray()[b.indices] + b.values) if len(a.indices) != len(b.indices) \
-                else Vectors.sparse(a.size, a.indices, a.values + b.values)
-        return dataset.withColumn(self.getOutputCol(), add(F.col(self.getInputCol()), F.col(self.getOrDefault(self.tfCol))))
-
-
-# CountVectorizer's largest vocabulary: no limit in practice.
-ALL_FEATURES = 2**31 - 1
-
-
-def _token_sql(text_col: str, n_max: int = 1) -> str:
-    """SQL form of the shared token pipeline (with word pairs for ``n_max=2``) for ``SQLTransformer``."""
-    from murmur.functions.text import HASHTAG_RE, MENTION_RE, NON_LATIN_RE, URL_RE, default_stopwords
-    stop = ", ".join(f"'{w}'" for w in default_stopwords())
-
-    def lit(p: str) -> str:
-        return "'" + p.replace("\\", "\\\\").replace("'", "\\'") + "'"
-    t = f"lower(coalesce({text_col}, ''))"
-    for pat, rep in ((URL_RE, " "), (MENTION_RE, " "), (HASHTAG_RE, "$1"), (NON_LATIN_RE, " ")):
-        t = f"regexp_replace({t}, {lit(pat)}, {lit(rep)})"
-    toks = f"filter(split({t}, {lit(WS_RE)}), w -> length(w) >= 2 AND NOT array_contains(array({stop}), w))"
-    if n_max == 1:
-        return toks
-    if n_max != 2:
-        raise ValueError("ngram_range up to (1, 2) is supported")
-    return (f"element_at(transform(array({toks}), t -> concat(t, zip_with(slice(t, 1, greatest(size(t) - 1, 0)), "
-            f"slice(t, 2, greatest(size(t) - 1, 0)), (a, b) -> concat(a, ' ', b)))), 1)")
-
-
-def text_feature_stages(text_col: str = "text", min_df: int = 2, max_features: int | None = None, n_max: int = 1) -> list:
-    """clean -> tokens (1..n_max grams) -> 1 + ln(tf) -> idf + 1 -> L2. ``max_features`` keeps the terms most frequent
-    in the corpus; None keeps all."""
-    return [SQLTransformer(statement=f"SELECT *, {_token_sql(text_col, n_max)} AS _tokens FROM __THIS__"),
-            CountVectorizer(inputCol="_tokens", outputCol="_counts", minDF=min_df, vocabSize=max_features or ALL_FEATURES),
-            SublinearTermFrequency(inputCol="_counts", outputCol="_tf"), IDF(inputCol="_tf", outputCol="_tfidf0"),
-            SmoothedIdf(inputCol="_tfidf0", tfCol="_tf", outputCol="_tfidf"),
-            Normalizer(inputCol="_tfidf", outputCol="features", p=2.0)]
-
-
-def regularisation(c: float, n: int) -> float:
-    """The regularisation of the mean loss over ``n`` rows that equals the penalty ``c`` on the summed loss."""
-    return 1.0 / (c * max(n, 1))
-
-
-def linear_svm(features_col: str = "features", label_col: str = "_y", weight_col: str | None = "weight", reg: float = 0.01,
-               max_iter: int = 100, tol: float = 1e-4) -> OneVsRest:
-    """One-vs-rest linear SVM with class weights."""
-    weight = {"weightCol": weight_col} if weight_col else {}
-    return OneVsRest(classifier=LinearSVC(regParam=reg, maxIter=max_iter, tol=tol, **weight), labelCol=label_col,
-                     featuresCol=features_col, predictionCol="_pred", parallelism=4, **weight)
-
-
-def text_svm_pipeline(text_col: str = "text", label_col: str = "label", weight_col: str | None = "weight",
-                      min_df: int = 2, max_features: int | None = None, n_max: int = 1, reg: float = 0.01,
-                      max_iter: int = 100) -> Pipeline:
-    """Text features -> one-vs-rest linear SVM -> label string."""
-    idx = StringIndexer(inputCol=label_col, outputCol="_y", stringOrderType="alphabetAsc", handleInvalid="keep")
-    return Pipeline(stages=[idx, *text_feature_stages(text_col, min_df, max_features, n_max),
-                            linear_svm("features", "_y", weight_col, reg, max_iter)])
-
-
-def cross_validated(rows: DataFrame, fold_col: str, feature_stages: dict[str, list], fits: dict[str, Callable[[int], OneVsRest]],
-                    label_col: str = "_y", threads: int = 4) -> list[tuple[str, str, float]]:
-    """(features, fit, mean macro-F1) over all folds for every pair of feature settings and fits.
-
-    Features are fitted once per setting and fold (on the fold's training rows) and kept while the fits read them;
-    ``fits`` make an estimator for a number of training rows.
-    """
-    folds = sorted(r[0] for r in rows.select(fold_col).distinct().collect())  # the fold numbers
-    evaluator = MacroF1Evaluator(labelCol=label_col, predictionCol="_pred")
-
-    def one(job: tuple[str, int]) -> list[tuple[str, str, float]]:
-        setting, fold = job
-        train, held = rows.filter(F.col(fold_col) != fold), rows.filter(F.col(fold_col) == fold)
-        model = Pipeline(stages=feature_stages[setting]).fit(train)
-        needed = [c for c in (label_col, "weight") if c in rows.columns]
-        last = feature_stages[setting][-1].getOutputCol()
-        a = model.transform(train).select(*needed, F.col(last).alias("features")).persist()
-        b = model.transform(held).select(*needed, F.col(last).alias("features")).persist()
-        n = a.count()
-        out = [(setting, name, evaluator.evaluate(make(n).fit(a).transform(b))) for name, make in fits.items()]
-        a.unpersist()
-        b.unpersist()
-        return out
-
-    with ThreadPoolExecutor(threads) as pool:
-        scores = [x for part in pool.map(one, [(s, f) for s in feature_stages for f in folds]) for x in part]
-    return [(s, name, sum(v for a, b, v in scores if (a, b) == (s, name)) / len(folds)) for s in feature_stages for name in fits]
-
-
-def decode_predictions(model, df: DataFrame, out_col: str = "predicted_label") -> DataFrame:
-    """Map numeric predictions back to label strings with the fitted indexer's labels."""
-    labels = next(s for s in model.stages if hasattr(s, "labelsArray")).labelsArray[0]
-    conv = IndexToString(inputCol="_pred", outputCol=out_col, labels=list(labels))
-    return conv.transform(df)
-
-
-def dense_feature_stages(vec_col: str = "features", kernel: str = "rbf", num_features: int = 1024, gamma: float | str = "scale",
-                         input_dim: int = 64) -> list:
-    """standardise -> (random Fourier features). After standardising, gamma ``scale`` is 1 / width."""
-    stages: list = [StandardScaler(inputCol=vec_col, outputCol="_std", withMean=True, withStd=True)]
-    if kernel == "rbf":
-        g = 1.0 / input_dim if gamma == "scale" else float(gamma)
-        stages.append(RandomFourierFeatures(inputCol="_std", outputCol="_rff", numFeatures=num_features, gamma=g,
-                                            inputDim=input_dim))
-    elif kernel != "linear":
-        raise ValueError("kernel is rbf or linear")
-    return stages
-
-
-def dense_svm_pipeline(vec_col: str = "features", label_col: str = "label", weight_col: str | None = "weight",
-                       kernel: str = "rbf", num_features: int = 1024, gamma: float | str = "scale", reg: float = 0.01,
-                       max_iter: int = 100, input_dim: int = 64) -> Pipeline:
-    """standardise -> (random Fourier features) -> one-vs-rest linear SVM."""
-    stages = dense_feature_stages(vec_col, kernel, num_features, gamma, input_dim)
-    return Pipeline(stages=[*stages, linear_svm(stages[-1].getOutputCol(), label_col, weight_col, reg, max_iter)])
-
-
 # --------------------------------------------------------------------------
 # Topics
 # --------------------------------------------------------------------------
@@ -495,15 +256,16 @@ class ScorerRegistry:
         return scorer(df)
 
 
-def saved_pipeline_loader(spark, path: str, out_col: str = "predicted_label"):
-    """Loader for a saved text pipeline; None if nothing is saved at ``path``."""
+def saved_classifier_loader(spark, path: str, id_col: str = "doc_id", text_col: str = "text", out_col: str = "predicted_label"):
+    """Loader for a saved text classifier; None if nothing is saved at ``path``."""
+    from murmur.operators.svm import TextClassifier
     from murmur.sources.files import _fs_exists
 
     def load():
         if not _fs_exists(spark, path):
             return None
-        model = PipelineModel.load(path)
-        return lambda df: decode_predictions(model, model.transform(df), out_col)
+        model = TextClassifier.load(spark, path)
+        return lambda df: df.join(model.predict(df, id_col, text_col, out_col), id_col)
     return load
 
 

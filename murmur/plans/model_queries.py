@@ -9,15 +9,16 @@ table (word vectors are kept in the shared folder).
 
 from __future__ import annotations
 
-from pyspark.ml import PipelineModel
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from murmur.functions import presets
 from murmur.functions import text as tx
 from murmur.operators import evaluate as ev
+from murmur.operators import kernel_svm as ks
 from murmur.operators import models as md
 from murmur.operators import sampling as sm
+from murmur.operators import svm
 from murmur.operators import topics as tp
 from murmur.plans.feature_queries import doc_tokens
 from murmur.plans.registry import query
@@ -41,10 +42,13 @@ def _fitted(spark, base, name: str, fit):
 
 
 def _labelled(spark, base):
-    """Split documents with ``label`` and balanced class weights from train only."""
-    s = doc_split(spark, base, "text").withColumnRenamed("lang", "label")
-    w = ev.class_weights(s.filter(F.col("split") == "train"), "label").select("label", "weight")
-    return s.join(F.broadcast(w), "label", "left")
+    """Split documents with ``label``."""
+    return doc_split(spark, base, "text").withColumnRenamed("lang", "label")
+
+
+def _dev(rows):
+    """What models learn from; the test rows are held out."""
+    return rows.filter(F.col("split").isin("train", "val"))
 
 
 def _w2v(spark, base):
@@ -125,97 +129,91 @@ def embedding_coverage(spark, base):
     return c.select("n_vocab", "n_found", F.round("coverage", 9).alias("coverage"))
 
 
-def _text_model(spark, base, c: float = SVM_C):
-    data = _labelled(spark, base)
-
+def _text_model(spark, base):
+    """The linear text classifier of the train + val rows; fitted once per application and table, then loaded."""
     def fit():
-        # Cached only while the iterative fit reads it; later transforms use lineage.
-        train = data.filter(F.col("split") == "train").persist()
-        model = md.text_svm_pipeline("text", "label", "weight", reg=md.regularisation(c, train.count())).fit(train)
-        train.unpersist()
-        return model
-    return data, _fitted(spark, base, f"text {c}", fit)
+        path = scratch_dir(spark, "text-classifier")
+        svm.fit_text_classifier(_dev(_labelled(spark, base)), "doc_id", "text", "label", SVM_C).save(path)
+        return path
+    return svm.TextClassifier.load(spark, _fitted(spark, base, "text", fit))
+
+
+def _predictions(model, rows):
+    return rows.select("doc_id", F.col("label").alias("true_label")).join(model.predict(rows, "doc_id", "text"), "doc_id")
+
+
+def _test(spark, base):
+    return _labelled(spark, base).filter(F.col("split") == "test")
 
 
 @query("svm_text_classify")
 def svm_text_classify(spark, base):
-    data, model = _text_model(spark, base)
-    out = md.decode_predictions(model, model.transform(data.filter(F.col("split") == "test")))
-    return out.select("doc_id", F.col("label").alias("true_label"), "predicted_label")
+    return _predictions(_text_model(spark, base), _test(spark, base))
 
 
 @query("score_corpus")
 def score_corpus(spark, base):
-    data, model = _text_model(spark, base)
-    docs = read_table(spark, base, "documents").select("doc_id", "text", F.col("lang").alias("label"))
-    out = md.decode_predictions(model, model.transform(docs))
-    return out.select("doc_id", "predicted_label")
+    docs = read_table(spark, base, "documents").select("doc_id", "text")
+    return _text_model(spark, base).predict(docs, "doc_id", "text")
 
 
 @query("model_roundtrip")
 def model_roundtrip(spark, base):
-    data, model = _text_model(spark, base)
+    model = _text_model(spark, base)
     path = scratch_dir(spark, "model")
-    model.write().overwrite().save(path)
-    loaded = PipelineModel.load(path)
-    test = data.filter(F.col("split") == "test")
-    a = md.decode_predictions(model, model.transform(test)).select("doc_id", F.col("predicted_label").alias("a"))
-    b = md.decode_predictions(loaded, loaded.transform(test)).select("doc_id", F.col("predicted_label").alias("b"))
-    j = a.join(b, "doc_id")
-    return j.select("doc_id", F.col("a").alias("predicted_label"), (F.col("a") == F.col("b")).alias("same"))
+    model.save(path)
+    loaded = svm.TextClassifier.load(spark, path)
+    test = _test(spark, base)
+    a = model.predict(test, "doc_id", "text")
+    b = loaded.predict(test, "doc_id", "text", "again")
+    return a.join(b, "doc_id").select("doc_id", "predicted_label", (F.col("predicted_label") == F.col("again")).alias("same"))
 
 
-def _dense_classify(spark, base, kernel: str):
+def _dense_classify(spark, base, kernel: ks.Kernel):
     e = read_table(spark, base, "embeddings").select("vec_id", "label", "embedding")
     e = sm.stratified_split(e, "vec_id", "label")
-    w = ev.class_weights(e.filter(F.col("split") == "train"), "label").select("label", "weight")
-    e = e.join(F.broadcast(w), "label", "left").withColumns({
-        "features": array_to_vector("embedding"), "y": F.col("label").cast("double")})
-    train = e.filter(F.col("split") == "train").persist()
-    n, width = train.count(), train.select(F.max(F.size("embedding"))).first()[0]
-    model = md.dense_svm_pipeline("features", "y", "weight", kernel=kernel, input_dim=width,
-                                  reg=md.regularisation(SVM_C, n)).fit(train)
-    train.unpersist()
-    out = model.transform(e.filter(F.col("split") == "test"))
-    return out.select("vec_id", F.col("label").alias("true_label"),
-                      F.col("_pred").cast("int").alias("predicted_label"))
+    own, labels, folds = ks.labelled(_dev(e), "vec_id", "embedding", "label")
+    model = ks.fit(own, labels, folds, [kernel], [SVM_C])
+    test = e.filter(F.col("split") == "test")
+    found = ks.predict(model, test, "vec_id", "embedding")
+    return test.select("vec_id", F.col("label").alias("true_label")).join(
+        found.select("vec_id", F.col("predicted_label").cast("int").alias("predicted_label")), "vec_id")
 
 
 @query("svm_dense_classify")
 def svm_dense_classify(spark, base):
-    return _dense_classify(spark, base, "rbf")
+    return _dense_classify(spark, base, ks.Kernel("rbf", "scale"))
+
+
+@query("svm_dense_rbf_fixed")
+def svm_dense_rbf_fixed(spark, base):
+    return _dense_classify(spark, base, ks.Kernel("rbf", 0.01))
 
 
 @query("svm_dense_linear")
 def svm_dense_linear(spark, base):
-    return _dense_classify(spark, base, "linear")
+    return _dense_classify(spark, base, ks.Kernel("linear"))
 
 
 def _document_vectors(spark, base):
-    """Labelled split documents with the mean word vector of their tokens as ``vec``."""
-    data = _labelled(spark, base)
-    vec = md.mean_vectors(data.select("doc_id", tx.tokens("text").alias("tokens")), "doc_id", "tokens",
-                          _w2v(spark, base), presets.W2V_DIM)
-    return data.drop("text").join(vec.select("doc_id", array_to_vector("doc_vector").alias("vec")), "doc_id")
-
-
-def _indexed(rows):
-    from pyspark.ml.feature import StringIndexer
-    return StringIndexer(inputCol="label", outputCol="_y", stringOrderType="alphabetAsc", handleInvalid="keep").fit(rows)
-
-
-def _w2v_predictions(spark, base, kernel: str = "rbf", c: float = SVM_C):
+    """Labelled split documents with the mean word vector of their tokens as ``vec``; stored once."""
+    def make():
+        data = _labelled(spark, base)
+        vec = md.mean_vectors(data.select("doc_id", tx.tokens("text").alias("tokens")), "doc_id", "tokens",
+                              _w2v(spark, base), presets.W2V_DIM)
+        path = scratch_dir(spark, "document-vectors")
+        data.drop("text").join(vec.select("doc_id", F.col("doc_vector").alias("vec")), "doc_id").write.parquet(path)
+        return path
+    return spark.read.parquet(_fitted(spark, base, "document vectors", make))
+
+
+def _w2v_predictions(spark, base, kernel: ks.Kernel = ks.Kernel("rbf", "scale")):
     """tokens -> word vectors -> in-vocabulary mean -> scaler -> SVM: predictions of the test rows."""
-    from pyspark.ml.feature import IndexToString
     rows = _document_vectors(spark, base)
-    index = _indexed(rows)
-    train = index.transform(rows.filter(F.col("split") == "train")).persist()
-    model = md.dense_svm_pipeline("vec", "_y", "weight", kernel=kernel, input_dim=presets.W2V_DIM,
-                                  reg=md.regularisation(c, train.count())).fit(train)
-    train.unpersist()
-    out = model.transform(rows.filter(F.col("split") == "test"))
-    out = IndexToString(inputCol="_pred", outputCol="predicted_label", labels=list(index.labels)).transform(out)
-    return out.select("doc_id", F.col("label").alias("true_label"), "predicted_label")
+    own, labels, folds = ks.labelled(_dev(rows), "doc_id", "vec", "label")
+    model = ks.fit(own, labels, folds, [kernel], [SVM_C])
+    test = rows.filter(F.col("split") == "test")
+    return test.select("doc_id", F.col("label").alias("true_label")).join(ks.predict(model, test, "doc_id", "vec"), "doc_id")
 
 
 @query("w2v_svm_classify")
@@ -226,48 +224,51 @@ def w2v_svm_classify(spark, base):
 @query("compare_fitted_models")
 def compare_fitted_models(spark, base):
     """The two fitted classifiers side by side, best macro-F1 first."""
-    data, model = _text_model(spark, base)
-    text = md.decode_predictions(model, model.transform(data.filter(F.col("split") == "test"))).select(
-        "doc_id", F.col("label").alias("true_label"), "predicted_label")
-    return ev.compare_predictions({"TF-IDF + SVM": text, "Word2Vec + SVM": _w2v_predictions(spark, base),
+    return ev.compare_predictions({"TF-IDF + SVM": svm_text_classify(spark, base), "Word2Vec + SVM": _w2v_predictions(spark, base),
                                    "CNN-LSTM + SVM": None, "DistilBERT": None}, DOC_LABELS)
 
 
 def _folds(rows):
-    dev = rows.filter(F.col("split").isin("train", "val"))
-    return _indexed(rows).transform(sm.stratified_folds(dev, "doc_id", "label", k=presets.FOLDS))
+    return sm.stratified_folds(_dev(rows), "doc_id", "label", k=presets.FOLDS)
 
 
-def _best_first(spark, scores, columns: str):
-    top = max(s[-1] for s in scores)
-    first = next(i for i, s in enumerate(scores) if s[-1] == top)
-    rows = [(*s, i == first) for i, s in enumerate(scores)]
+def _scored(spark, points: list[tuple], best: int, columns: str):
+    rows = [(*p, i == best) for i, p in enumerate(points)]
     return spark.createDataFrame(rows, columns + ", avg_macro_f1 double, best boolean")
 
 
+def _text_search(spark, base):
+    """((points, place of the best), path of the best point's classifier of all train + val rows)."""
+    def search():
+        g = presets.TEXT_GRID
+        points, best, model = svm.search_text_classifier(_folds(_labelled(spark, base)), "doc_id", "text", "label", "fold",
+                                                         g["n_max"], g["max_features"], g["c"])
+        path = scratch_dir(spark, "best-classifier")
+        model.save(path)
+        return [tuple(p) for p in points], points.index(best), path
+    return _fitted(spark, base, "text search", search)
+
+
 @query("grid_search_cv")
 def grid_search_cv(spark, base):
-    """All grid points of the text classifier over all folds; ``best`` marks the one to refit."""
-    rows = _folds(_labelled(spark, base)).persist()
-    g = presets.TEXT_GRID
-    settings = {f"{n}/{m}": (n, m) for n in g["n_max"] for m in g["max_features"]}
-    stages = {k: md.text_feature_stages("text", 2, m, n) for k, (n, m) in settings.items()}
-    fits = {str(c): (lambda n, c=c: md.linear_svm(reg=md.regularisation(c, n), max_iter=presets.SEARCH_ITERATIONS)) for c in g["c"]}
-    scores = md.cross_validated(rows, "fold", stages, fits)
-    rows.unpersist()
-    return _best_first(spark, [(*settings[k], float(c), v) for k, c, v in scores], "ngram_max int, max_features int, c double")
-
-
-# Not registered: it has not been run to the end yet.
+    """All grid points of the text classifier over all folds; ``best`` marks the one that is refitted."""
+    points, best, _ = _text_search(spark, base)
+    return _scored(spark, points, best, "ngram_max int, max_features int, c double")
+
+
+@query("grid_search_refit")
+def grid_search_refit(spark, base):
+    """Predictions of the test rows by the best grid point's classifier of all train + val rows."""
+    return _predictions(svm.TextClassifier.load(spark, _text_search(spark, base)[2]), _test(spark, base))
+
+
+@query("w2v_grid_search_cv")
 def w2v_grid_search_cv(spark, base):
     """All grid points of the word-vector classifier over all folds."""
-    rows = _folds(_document_vectors(spark, base)).persist()
-    settings = {f"{k}/{g}": (k, None if g is None else str(g)) for k, g in presets.DENSE_GRID}
-    stages = {f"{k}/{g}": md.dense_feature_stages("vec", k, gamma=g or "scale", input_dim=presets.W2V_DIM) for k, g in presets.DENSE_GRID}
-    fits = {str(c): (lambda n, c=c: md.linear_svm(reg=md.regularisation(c, n), max_iter=presets.SEARCH_ITERATIONS)) for c in presets.DENSE_C}
-    scores = md.cross_validated(rows, "fold", stages, fits)
-    rows.unpersist()
-    return _best_first(spark, [(*settings[k], float(c), v) for k, c, v in scores], "kernel string, gamma string, c double")
+    kernels = [ks.Kernel(k, g) for k, g in presets.DENSE_GRID]
+    points, best = ks.search(_folds(_document_vectors(spark, base)), "doc_id", "vec", "label", "fold", kernels, presets.DENSE_C)
+    rows = [(p.kernel.name, None if p.kernel.gamma is None else str(p.kernel.gamma), p.cost, p.macro_f1) for p in points]
+    return _scored(spark, rows, points.index(best), "kernel string, gamma string, c double")
 
 
 # --------------------------------------------------------------------------

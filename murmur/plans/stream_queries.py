@@ -35,13 +35,11 @@ def stream_weekly_volume(spark, base):
 
 @query("stream_score")
 def stream_score(spark, base):
-    from murmur.operators import models as md
     from murmur.plans.model_queries import _text_model
-    _, model = _text_model(spark, base)
+    model = _text_model(spark, base)
 
     def score(batch):
-        b = batch.select("doc_id", "text", F.col("lang").alias("label"))
-        return md.decode_predictions(model, model.transform(b)).select("doc_id", "predicted_label")
+        return model.predict(batch.select("doc_id", "text"), "doc_id", "text")
 
     out, ckpt = scratch_dir(spark, "stream-score"), scratch_dir(spark, "ckpt")
     jobs.stream_score(_stream(spark, base, "documents"), score, out, ckpt)

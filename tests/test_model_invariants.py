@@ -39,28 +39,6 @@ def test_doc_vectors_width(spark):
     assert df.select(F.size("doc_vector")).distinct().first()[0] == 300
 
 
-def test_text_features_equal_the_stated_formula(spark):
-    """1 + ln(tf), idf + 1, unit length, against a plain computation over all grams."""
-    from collections import Counter
-
-    from pyspark.ml import Pipeline
-
-    from murmur.operators import models as md
-    texts = ["alpha beta beta gamma", "alpha gamma gamma gamma delta", "beta alpha delta delta", "the alpha"]
-    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, text string")
-    model = Pipeline(stages=md.text_feature_stages("text", min_df=2, max_features=None, n_max=2)).fit(df)
-    vocab = model.stages[1].vocabulary
-    toks = [[w for w in t.split() if w != "the"] for t in texts]
-    grams = [Counter(ws + [f"{a} {b}" for a, b in zip(ws, ws[1:])]) for ws in toks]
-    n = Counter(g for c in grams for g in c)
-    assert set(vocab) == {g for g, k in n.items() if k >= 2}
-    for r in model.transform(df).collect():
-        w = {g: (1 + math.log(c)) * (math.log((1 + len(texts)) / (1 + n[g])) + 1) for g, c in grams[r.id].items() if n[g] >= 2}
-        norm = math.sqrt(sum(x * x for x in w.values())) or 1.0
-        got = {vocab[i]: v for i, v in zip(r.features.indices.tolist(), r.features.values.tolist())}
-        assert set(got) == set(w) and all(abs(got[g] - w[g] / norm) < 1e-12 for g in w)
-
-
 def test_mean_vectors_broadcast_equals_join(spark, monkeypatch):
     from pyspark.ml.linalg import Vectors
 
