@@ -18,6 +18,7 @@ from murmur.operators import evaluate as ev
 from murmur.operators import kernel_svm as ks
 from murmur.operators import models as md
 from murmur.operators import sampling as sm
+from murmur.operators import skipgram as sg
 from murmur.operators import svm
 from murmur.operators import topics as tp
 from murmur.plans.feature_queries import doc_tokens
@@ -72,6 +73,13 @@ def word2vec_vectors(spark, base):
     return v.select("word", vector_to_array("vector").alias("vector"))
 
 
+@query("word2vec_negative")
+def word2vec_negative(spark, base):
+    """Skip-gram vectors with negative sampling of the train + val rows."""
+    dev = _dev(doc_split(spark, base, "text")).select("doc_id", tx.tokens("text").alias("tokens"))
+    return sg.word2vec_negative(dev, "doc_id", "tokens")
+
+
 @query("doc_vectors")
 def doc_vectors(spark, base):
     return md.mean_vectors(doc_tokens(spark, base), "doc_id", "tokens", _w2v(spark, base), presets.W2V_DIM)

@@ -23,6 +23,8 @@ BASE_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Spark runs a Python worker per core: numpy's own threads would only contend.
+    "spark.executorEnv.OMP_NUM_THREADS": "1",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
 }
