@@ -50,6 +50,48 @@ def test_main_text_is_linear_in_long_pages():
     assert html_text.main_text("<div>" * 20_000 + "deep") == "deep"
 
 
+@pytest.mark.parametrize("page", [
+    "<a " * 200_000, "<span>" * 50_000 + "</p>" * 50_000, "<span>" * 50_000 + "<div></div>" * 50_000, "<![CDATA[" * 100_000,
+    "<b><div>" + "<span>" * 50_000 + "</b>" * 50_000, '<a "' * 100_000 + ">", "<b>" * 30_000 + "<li>" * 30_000, "<!--" * 100_000,
+    "<script><" * 50_000, "<p>" * 100_000, "<td " * 100_000 + ">"])
+def test_time_is_linear(page):
+    """Each of these took minutes when open tags or elements were searched again from every tag."""
+    import time
+    t = time.process_time()
+    html_text.main_text(page)
+    assert time.process_time() - t < 10
+
+
+WORDS = "some words of text " * 8
+
+
+@pytest.mark.parametrize("tag,stays", [
+    ('section id="discussion"', True), ('section class="search-results"', True), ('p class="alert-level"', True),
+    ('div class="social-history"', True), ('div class="comment-list"', False), ('div class="advert box"', False),
+    ('aside', False), ('div role="complementary"', False)])
+def test_names_inside_an_article(tag, stays):
+    page = f"<article><p>{WORDS}</p><{tag}>inner {WORDS}</{tag.split()[0]}><p>short end</p></article>"
+    got = html_text.main_text(page).split("\n")
+    assert got[0] == WORDS.strip() and got[-1] == "short end" and len(got) == 2 + stays
+
+
+def test_vague_names_are_judged_by_the_distribution():
+    links = "".join(f"<p><a href=x>{WORDS}</a></p>" for _ in range(3))
+    for inner in ("<p>Share</p><p>Print</p>", links):
+        assert html_text.main_text(f'<article><p>{WORDS}</p><div class="social-media">{inner}</div></article>') == WORDS.strip()
+
+
+def test_the_distribution_chooses_the_container():
+    menu = "<ul>" + "<li><a href=x>somewhere else</a></li>" * 20 + "</ul>"
+    page = f"<article>teaser</article>{menu}<div><p>{WORDS}</p><p>{WORDS}</p></div>"
+    assert html_text.main_text(page) == "\n".join([WORDS.strip()] * 2)
+    page = f"<div>Home</div>{menu}<main><p>{WORDS}</p><div class=ad>buy</div><p>end</p></main>{menu}<p>imprint</p>"
+    assert html_text.main_text(page) == f"{WORDS.strip()}\nend"
+    assert html_text.main_text("<main><p>tiny</p></main>") == "tiny"
+    assert html_text.main_text("<script>'<a \"'</script><p>after</p>") == "after"
+    assert html_text.main_text("a > b < c <!-- open") == "a > b < c"
+
+
 def test_extraction_over_a_table(spark):
     rows = [(1, "u", None, "n"), (2, None, "<article>a</article>", None), (2, None, "<article>a</article>", None)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
