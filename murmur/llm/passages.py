@@ -16,17 +16,21 @@ shuffle, so a passage that a third of all documents share sends one row a
 block. Texts of equal word sequence are one node.
 
 Groups whose members did not all verify into one component, each within a
-verified passage, go on: without documents that share no run of 22 words (an
-edit costs the two sides at least 9 shingles, so a passage has at most one to
-36 equal ones and a run of 18 shingles) and without windows that no passage
-can cover (it needs 0.8 of its shingles in another document of these groups),
-ever more of a group's members, 16, 256 and so on, are verified against the others
-until all have been or the group is done.
+verified passage, go on, without documents that share no run of 22 words. Their
+members are sorted by the text right of the centre and again by the text left of
+it, by hashes of successive ``CHUNK`` shingles, and neighbours are verified: the
+documents that agree furthest to that side. Members that agree on so many
+shingles to one side (``LEVELS``) are sorted by the other side once more. So a
+document whose passage reaches past a sentence that many others have meets the
+documents that reach as far, and a group costs as many comparisons as it has
+members, times a fixed number. Where the agreement of two members ends inside a
+chunk, others that agree up to its beginning can lie between them; they are then
+found by another hash function's centre or level, or not.
 
 Two documents are candidates where windows of at least ``ENOUGH`` different
 hash functions meet in a common passage: the windows' rectangles of starts and
-ends must intersect in both documents (an interval join); in groups that go on
-one window is enough. Candidates are
+ends must intersect in both documents (an interval join); for neighbours in
+groups that go on one window is enough. Candidates are
 verified shingle by shingle: matched runs along the windows' diagonals are
 chained, and a chain of at least 50 words whose matched shingles are 0.8 of
 all shingles of both sides is a passage. A passage of equal words longer than
@@ -52,7 +56,9 @@ from murmur.llm.minhash import components
 LEAST_WORDS = 50
 LEAST = LEAST_WORDS - SHINGLE_WORDS + 1
 HASHES = 6
-FACTOR = 16
+CHUNK = 6  # shingles
+CHAIN = 8  # chunks to either side: 48 shingles, more than a passage of 50 words has
+LEVELS = ((0, 4), (2, 6))  # chunks of agreement on the other side, round by round
 ENOUGH = 2
 CONTEXT = 3
 GAP = 25
@@ -313,19 +319,6 @@ def _shingle_table(docs: DataFrame, wanted: DataFrame, key_col: str, text_col: s
     return _node_texts(docs, wanted, key_col, text_col).mapInPandas(run, "node long, grams binary").dropDuplicates(["node"])
 
 
-def _placed_shingles(docs: DataFrame, wanted: DataFrame, key_col: str, text_col: str) -> DataFrame:
-    """(node, gram, at): every shingle of the wanted nodes, whole."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            texts, node = batch["text"].tolist(), batch["node"].to_numpy(np.int64)
-            for x, y in blocks(texts):
-                grams, offsets = shingles(Words(texts[x:y]))
-                sizes = np.diff(offsets)
-                yield pd.DataFrame({"node": np.repeat(node[x:y], sizes), "gram": signed(grams),
-                                    "at": (np.arange(len(grams)) - np.repeat(offsets[:-1], sizes)).astype(np.int32)})
-    return _node_texts(docs, wanted, key_col, text_col).mapInPandas(run, "node long, gram long, at int")
-
-
 _PASSAGE = "array<struct<a_first: int, a_end: int, b_first: int, b_end: int, similarity: double>>"
 
 
@@ -347,33 +340,65 @@ def _passages(windows: Column, x: Column, y: Column, enough: int = ENOUGH) -> Co
     return run(windows, x, y)
 
 
-def within_reach(shared: np.ndarray, centres: np.ndarray, least: int = LEAST, similarity: float = SIMILARITY) -> np.ndarray:
-    """Whether a span of at least ``least`` shingles round each centre has ``similarity`` of them at the ``shared`` places."""
-    n = int(max(shared.max(initial=0), centres.max(initial=0))) + least + 1
-    step = np.full(n, -similarity)
-    step[shared] += 1
-    sums = np.concatenate(([0.0], np.cumsum(step)))
-    ahead = np.maximum.accumulate(sums[::-1])[::-1]  # the largest sum from here on
-    before = np.minimum.accumulate(sums)
-    starts = np.maximum(centres[:, None] - np.arange(least)[None, :], 0)
-    near = (ahead[starts + least] - sums[starts]).max(axis=1, initial=-np.inf)
-    far = np.where(centres >= least, ahead[centres + 1] - before[np.maximum(centres - least, 0)], -np.inf)
-    return np.maximum(near, far) >= -1e-6
+def context_chains(grams: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(right, left): hashes of the successive chunks of shingles after and before each centre, 0 past the text."""
+    place = np.arange(1, CHAIN + 1) * CHUNK
+    padded = np.concatenate((np.zeros(CHUNK * CHAIN, np.uint64), grams.astype(np.uint64) + 1, np.zeros(CHUNK * (CHAIN + 1), np.uint64)))
+    inside = np.concatenate((np.zeros(CHUNK * CHAIN, bool), np.ones(len(grams), bool), np.zeros(CHUNK * (CHAIN + 1), bool)))
+    n = len(padded) - CHUNK + 1
+    chunk, whole = np.zeros(n, np.uint64), np.ones(n, bool)
+    for j in range(CHUNK):
+        chunk = mix(chunk * _U(0x9E3779B97F4A7C15) + padded[j:n + j])
+        whole &= inside[j:n + j]
+    chunk = np.where(whole, (chunk >> _U(32)) | _U(1), _U(0)).astype(np.uint32)
+    at = centres + CHUNK * CHAIN
+    return chunk[at[:, None] + 1 + place[None, :] - CHUNK], chunk[at[:, None] - place[None, :]]
 
 
-def _hopeful(members: DataFrame, docs: DataFrame, nodes: DataFrame, key_col: str, text_col: str) -> DataFrame:
-    """The members (root, node, place) that a passage with another node of the members can cover."""
-    @F.pandas_udf("array<boolean>")
-    def reach(at: pd.Series, places: pd.Series) -> pd.Series:
-        return pd.Series([within_reach(np.asarray(a, np.int64), np.asarray(p, np.int64) >> 36) for a, p in zip(at, places, strict=True)], dtype=object)
+_PLACED = "key long, chain binary, root long, node long, place long, label long, covered boolean"
 
-    wanted = nodes.join(members.select("node").distinct(), "node", "left_semi")
-    placed = stored(_placed_shingles(docs, wanted, key_col, text_col), "placed")
-    common = placed.groupBy("gram").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high").select("gram")
-    shared = placed.join(common, "gram").groupBy("node").agg(F.collect_set("at").alias("at"))
-    own = members.groupBy("node").agg(F.collect_list(F.struct("root", "place")).alias("own")).join(shared, "node")
-    each = own.withColumn("good", reach("at", "own.place")).select("node", F.explode(F.arrays_zip("own", "good")).alias("m"))
-    return each.filter("m.good").select("m.own.root", "node", "m.own.place")
+
+def _in_context(members: DataFrame, grams: DataFrame, levels: tuple[int, ...]) -> DataFrame:
+    """Each member once for either side as its order, and for each level (in chunks) once more among the members that
+    agree on so much of the other side; level 0 asks for nothing."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for row in batch.itertuples():
+                own = {c: np.array([m[c] for m in row.own], dtype=np.int64) for c in ("root", "place")}
+                covered = np.array([m["covered"] for m in row.own], dtype=bool)
+                chains = context_chains(np.frombuffer(row.grams, np.uint16), own["place"] >> 36)
+                for side in (0, 1):
+                    order, other = chains[side].astype(">u4"), chains[1 - side]
+                    for level in levels:
+                        on = np.flatnonzero(other[:, level - 1] > 0) if level else np.arange(len(order))
+                        key = own["root"][on].view(_U) * _U(4) + _U(2 * (level > 0) + side)
+                        for k in range(level):
+                            key = mix(key * _U(0x9E3779B97F4A7C15) + other[on, k])
+                        yield pd.DataFrame({"key": signed(mix(key)), "chain": [x.tobytes() for x in order[on]], "root": own["root"][on],
+                                            "node": row.node, "place": own["place"][on], "label": row.label, "covered": covered[on]})
+    own = members.groupBy("node").agg(F.min("label").alias("label"), F.collect_list(F.struct("root", "place", "covered")).alias("own"))
+    return own.join(grams, "node").mapInPandas(run, _PLACED)
+
+
+def _neighbours(placed: DataFrame) -> DataFrame:
+    """(a, b, w): neighbours in the order of a key's chains, but those that one component's passages cover already.
+    Reads the sorted rows as a stream and keeps one of it."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last = None
+        for batch in batches:
+            rows = batch if last is None else pd.concat([last, batch], ignore_index=True)
+            if len(rows):
+                last = rows.iloc[-1:]
+                key, node, place, label, covered, root = (rows[c].to_numpy() for c in ("key", "node", "place", "label", "covered", "root"))
+                at = np.flatnonzero((key[1:] == key[:-1]) & (node[1:] != node[:-1])
+                                    & ~((label[1:] == label[:-1]) & covered[1:].astype(bool) & covered[:-1].astype(bool)))
+                swap = node[at] > node[at + 1]
+                a, b = np.where(swap, at + 1, at), np.where(swap, at, at + 1)
+                yield pd.DataFrame({"a": node[a], "b": node[b], "f": (root[at] & 7).astype(np.int32), "at_a": place[a], "at_b": place[b]})
+    n = int(placed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pairs = (placed.repartition(n, "key").sortWithinPartitions("key", "chain", "node", "place")
+             .mapInPandas(run, "a long, b long, f int, at_a long, at_b long"))
+    return pairs.groupBy("a", "b").agg(F.collect_set(F.struct("f", "at_a", "at_b")).alias("windows"))
 
 
 def run_nodes(docs: DataFrame, key_col: str, text_col: str) -> DataFrame:
@@ -435,43 +460,21 @@ def _verified(pairs: DataFrame, grams: DataFrame, enough: int) -> DataFrame:
     return stored(found.select("a", "b", "p.*"), "passages")
 
 
-def _gone_on(found: DataFrame, matches: DataFrame, docs: DataFrame, nodes: DataFrame, key_col: str, text_col: str) -> DataFrame:
-    """``found`` with the passages of further members of the groups that are not settled by it."""
+def _gone_on(found: DataFrame, matches: DataFrame, alike: DataFrame, docs: DataFrame, nodes: DataFrame, key_col: str,
+             text_col: str) -> DataFrame:
+    """``found`` with the passages of neighbours in the groups that are not settled by it."""
     sides = [matches.select("root", F.col(x).alias("node"), F.col(f"at_{x}").alias("place")) for x in "ab"]
-    alike = stored(run_nodes(docs, key_col, text_col), "alike")
     members = stored(sides[0].unionByName(sides[1]).join(alike, "node", "left_semi").distinct(), "members")
-    members = stored(_unsettled(members, found).select("root", "node", "place"), "open")
-    if not members.limit(1).count():
-        return found
-    members = stored(_hopeful(members, docs, nodes, key_col, text_col), "hopeful")
-    still = stored(_unsettled(members, found), "still")
-    most = still.agg(F.max("n")).first()[0]
-    if not most:
-        return found
-    members = stored(still.select("root", "node", "place", "n"), "members")
-    grams = stored(_shingle_table(docs, nodes.join(members.select("node").distinct(), "node", "left_semi"), key_col, text_col), "grams")
-    served, upto = 0, FACTOR
-    while True:
-        # A member's place among a group's n, from 0 to n, by its node's hash.
-        sized = still.drop("n").join(members, ["root", "node", "place"])
-        turn = (F.col("node") / F.lit(2.0 ** 64) + F.lit(0.5)) * F.col("n")
-        reps = sized.filter((turn >= served) & ((turn < upto) | F.lit(upto >= most))).select(
-            "root", *[F.col(c).alias(f"r_{c}") for c in ("node", "place", "label", "covered")])
-        settled = (F.col("r_label") == F.col("label")) & F.col("r_covered") & F.col("covered")
-        low = F.col("r_node") < F.col("node")
-        pairs = (reps.join(sized, "root").filter((F.col("r_node") != F.col("node")) & ~settled)
-                 .select(F.least("r_node", "node").alias("a"), F.greatest("r_node", "node").alias("b"),
-                         F.struct(F.col("root").bitwiseAND(7).cast("int").alias("f"),
-                                  F.when(low, F.col("r_place")).otherwise(F.col("place")).alias("at_a"),
-                                  F.when(low, F.col("place")).otherwise(F.col("r_place")).alias("at_b")).alias("w"))
-                 .groupBy("a", "b").agg(F.collect_set("w").alias("windows")))
+    grams = None
+    for levels in LEVELS:
+        members = stored(_unsettled(members.select("root", "node", "place"), found).drop("n"), "open")
+        if not members.limit(1).count():
+            break
+        if grams is None:
+            grams = stored(_shingle_table(docs, nodes.join(members.select("node").distinct(), "node", "left_semi"), key_col, text_col), "grams")
+        pairs = stored(_neighbours(_in_context(members, grams, levels)), "pairs")
         found = stored(found.unionByName(_verified(pairs, grams, 1)).distinct(), "passages")
-        if upto >= most:
-            return found
-        served, upto = upto, upto * FACTOR
-        still = stored(_unsettled(members.drop("n"), found), "still")
-        if not still.limit(1).count():
-            return found
+    return found
 
 
 def passage_links(docs: DataFrame, key_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -480,6 +483,7 @@ def passage_links(docs: DataFrame, key_col: str = "doc_id", text_col: str = "tex
     nodes = stored(rows.groupBy("node").agg(F.min(F.struct("doc_id", "raw")).alias("first"), F.min("doc_id").alias("least"),
                                             F.count(F.lit(1)).alias("copies"), F.max("words").alias("words")), "nodes")
     matches = stored(matched_windows(window_rows(docs, key_col, text_col)), "matches")
+    alike = stored(run_nodes(docs, key_col, text_col), "alike")
     pairs = (matches.groupBy("a", "b").agg(F.collect_set(F.struct("f", "at_a", "at_b")).alias("windows"))
              .filter(F.size(F.array_distinct(F.col("windows.f"))) >= ENOUGH))
     pairs = stored(pairs, "pairs")
@@ -487,7 +491,7 @@ def passage_links(docs: DataFrame, key_col: str = "doc_id", text_col: str = "tex
                         "node", "left_semi")
     grams = stored(_shingle_table(docs, wanted, key_col, text_col), "grams")
     found = _verified(pairs, grams, ENOUGH)
-    return rows, nodes, _gone_on(found, matches, docs, nodes, key_col, text_col)
+    return rows, nodes, _gone_on(found, matches, alike, docs, nodes, key_col, text_col)
 
 
 def _merged(spans: Column) -> Column:
@@ -505,10 +509,11 @@ def _merged(spans: Column) -> Column:
 
 
 def repeated(docs: DataFrame, key_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document that shares a passage with another document: (doc_id, class_id, links, spans, words).
+    """One row per document that shares a passage with another document: (doc_id, class_id, verified_links, spans, words).
 
-    ``class_id`` is the least doc_id among the documents connected by shared passages, ``links`` the number of other
-    texts with which a shared passage was verified, ``spans`` the shared word ranges, ``words`` their sum.
+    ``class_id`` is the least doc_id among the documents connected by shared passages, ``verified_links`` the number of
+    other texts with which a shared passage was verified (enough to connect the class, not all that share one), ``spans``
+    the shared word ranges, ``words`` their sum.
     """
     rows, nodes, found = passage_links(docs, key_col, text_col)
     a = found.select(F.col("a").alias("node"), F.col("b").alias("other"), F.col("a_first").alias("first_word"), F.col("a_end").alias("end_word"))
@@ -517,11 +522,11 @@ def repeated(docs: DataFrame, key_col: str = "doc_id", text_col: str = "text") -
         "node", F.lit(None).cast("long").alias("other"), F.lit(0).alias("first_word"), F.col("words").cast("int").alias("end_word"))
     spans = a.unionByName(b).unionByName(whole)
     per_node = spans.groupBy("node").agg(F.array_sort(F.collect_set(F.struct("first_word", "end_word"))).alias("all"),
-                                         F.count_distinct("other").alias("links"))
+                                         F.count_distinct("other").alias("verified_links"))
     labels = components(found.select("a", "b").distinct())
     per_node = (per_node.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
                 .join(nodes.select("node", "least"), "node"))
     least = per_node.groupBy("label").agg(F.min("least").alias("class_id"))
-    per_node = per_node.join(least, "label").select("node", "class_id", "links", _merged(F.col("all")).alias("spans"))
+    per_node = per_node.join(least, "label").select("node", "class_id", "verified_links", _merged(F.col("all")).alias("spans"))
     words = F.aggregate(F.transform("spans", lambda s: (s["end_word"] - s["first_word"]).cast("long")), F.lit(0).cast("long"), lambda x, y: x + y)
-    return rows.select("doc_id", "node").join(per_node, "node").select("doc_id", "class_id", "links", "spans", words.alias("words"))
+    return rows.select("doc_id", "node").join(per_node, "node").select("doc_id", "class_id", "verified_links", "spans", words.alias("words"))
