@@ -58,7 +58,8 @@ LEAST = LEAST_WORDS - SHINGLE_WORDS + 1
 HASHES = 6
 CHUNK = 6  # shingles
 CHAIN = 8  # chunks to either side: 48 shingles, more than a passage of 50 words has
-LEVELS = ((0, 4), (2, 6))  # chunks of agreement on the other side, round by round
+LEVELS = (0, 4)  # chunks of agreement on the other side
+MEMBERS_HELD = 1 << 16
 ENOUGH = 2
 CONTEXT = 3
 GAP = 25
@@ -355,7 +356,14 @@ def context_chains(grams: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray,
     return chunk[at[:, None] + 1 + place[None, :] - CHUNK], chunk[at[:, None] - place[None, :]]
 
 
-_PLACED = "key long, chain binary, root long, node long, place long, label long, covered boolean"
+_PLACED = "key long, chain binary, f int, node long, place long, label long, covered boolean"
+
+
+def _placed_rows(held: list[tuple]) -> pd.DataFrame:
+    key, chain, f, node, place, label, covered = (np.concatenate(x) for x in zip(*held, strict=True))
+    raw, width = chain.tobytes(), 4 * chain.shape[1]
+    return pd.DataFrame({"key": key, "chain": [raw[i:i + width] for i in range(0, len(raw), width)], "f": f, "node": node, "place": place,
+                         "label": label, "covered": covered})
 
 
 def _in_context(members: DataFrame, grams: DataFrame, levels: tuple[int, ...]) -> DataFrame:
@@ -363,19 +371,26 @@ def _in_context(members: DataFrame, grams: DataFrame, levels: tuple[int, ...]) -
     agree on so much of the other side; level 0 asks for nothing."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for row in batch.itertuples():
-                own = {c: np.array([m[c] for m in row.own], dtype=np.int64) for c in ("root", "place")}
-                covered = np.array([m["covered"] for m in row.own], dtype=bool)
-                chains = context_chains(np.frombuffer(row.grams, np.uint16), own["place"] >> 36)
+            held, n = [], 0
+            for node, label, members, grams in zip(*(batch[c] for c in ("node", "label", "own", "grams")), strict=True):
+                root, place = (np.array([m[c] for m in members], dtype=np.int64) for c in ("root", "place"))
+                covered = np.array([m["covered"] for m in members], dtype=bool)
+                chains = context_chains(np.frombuffer(grams, np.uint16), place >> 36)
                 for side in (0, 1):
                     order, other = chains[side].astype(">u4"), chains[1 - side]
                     for level in levels:
                         on = np.flatnonzero(other[:, level - 1] > 0) if level else np.arange(len(order))
-                        key = own["root"][on].view(_U) * _U(4) + _U(2 * (level > 0) + side)
+                        key = root[on].view(_U) * _U(4) + _U(2 * (level > 0) + side)
                         for k in range(level):
                             key = mix(key * _U(0x9E3779B97F4A7C15) + other[on, k])
-                        yield pd.DataFrame({"key": signed(mix(key)), "chain": [x.tobytes() for x in order[on]], "root": own["root"][on],
-                                            "node": row.node, "place": own["place"][on], "label": row.label, "covered": covered[on]})
+                        held.append((signed(mix(key)), order[on], (root[on] & 7).astype(np.int32), np.full(len(on), node, np.int64), place[on],
+                                     np.full(len(on), label, np.int64), covered[on]))
+                        n += len(on)
+                if n >= MEMBERS_HELD:
+                    yield _placed_rows(held)
+                    held, n = [], 0
+            if held:
+                yield _placed_rows(held)
     own = members.groupBy("node").agg(F.min("label").alias("label"), F.collect_list(F.struct("root", "place", "covered")).alias("own"))
     return own.join(grams, "node").mapInPandas(run, _PLACED)
 
@@ -389,12 +404,12 @@ def _neighbours(placed: DataFrame) -> DataFrame:
             rows = batch if last is None else pd.concat([last, batch], ignore_index=True)
             if len(rows):
                 last = rows.iloc[-1:]
-                key, node, place, label, covered, root = (rows[c].to_numpy() for c in ("key", "node", "place", "label", "covered", "root"))
+                key, node, place, label, covered, f = (rows[c].to_numpy() for c in ("key", "node", "place", "label", "covered", "f"))
                 at = np.flatnonzero((key[1:] == key[:-1]) & (node[1:] != node[:-1])
                                     & ~((label[1:] == label[:-1]) & covered[1:].astype(bool) & covered[:-1].astype(bool)))
                 swap = node[at] > node[at + 1]
                 a, b = np.where(swap, at + 1, at), np.where(swap, at, at + 1)
-                yield pd.DataFrame({"a": node[a], "b": node[b], "f": (root[at] & 7).astype(np.int32), "at_a": place[a], "at_b": place[b]})
+                yield pd.DataFrame({"a": node[a], "b": node[b], "f": f[at].astype(np.int32), "at_a": place[a], "at_b": place[b]})
     n = int(placed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     pairs = (placed.repartition(n, "key").sortWithinPartitions("key", "chain", "node", "place")
              .mapInPandas(run, "a long, b long, f int, at_a long, at_b long"))
@@ -465,16 +480,12 @@ def _gone_on(found: DataFrame, matches: DataFrame, alike: DataFrame, docs: DataF
     """``found`` with the passages of neighbours in the groups that are not settled by it."""
     sides = [matches.select("root", F.col(x).alias("node"), F.col(f"at_{x}").alias("place")) for x in "ab"]
     members = stored(sides[0].unionByName(sides[1]).join(alike, "node", "left_semi").distinct(), "members")
-    grams = None
-    for levels in LEVELS:
-        members = stored(_unsettled(members.select("root", "node", "place"), found).drop("n"), "open")
-        if not members.limit(1).count():
-            break
-        if grams is None:
-            grams = stored(_shingle_table(docs, nodes.join(members.select("node").distinct(), "node", "left_semi"), key_col, text_col), "grams")
-        pairs = stored(_neighbours(_in_context(members, grams, levels)), "pairs")
-        found = stored(found.unionByName(_verified(pairs, grams, 1)).distinct(), "passages")
-    return found
+    members = stored(_unsettled(members, found).drop("n"), "open")
+    if not members.limit(1).count():
+        return found
+    grams = stored(_shingle_table(docs, nodes.join(members.select("node").distinct(), "node", "left_semi"), key_col, text_col), "grams")
+    pairs = stored(_neighbours(_in_context(members, grams, LEVELS)), "pairs")
+    return stored(found.unionByName(_verified(pairs, grams, 1)).distinct(), "passages")
 
 
 def passage_links(docs: DataFrame, key_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
