@@ -16,6 +16,7 @@ from murmur.functions import presets
 from murmur.functions import text as tx
 from murmur.operators import evaluate as ev
 from murmur.operators import kernel_svm as ks
+from murmur.operators import lda
 from murmur.operators import models as md
 from murmur.operators import sampling as sm
 from murmur.operators import skipgram as sg
@@ -284,25 +285,31 @@ def w2v_grid_search_cv(spark, base):
 # --------------------------------------------------------------------------
 
 def _bow(spark, base):
-    toks = doc_tokens(spark, base, True).filter(F.size("tokens") >= 3)
-    cvm = md.bag_of_words(toks, "tokens", min_df=5, max_df=0.5)
-    return cvm.transform(toks).select("doc_id", "tokens", "bow"), cvm.vocabulary
+    """(stored rows with word ids and counts, their vocabulary); made once per application and table."""
+    def make():
+        toks = doc_tokens(spark, base, True).filter(F.size("tokens") >= 3)
+        words = md.bag_of_words(toks, "tokens", min_df=5, max_df=0.5).vocabulary
+        path = scratch_dir(spark, "word-counts")
+        vocab = spark.createDataFrame(list(enumerate(words)), "term_id int, term string")
+        vocab.write.parquet(path + "/vocabulary")
+        rows = lda.counted_words(toks.select("doc_id", "tokens"), "doc_id", "tokens", vocab)
+        # Passes are work for the processor: rows are spread however few bytes they have.
+        spread = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+        rows.repartition(spread, "doc_id").write.parquet(path + "/rows")
+        return path, len(words)
+    path, n_words = _fitted(spark, base, "word counts", make)
+    return spark.read.parquet(path + "/rows"), spark.read.parquet(path + "/vocabulary"), n_words
 
 
 def _lda(spark, base, k: int = LDA_K):
-    def fit():
-        bow, vocab = _bow(spark, base)
-        cached = bow.persist()  # for the passes only; later reads use lineage
-        model = md.fit_lda(cached, k)
-        cached.unpersist()
-        return bow, vocab, model
-    return _fitted(spark, base, f"topics {k}", fit)
+    bow, vocab, n_words = _bow(spark, base)
+    return bow, vocab, _fitted(spark, base, f"topics {k}", lambda: lda.fit(bow, n_words, k))
 
 
 @query("lda_topics")
 def lda_topics(spark, base):
     _, vocab, model = _lda(spark, base)
-    words = md.topic_words(model, vocab, presets.TOP_WORDS)
+    words = model.top_words(vocab, presets.TOP_WORDS)
     return (words.groupBy("topic").agg(F.array_sort(F.collect_list(F.struct("rank", "term"))).alias("_w"))
                  .select("topic", F.array_join(F.transform("_w", lambda s: s.getField("term")), ", ")
                          .alias("top_words")))
@@ -311,17 +318,24 @@ def lda_topics(spark, base):
 @query("topic_top_words")
 def topic_top_words(spark, base):
     _, vocab, model = _lda(spark, base)
-    return md.topic_words(model, vocab, presets.TOP_WORDS)
+    return model.top_words(vocab, presets.TOP_WORDS)
+
+
+@query("lda_bound")
+def lda_bound(spark, base):
+    """The bound of every pass over the corpus; it rises."""
+    bounds = _lda(spark, base)[2].bounds
+    return spark.createDataFrame([(i + 1, b) for i, b in enumerate(bounds)], "pass int, bound double")
 
 
 @query("document_topics")
 def document_topics(spark, base):
     bow, _, model = _lda(spark, base)
-    return md.document_topics(model, bow, "doc_id")
+    return lda.dominant(model.transform(bow, "doc_id"), "doc_id")
 
 
 def _coherence(bow, vocab, model):
-    top = md.topic_words(model, vocab, presets.TOP_WORDS).select("topic", "term")
+    top = model.top_words(vocab, presets.TOP_WORDS).select("topic", "term")
     words = [r["term"] for r in top.select("term").distinct().collect()]  # K x N words at most
     counts = md.window_cooccurrence(bow, "tokens", words)
     return md.coherence_cv(top, counts)
@@ -386,32 +400,27 @@ def relevance_fixed(spark, base):
 @query("topic_relevance")
 def topic_relevance(spark, base):
     bow, vocab, model = _lda(spark, base)
-    weights = md.topic_words(model, vocab, len(vocab))
     freq = (bow.select(F.explode("tokens").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n")))
-    rel = tp.relevance(weights.select("topic", "term", "weight"), freq, lam=0.6)
+    rel = tp.relevance(model.weights(vocab), freq, lam=0.6)
     return tp.representative(rel, "topic", "relevance", "term", 30).select("topic", "rank", "term", "relevance")
 
 
 @query("topic_marginals")
 def topic_marginals(spark, base):
     """Each topic's share of the corpus, documents weighted by their dictionary terms."""
-    from pyspark.ml.functions import vector_to_array
     bow, _, model = _lda(spark, base)
-    per = model.transform(bow).select(F.aggregate(vector_to_array("bow"), F.lit(0.0), lambda a, b: a + b).alias("terms"),
-                                      F.posexplode(vector_to_array("topic_distribution")).alias("topic", "weight"))
-    return tp.topic_marginals(per, "topic", "weight", "terms")
+    per = model.transform(bow, "doc_id").select("n_words", F.posexplode("theta").alias("topic", "weight"))
+    return tp.topic_marginals(per, "topic", "weight", "n_words")
 
 
 @query("best_k")
 def best_k(spark, base):
     """Coherence of every topic number in range; tokens and dictionary are made once for all of them."""
-    bow, vocab = _bow(spark, base)
-    bow = bow.persist()
+    bow, vocab, n_words = _bow(spark, base)
     scores = []
     for k in range(presets.LDA_K_RANGE[0], presets.LDA_K_RANGE[1] + 1):
-        model = md.fit_lda(bow, k, passes=presets.LDA_SEARCH_PASSES)
+        model = lda.fit(bow, n_words, k, passes=presets.LDA_SEARCH_PASSES)
         scores.append((k, float(_coherence(bow, vocab, model).agg(F.avg("coherence_cv")).first()[0])))
-    bow.unpersist()
     table = spark.createDataFrame(scores, "topics int, coherence_cv double")
     best = ev.best_row(table, "coherence_cv", "topics").select("topics", F.lit(True).alias("best"))
     return table.join(best, "topics", "left").select("topics", "coherence_cv",
