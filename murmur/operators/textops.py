@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation
+import uuid
+
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from murmur.session import scratch_dir
+
+LOOKUP_BUCKETS = 64
+
 
 def min_token_filter(df: DataFrame, tokens_col: str, n: int = 3, counter: Observation | None = None) -> DataFrame:
     """Rows with at least ``n`` tokens; ``counter.get["excluded_short_docs"]`` is the number left out, once an action ran."""
@@ -71,3 +77,21 @@ def lookup_first(df: DataFrame, label_col: str, target: DataFrame, order_col: st
     """
     hits = df.join(F.broadcast(target), label_col, "left_semi")
     return hits.orderBy(order_col).limit(1)
+
+
+def store_for_lookup(df: DataFrame, key_col: str, order_col: str, buckets: int = LOOKUP_BUCKETS) -> str:
+    """Name of a table of ``df`` in buckets by ``key_col``, sorted by it and ``order_col``, in the shared folder.
+
+    Choose ``buckets`` so that one is a file of usual size. Rows are rebalanced by key first, so that a bucket is few
+    files and a key with very many rows is written by several tasks (adaptive execution splits it).
+    """
+    name = f"lookup_{uuid.uuid4().hex[:12]}"
+    spread = df.hint("rebalance", key_col)
+    spread.write.bucketBy(buckets, key_col).sortBy(key_col, order_col).option("path", scratch_dir(df.sparkSession, name)).saveAsTable(name)
+    return name
+
+
+def lookup_stored(spark: SparkSession, table: str, key_col: str, value, order_col: str) -> DataFrame:
+    """First record (by ``order_col``) of a stored table with ``value`` as key: one bucket is read, and of that the row
+    groups that can hold the value. No row for a null or unknown value."""
+    return spark.table(table).filter(F.col(key_col) == F.lit(value)).orderBy(order_col).limit(1)

@@ -122,16 +122,35 @@ def ngrams(spark, base):
                     F.array_join(tx.ngrams(F.col("_t"), 2), "|").alias("ngrams"))
 
 
-@query("record_lookup", f"""
+_LOOKUP_SQL = f"""
 WITH lab AS (SELECT doc_id, n_chars, lang, source, text,
                     concat_ws(' | ', CAST(doc_id AS VARCHAR), lang, {_PREVIEW_SQL}) AS label FROM documents),
 target AS (SELECT label FROM lab ORDER BY n_chars DESC, doc_id DESC LIMIT 1)
 SELECT doc_id, lang, source, n_chars, text FROM lab WHERE label = (SELECT label FROM target)
 ORDER BY doc_id LIMIT 1
-""")
-def record_lookup(spark, base):
-    d = _docs(spark, base, "n_chars", "lang", "source", "text").withColumn(
+"""
+
+
+def _picker_rows(spark, base):
+    return _docs(spark, base, "n_chars", "lang", "source", "text").withColumn(
         "label", tx.picker_label("doc_id", "lang", "text"))
+
+
+def _picked(rows):
     # The picker's current choice: the label of the longest comment.
-    target = d.agg(F.max(F.struct("n_chars", "doc_id", "label")).getField("label").alias("label"))
-    return textops.lookup_first(d, "label", target, "doc_id").select("doc_id", "lang", "source", "n_chars", "text")
+    return rows.agg(F.max(F.struct("n_chars", "doc_id", "label")).getField("label").alias("label"))
+
+
+@query("record_lookup", _LOOKUP_SQL)
+def record_lookup(spark, base):
+    d = _picker_rows(spark, base)
+    return textops.lookup_first(d, "label", _picked(d), "doc_id").select("doc_id", "lang", "source", "n_chars", "text")
+
+
+@query("record_lookup_stored", _LOOKUP_SQL)
+def record_lookup_stored(spark, base):
+    """The same look-up on a table in buckets by label: one bucket is read."""
+    d = _picker_rows(spark, base)
+    table = textops.store_for_lookup(d, "label", "doc_id")
+    found = textops.lookup_stored(spark, table, "label", _picked(d).first()["label"], "doc_id")
+    return found.select("doc_id", "lang", "source", "n_chars", "text")

@@ -48,3 +48,23 @@ def test_tokenizer_runs_once_per_plan(spark, op):
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
     assert p.count("Generate explode") == 1
+
+
+def test_stored_lookup_reads_one_bucket(spark):
+    from murmur.operators import textops
+    rows = [(i, None if i % 10 == 9 else f"k{i % 7}") for i in range(200)] + [(i, "hot") for i in range(200, 400)]
+    df = spark.createDataFrame(rows, "id long, key string").repartition(3)
+    table = textops.store_for_lookup(df, "key", "id", 16)
+    # The plan names the buckets only of scans that keep them as partitions; others read the same files.
+    spark.conf.set("spark.sql.sources.bucketing.autoBucketedScan.enabled", "false")
+    try:
+        for value in ("k3", "hot", "absent"):
+            got = textops.lookup_stored(spark, table, "key", value, "id")
+            want = sorted(i for i, k in rows if k == value)[:1]
+            assert [r.id for r in got.collect()] == want
+            assert "SelectedBucketsCount: 1 out of 16" in plan(got)
+        assert textops.lookup_stored(spark, table, "key", None, "id").count() == 0
+        assert spark.table(table).count() == 400
+    finally:
+        spark.conf.unset("spark.sql.sources.bucketing.autoBucketedScan.enabled")
+        spark.sql(f"DROP TABLE {table}")
