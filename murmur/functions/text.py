@@ -100,6 +100,53 @@ def keyword_match(col: Column | str, keywords: Sequence[str]) -> Column:
     return F.coalesce(F.lower(_c(col)).rlike(pattern), F.lit(False))
 
 
+MAX_KEYWORDS = 100_000
+PATTERN_CHARS = 20_000
+
+
+def _factored(words: list[str], at: int = 0) -> str:
+    """Pattern of sorted words that agree before ``at``. A word that begins others stands for them: who contains them
+    contains it."""
+    if len(words[0]) == at:
+        return ""
+    parts = []
+    start = 0
+    for i in range(1, len(words) + 1):
+        if i == len(words) or words[i][at] != words[start][at]:
+            own = words[start][at]
+            parts.append((own if own.isalnum() else f"\\x{{{ord(own):x}}}") + _factored(words[start:i], at + 1))
+            start = i
+    return parts[0] if len(parts) == 1 else "(?:" + "|".join(parts) + ")"
+
+
+def keyword_patterns(keywords: Iterable[str]) -> list[str]:
+    """Patterns that together find any of the lower-cased keywords, common beginnings written once.
+
+    They follow the keywords' prefix tree, so that a place in a text meets a branch per character, not every keyword.
+    Sorted keywords are cut into patterns of at most about ``PATTERN_CHARS`` characters, which a plan can hold as text.
+    Empty keywords are left out; more than ``MAX_KEYWORDS`` raise.
+    """
+    words = sorted({k.lower() for k in keywords if k})
+    if len(words) > MAX_KEYWORDS:
+        raise ValueError(f"{len(words)} keywords; at most {MAX_KEYWORDS}")
+    out, own, held = [], [], 0
+    for w in words:
+        if own and held + len(w) > PATTERN_CHARS:
+            out.append(_factored(own))
+            own, held = [], 0
+        own.append(w)
+        held += len(w)
+    return out + ([_factored(own)] if own else [])
+
+
+def many_keywords_match(col: Column | str, keywords: Iterable[str]) -> Column:
+    """``keyword_match`` for thousands of keywords: false for null texts and without keywords."""
+    found = F.lit(False)
+    for pattern in keyword_patterns(keywords):
+        found = found | F.lower(_c(col)).rlike(pattern)
+    return F.coalesce(found, F.lit(False))
+
+
 def word_token_count(col: Column | str) -> Column:
     """Whitespace tokens whose first character is a word character."""
     return F.regexp_count(text_or_empty(col), F.lit(r"(?U)(?<!\S)\w"))

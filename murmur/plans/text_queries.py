@@ -154,3 +154,17 @@ def record_lookup_stored(spark, base):
     table = textops.store_for_lookup(d, "label", "doc_id")
     found = textops.lookup_stored(spark, table, "label", _picked(d).first()["label"], "doc_id")
     return found.select("doc_id", "lang", "source", "n_chars", "text")
+
+
+# Words of the test items as keywords: those of six and more plain letters.
+@query("benchmark_keyword_match", """
+WITH words AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]{6,}')) AS word FROM benchmark),
+lowered AS (SELECT doc_id, lower(text) AS t FROM documents)
+SELECT doc_id, coalesce(EXISTS (SELECT 1 FROM words WHERE contains(t, word)), false) AS keyword_match FROM lowered
+""")
+def benchmark_keyword_match(spark, base):
+    words = read_table(spark, base, "benchmark").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]{6,})"))).alias("word"))
+    # One more than is allowed, so that a longer list raises without being read whole.
+    keywords = [r["word"] for r in words.distinct().limit(tx.MAX_KEYWORDS + 1).collect()]
+    docs = read_table(spark, base, "documents")
+    return docs.select("doc_id", tx.many_keywords_match("text", keywords).alias("keyword_match"))
