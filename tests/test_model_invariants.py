@@ -79,3 +79,24 @@ def test_topic_marginals_sum_to_one(spark):
 def test_stream_scores_equal_batch_scores(spark):
     one = sorted(tuple(r) for r in q("stream_score")(spark, SF).select("doc_id", "predicted_label").collect())
     assert one == sorted(tuple(r) for r in q("score_corpus")(spark, SF).select("doc_id", "predicted_label").collect())
+
+
+def test_means_of_many_words_are_made_in_pieces_without_python_words(spark, monkeypatch):
+    import numpy as np
+    from pyspark.ml.functions import array_to_vector
+
+    from murmur.operators import models as md
+    monkeypatch.setattr(md, "MEAN_ROWS", 3)
+    monkeypatch.setattr(md, "MEAN_WORDS", 4)
+    rng = np.random.default_rng(1)
+    words = {w: [float(x) for x in rng.normal(size=2).astype(np.float32)] for w in "abcde"}
+    docs = [(i, [str(w) for w in rng.choice(list("abcdexyz"), int(rng.integers(0, 30)))]) for i in range(40)] + [(40, None), (41, ["x"]), (42, [])]
+    vec = spark.createDataFrame(list(words.items()), "word string, v array<double>").select("word", array_to_vector("v").alias("vector"))
+    got = md.mean_vectors(spark.createDataFrame(docs, "id long, tokens array<string>").coalesce(1), "id", "tokens", vec, 2)
+    assert "MapInArrow" in got._jdf.queryExecution().toString()
+    found = {r.id: (r.n_in_vocab, r.doc_vector) for r in got.collect()}
+    assert len(found) == len(docs)
+    for i, tokens in docs:
+        own = [words[t] for t in tokens or [] if t in words]
+        assert found[i][0] == len(own)
+        assert np.allclose(found[i][1], np.mean(own, axis=0) if own else [0.0, 0.0])
