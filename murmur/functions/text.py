@@ -90,18 +90,30 @@ def topic_tokens(col: Column | str, extra_stop: Sequence[str] = presets.TOPIC_ST
 def keyword_match(col: Column | str, keywords: Sequence[str]) -> Column:
     """Case-insensitive substring match of any keyword; non-strings never match.
 
-    One alternation of the quoted keywords over the text lower-cased once,
-    instead of a chain of tests that each lower-case it.
+    One pattern of the keywords' prefix tree (``keyword_patterns``) over the text
+    lower-cased once, instead of an alternation that tries every keyword at every place.
     """
-    words = sorted({k.lower() for k in keywords if k})
-    if not words:
-        return F.lit(False)
-    pattern = "|".join(r"\Q" + k + r"\E" for k in words)
-    return F.coalesce(F.lower(_c(col)).rlike(pattern), F.lit(False))
+    return many_keywords_match(col, keywords)
 
 
 MAX_KEYWORDS = 100_000
 PATTERN_CHARS = 20_000
+# Branches that are tried one by one; more are halved by a look at the next character.
+BRANCHES = 4
+
+
+def _char(c: str) -> str:
+    return c if c.isalnum() else f"\\x{{{ord(c):x}}}"
+
+
+def _either(branches: list[tuple[str, str]]) -> str:
+    """Any of the (first character, pattern) branches."""
+    if len(branches) == 1:
+        return branches[0][1]
+    if len(branches) <= BRANCHES:
+        return "(?:" + "|".join(p for _, p in branches) + ")"
+    halves = branches[:len(branches) // 2], branches[len(branches) // 2:]
+    return "(?:" + "|".join(f"(?=[{''.join(_char(c) for c, _ in own)}]){_either(own)}" for own in halves) + ")"
 
 
 def _factored(words: list[str], at: int = 0) -> str:
@@ -114,15 +126,15 @@ def _factored(words: list[str], at: int = 0) -> str:
     for i in range(1, len(words) + 1):
         if i == len(words) or words[i][at] != words[start][at]:
             own = words[start][at]
-            parts.append((own if own.isalnum() else f"\\x{{{ord(own):x}}}") + _factored(words[start:i], at + 1))
+            parts.append((own, _char(own) + _factored(words[start:i], at + 1)))
             start = i
-    return parts[0] if len(parts) == 1 else "(?:" + "|".join(parts) + ")"
+    return _either(parts)
 
 
 def keyword_patterns(keywords: Iterable[str]) -> list[str]:
     """Patterns that together find any of the lower-cased keywords, common beginnings written once.
 
-    They follow the keywords' prefix tree, so that a place in a text meets a branch per character, not every keyword.
+    They follow the keywords' prefix tree, so that a place in a text meets a few branches per character, not every keyword.
     Sorted keywords are cut into patterns of at most about ``PATTERN_CHARS`` characters, which a plan can hold as text.
     Empty keywords are left out; more than ``MAX_KEYWORDS`` raise.
     """
