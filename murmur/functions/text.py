@@ -102,18 +102,18 @@ PATTERN_CHARS = 20_000
 BRANCHES = 4
 
 
-def _char(c: str) -> str:
+def quoted_char(c: str) -> str:
     return c if c.isalnum() else f"\\x{{{ord(c):x}}}"
 
 
-def _either(branches: list[tuple[str, str]]) -> str:
+def either(branches: list[tuple[str, str]]) -> str:
     """Any of the (first character, pattern) branches."""
     if len(branches) == 1:
         return branches[0][1]
     if len(branches) <= BRANCHES:
         return "(?:" + "|".join(p for _, p in branches) + ")"
     halves = branches[:len(branches) // 2], branches[len(branches) // 2:]
-    return "(?:" + "|".join(f"(?=[{''.join(_char(c) for c, _ in own)}]){_either(own)}" for own in halves) + ")"
+    return "(?:" + "|".join(f"(?=[{''.join(quoted_char(c) for c, _ in own)}]){either(own)}" for own in halves) + ")"
 
 
 def _factored(words: list[str], at: int = 0) -> str:
@@ -126,9 +126,9 @@ def _factored(words: list[str], at: int = 0) -> str:
     for i in range(1, len(words) + 1):
         if i == len(words) or words[i][at] != words[start][at]:
             own = words[start][at]
-            parts.append((own, _char(own) + _factored(words[start:i], at + 1)))
+            parts.append((own, quoted_char(own) + _factored(words[start:i], at + 1)))
             start = i
-    return _either(parts)
+    return either(parts)
 
 
 def keyword_patterns(keywords: Iterable[str]) -> list[str]:
@@ -213,11 +213,12 @@ def ngrams(toks: Column, n_max: int = 2) -> Column:
     return F.concat(toks, bigrams(toks))
 
 
-def padded_boundary_text(col: Column | str) -> Column:
-    """Lower-cased text with every non letter/digit run as one space, space-padded.
+def padded_boundary_text(col: Column | str, space: str = " ") -> Column:
+    """Lower-cased text with every non letter/digit run as one ``space``, space-padded.
 
     ``contains(' ' + phrase + ' ')`` on it is a whole-word phrase test that
     behaves identically in any engine with Unicode classes.
     """
-    t = F.regexp_replace(F.lower(text_or_empty(col)), r"[^\p{L}\p{N}]+", " ")
-    return F.concat(F.lit(" "), t, F.lit(" "))
+    # The plain letters are named first: they need no look-up of their Unicode category.
+    t = F.regexp_replace(F.lower(text_or_empty(col)), r"[^a-z0-9\p{L}\p{N}]+", space)
+    return F.concat(F.lit(space), t, F.lit(space))

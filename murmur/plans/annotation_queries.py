@@ -121,7 +121,7 @@ parsed AS (
 
 def parsed(spark, base):
     """Parsed annotator replies."""
-    return model_outputs(spark, base).select("src", "id", an.parse_annotation(F.col("raw")).alias("p")).select("src", "id", "p.*")
+    return an.parse_annotations(model_outputs(spark, base), "raw")
 
 
 @query("parse_annotations", _PARSED_CTE + " SELECT * FROM parsed")
