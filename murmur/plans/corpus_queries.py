@@ -9,6 +9,7 @@ from murmur.functions import text as tx
 from murmur.operators import eligibility as el
 from murmur.plans import sqlfrag as S
 from murmur.plans.registry import query
+from murmur.session import scratch_dir
 from murmur.sources.tables import read_table
 
 KW = presets.SELECTION_KEYWORDS
@@ -147,7 +148,10 @@ def _eligible_comments(spark, base):
 def _flagged_comments(spark, base):
     """The eligible comments' flags plus ``selected``: an exact share of the valid eligible ones."""
     from murmur.operators import sampling as sm
-    flagged = _eligible_comments(spark, base).withColumn("_stratum", F.col("non_empty_valid") & F.col("keyword_eligible"))
+    # Stored, so that the cut's three looks at the ids and the rows themselves do not each test every keyword again.
+    path = scratch_dir(spark, "eligibility-flags")
+    _eligible_comments(spark, base).write.parquet(path)
+    flagged = spark.read.parquet(path).withColumn("_stratum", F.col("non_empty_valid") & F.col("keyword_eligible"))
     eligible = flagged.filter("_stratum").select("_id")
     want = eligible.agg(F.floor(F.lit(SELECT_FRACTION) * F.count(F.lit(1))).cast("long").alias("_want"))
     cut = sm.rank_cuts(eligible, "_id", [], want, ["_want"]).select("cut__want")
