@@ -3,13 +3,21 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from murmur.session import scratch_dir
 
 LOOKUP_BUCKETS = 64
+# A lemma table up to this size is broadcast to replace tokens without a shuffle.
+BROADCAST_LEMMA_BYTES = 32 << 20
+# Documents whose tokens a task replaces at once.
+LEMMA_ROWS = 4096
 
 
 def min_token_filter(df: DataFrame, tokens_col: str, n: int = 3, counter: Observation | None = None) -> DataFrame:
@@ -50,13 +58,48 @@ def plural_lemma_table(df: DataFrame, tokens_col: str, min_chars: int = 2) -> Da
 def apply_lemmas(df: DataFrame, id_col: str, tokens_col: str, lemmas: DataFrame) -> DataFrame:
     """Replace tokens by their lemma (identity when absent), keeping token order.
 
-    Only the *distinct* tokens of each document meet the lemma table (a join:
-    the table may be vocabulary-sized, AQE broadcasts it only when its measured
-    size is small). The matches of one document become a small replacement map
-    (bounded by that document's vocabulary), joined back by document id and
-    applied in place with ``transform`` — token positions are never exploded
-    or regrouped.
+    The table is stored and measured first. Up to ``BROADCAST_LEMMA_BYTES`` it is
+    broadcast and each document's tokens are replaced where they are read; a
+    larger table is joined. A form with several lemmas raises.
     """
+    path = scratch_dir(df.sparkSession, "lemmas")
+    lemmas.select("form", "lemma").filter(F.col("form").isNotNull() & F.col("lemma").isNotNull()).write.parquet(path)
+    stored = df.sparkSession.read.schema("form string, lemma string").parquet(path)
+    size = stored.agg(F.sum(F.octet_length("form") + F.octet_length("lemma") + 16)).first()[0] or 0
+    if size <= BROADCAST_LEMMA_BYTES:
+        return _apply_broadcast(df, id_col, tokens_col, stored)
+    return _apply_joined(df, id_col, tokens_col, stored)
+
+
+def _apply_broadcast(df: DataFrame, id_col: str, tokens_col: str, lemmas: DataFrame) -> DataFrame:
+    table = lemmas.toArrow()  # size checked by the caller
+    forms, own = (table[c].combine_chunks().cast(pa.string()) for c in ("form", "lemma"))
+    if len(pc.unique(forms)) < len(forms):
+        raise ValueError("the lemma table has a form with several lemmas")
+    shared = df.sparkSession.sparkContext.broadcast((forms, own))
+
+    def replaced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forms, own = shared.value
+        for whole in batches:
+            for at in range(0, whole.num_rows, LEMMA_ROWS):
+                batch = whole.slice(at, LEMMA_ROWS)
+                tokens = batch.column(1)
+                words = tokens.flatten()
+                places = pc.index_in(words, value_set=forms)
+                ends = np.concatenate(([0], np.cumsum(pc.fill_null(pc.list_value_length(tokens), 0).to_numpy()))).astype(np.int32)
+                hits = np.concatenate(([0], np.cumsum(pc.is_valid(places).to_numpy(zero_copy_only=False))))
+                out = pa.ListArray.from_arrays(pa.array(ends), pc.coalesce(own.take(places), words), mask=pc.is_null(tokens))
+                yield pa.RecordBatch.from_arrays([batch.column(0), out, pa.array(hits[ends[1:]] - hits[ends[:-1]], pa.int64())],
+                                                 names=[id_col, "lemmatised", "n_changed"])
+    kind = df.schema[id_col].dataType.simpleString()
+    return df.select(id_col, tokens_col).mapInArrow(replaced, f"`{id_col}` {kind}, lemmatised array<string>, n_changed long")
+
+
+def _apply_joined(df: DataFrame, id_col: str, tokens_col: str, lemmas: DataFrame) -> DataFrame:
+    """Only the *distinct* tokens of each document meet the lemma table. The
+    matches of one document become a small replacement map (bounded by that
+    document's vocabulary), joined back by document id and applied in place
+    with ``transform`` — token positions are never exploded or regrouped."""
     from murmur.operators.features import explode_terms
     cand = explode_terms(df, F.array_distinct(tokens_col), id_col, name="form")
     hits = cand.join(lemmas.select("form", "lemma"), "form", "inner")
