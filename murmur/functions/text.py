@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from murmur.functions import presets
 
-URL_RE = r"(?U)http\S+|www\.\S+"
+# http\S+|www\.\S+, with one look at a character that begins neither
+URL_RE = r"(?U)[hw](?:(?<=h)ttp|(?<=w)ww\.)\S+"
 MENTION_RE = r"(?U)@\w+"
 HASHTAG_RE = r"(?U)#(\w+)"
 NON_LATIN_RE = r"(?U)[^a-z\s]"

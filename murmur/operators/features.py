@@ -87,9 +87,11 @@ def tfidf(df: DataFrame, id_col: str, tokens_col: str, min_df: int = 2, max_feat
     vocab = vocab.filter(F.col("df") >= min_df)
     if max_features is not None:
         vocab = top_k_rank(vocab, "term", "_total", max_features).drop("rank")
-    vocab = vocab.select("term", (F.log((F.lit(1) + n_docs) / (F.lit(1) + F.col("df"))) + 1).alias("idf"))
+    # Hashed by term, not sorted: a partition's share of the vocabulary is small beside its rows. Counts go to the
+    # documents, where they become weights: they take less room than weights.
+    joined = tf.join(vocab.select("term", "df").hint("shuffle_hash"), "term", "inner").select(id_col, "term", "tf", "df").repartition(id_col)
     w_tf = (1 + F.log(F.col("tf"))) if sublinear_tf else F.col("tf").cast("double")
-    weighted = tf.join(vocab, "term", "inner").select(id_col, "term", (w_tf * F.col("idf")).alias("_w"))
+    weighted = joined.select(id_col, "term", (w_tf * (F.log((F.lit(1) + n_docs) / (F.lit(1) + F.col("df"))) + 1)).alias("_w"))
     norm = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy(id_col)))
     return weighted.select(id_col, "term", (F.col("_w") / norm).alias("tfidf"))
 
