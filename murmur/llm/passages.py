@@ -15,9 +15,14 @@ the first of its context, each context with the first of the group; equal
 shuffle, so a passage that a third of all documents share sends one row a
 block. Texts of equal word sequence are one node.
 
+Only nodes that share a run of 22 words with another one are split into windows.
+A verified passage holds such a run: an edit costs both sides at least nine
+shingles together, so 0.8 of them leave 21 successive ones (25 words) between
+edits. Only edits that repeat words they stand next to cost less; a pair whose
+only passages have several of those within 50 words can be missed.
+
 Groups whose members did not all verify into one component, each within a
-verified passage, go on, without documents that share no run of 22 words. Their
-members are sorted by the text right of the centre and again by the text left of
+verified passage, go on. Their members are sorted by the text right of the centre and again by the text left of
 it, by hashes of successive ``CHUNK`` shingles, and neighbours are verified: the
 documents that agree furthest to that side. Members that agree on so many
 shingles to one side (``LEVELS``) are sorted by the other side once more. So a
@@ -47,6 +52,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -61,7 +68,10 @@ CHAIN = 8  # chunks to either side: 48 shingles, more than a passage of 50 words
 LEVELS = (0, 4)  # chunks of agreement on the other side
 MEMBERS_HELD = 1 << 16
 ENOUGH = 2
+NEAR = 32
+COMPARED = 1 << 16
 CONTEXT = 3
+MARKS = 1 << 25
 GAP = 25
 LEAST_RUN = 3
 PRINT_WORDS = 13  # every run of PRINT_WORDS + PRINTS - 1 = 22 words has one of its prints chosen
@@ -140,19 +150,44 @@ def unpack(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 # --- verification ------------------------------------------------------------
 
-def joined_windows(f: np.ndarray, a: np.ndarray, b: np.ndarray, least: int = LEAST) -> np.ndarray:
-    """Which matched windows share a passage, in both documents, with a window of another hash function."""
-    good = np.zeros(len(f), dtype=bool)
-    sides = [unpack(a), unpack(b)]
-    for x in range(0, len(f), 512):
-        own = slice(x, x + 512)
-        meet = f[own, None] != f[None, :]
+def joined_windows(f: np.ndarray, a: np.ndarray, b: np.ndarray, owner: np.ndarray, least: int = LEAST) -> np.ndarray:
+    """Which matched windows share a passage, in both documents, with a window of another hash function and the same
+    owner (pair of documents). Neighbours by centre are compared first; a window without a match among them meets all
+    whose centres lie within it."""
+    order = np.lexsort((a >> 36, owner))
+    f, owner, sides = f[order], owner[order], [unpack(a[order]), unpack(b[order])]
+
+    def meet(i: slice | np.ndarray, j: slice | np.ndarray) -> np.ndarray:
+        on = (f[i] != f[j]) & (owner[i] == owner[j])
         for left, centre, right in sides:
-            lo, hi = np.maximum(left[own, None], left[None, :]), np.minimum(right[own, None], right[None, :])
-            meet &= (lo <= np.minimum(centre[own, None], centre[None, :])) & (hi >= np.maximum(centre[own, None], centre[None, :]))
-            meet &= hi - lo + 1 >= least
-        good[own] = meet.any(axis=1)
-    return good
+            lo, hi = np.maximum(left[i], left[j]), np.minimum(right[i], right[j])
+            on &= (lo <= np.minimum(centre[i], centre[j])) & (hi >= np.maximum(centre[i], centre[j])) & (hi - lo + 1 >= least)
+        return on
+
+    good = np.zeros(len(f), dtype=bool)
+    for by in range(1, min(NEAR, len(f) - 1) + 1):
+        on = meet(slice(None, -by), slice(by, None))
+        good[:-by] |= on
+        good[by:] |= on
+    rest = np.flatnonzero(~good)
+    base = owner.astype(np.int64) << 28
+    left, centre, right = (x + base for x in sides[0])
+    begin = np.searchsorted(centre, left[rest])
+    n = np.searchsorted(centre, right[rest], side="right") - begin
+    ends = np.cumsum(n)
+    first = 0
+    while first < len(rest):
+        done = ends[first] - n[first]
+        own = slice(first, max(first + 1, int(np.searchsorted(ends, done + COMPARED, side="right"))))
+        i = np.repeat(rest[own], n[own])
+        j = np.arange(len(i)) + np.repeat(begin[own] - (ends[own] - n[own] - done), n[own])
+        within = (sides[1][0][i] <= sides[1][1][j]) & (sides[1][1][j] <= sides[1][2][i])
+        i, j = i[within], j[within]
+        good[i[meet(i, j)]] = True
+        first = own.stop
+    out = np.empty(len(f), dtype=bool)
+    out[order] = good
+    return out
 
 
 def repeated_passages(x: np.ndarray, y: np.ndarray, diagonals: np.ndarray, least: int = LEAST,
@@ -215,32 +250,62 @@ def _texts(docs: DataFrame, key_col: str, text_col: str) -> DataFrame:
     return rows.filter("text IS NOT NULL").withColumn("raw", F.xxhash64("text"))
 
 
+def _prints(words: Words, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(prints of all texts, each text's start): the least hash of every ``PRINTS`` successive runs of ``PRINT_WORDS``
+    words. Of a block's equal prints one goes on; each other node meets its neighbour under a print of its own."""
+    grams, offsets = shingles(words)
+    n, step, wide = len(node), SHINGLE_WORDS - 1, PRINT_WORDS - SHINGLE_WORDS
+    if len(grams) < wide + PRINTS:
+        return np.empty(0, np.int64), np.zeros(n + 1, np.int64)
+    run = grams[:len(grams) - wide]
+    for at in range(step, wide + 1, step):
+        run = mix(run * _U(0x9E3779B97F4A7C15) + grams[at:len(grams) - wide + at])
+    least = sliding_minima(run, PRINTS)
+    owner = np.repeat(np.arange(n), np.diff(offsets))
+    first, last = owner[:len(least)], owner[len(grams) - len(least):]
+    on = (first == last) & (words.counts()[first] >= LEAST_WORDS)
+    on[1:] &= (least[1:] != least[:-1]) | (first[1:] != first[:-1])
+    value, own = least[on], first[on]
+    order = np.lexsort((node[own], value))
+    value, own = value[order], own[order]
+    new = np.ones(len(value), dtype=bool)
+    new[1:] = (value[1:] != value[:-1]) | (node[own[1:]] != node[own[:-1]])
+    value, own = value[new], own[new]
+    more = np.flatnonzero(value[1:] == value[:-1]) + 1
+    one = np.setdiff1d(np.arange(len(value)), more, assume_unique=True)
+    private = mix(value[more] ^ mix(node[own[more]].view(_U)))
+    holder = np.concatenate((own[one], own[more], own[more - 1]))
+    order = np.argsort(holder, kind="stable")
+    return signed(np.concatenate((value[one], private, private))[order]), np.searchsorted(holder[order], np.arange(n + 1))
+
+
 def document_nodes(docs: DataFrame, key_col: str, text_col: str) -> DataFrame:
-    """(doc_id, raw hash of the text, node, number of words) of every document with words."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(doc_id, raw hash of the text, node, number of words, prints) of every document with words."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch["text"].tolist()
+            texts = batch.column("text").to_pylist()
             for x, y in blocks(texts):
                 words = Words(texts[x:y])
-                out = pd.DataFrame({"doc_id": batch["doc_id"].iloc[x:y].astype("Int64"), "raw": batch["raw"].iloc[x:y],
-                                    "node": signed(text_keys(words)), "words": words.counts()})
-                yield out[out["words"] > 0]
-    return _texts(docs, key_col, text_col).mapInPandas(run, "doc_id long, raw long, node long, words long")
+                node = signed(text_keys(words))
+                prints, starts = _prints(words, node)
+                own = [*(batch.column(c).slice(x, y - x) for c in ("doc_id", "raw")), pa.array(node), pa.array(words.counts()),
+                       pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(prints))]
+                yield pa.RecordBatch.from_arrays(own, names=["doc_id", "raw", "node", "words", "prints"]).filter(pa.array(words.counts() > 0))
+    return _texts(docs, key_col, text_col).mapInArrow(run, "doc_id long, raw long, node long, words long, prints array<long>")
 
 
-def window_rows(docs: DataFrame, key_col: str, text_col: str) -> DataFrame:
-    """All compact windows of all documents: signature (its last 3 bits tell the hash function, the bit before them
-    whether it is a block's own and the context holds the common one), context, node, place."""
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+def window_rows(texts: DataFrame) -> DataFrame:
+    """All compact windows of all texts (node, text): signature (its last 3 bits tell the hash function, the bit before
+    them whether it is a block's own and the context holds the common one), context, node, place."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            texts = batch["text"].tolist()
+            texts, nodes = batch["text"].tolist(), batch["node"].to_numpy()
             for x, y in blocks(texts):
-                words = Words(texts[x:y])
-                own = signed(text_keys(words))
+                own = nodes[x:y]
                 _, first = np.unique(own, return_index=True)
                 once = np.zeros(len(own), dtype=bool)
                 once[first] = True
-                grams, offsets = shingles(words)
+                grams, offsets = shingles(Words(texts[x:y]))
                 f, text, left, centre, right = compact_windows(grams, offsets)
                 keep = once[text]
                 f, text, left, centre, right = (v[keep] for v in (f, text, left, centre, right))
@@ -248,7 +313,7 @@ def window_rows(docs: DataFrame, key_col: str, text_col: str) -> DataFrame:
                 sig = signed((mix(grams[at]) & ~_U(15)) | f.astype(_U))
                 context = signed(mix(grams[np.maximum(at - CONTEXT, begin)] * _U(3) + grams[np.minimum(at + CONTEXT, end)]))
                 yield _linked_in_block(sig, context, own[text], pack(left, centre, right))
-    return _texts(docs, key_col, text_col).select("text").mapInPandas(run, _WINDOW)
+    return texts.mapInPandas(run, _WINDOW)
 
 
 def _linked_in_block(sig, context, node, place) -> pd.DataFrame:
@@ -301,14 +366,18 @@ def matched_windows(windows: DataFrame) -> DataFrame:
 
 
 def _node_texts(docs: DataFrame, wanted: DataFrame, key_col: str, text_col: str) -> DataFrame:
-    """(node, text) of one document (and rows equal to it) of each wanted node."""
-    rows = _texts(docs, key_col, text_col)
-    w = wanted.select(F.col("first.doc_id").alias("w_id"), F.col("first.raw").alias("w_raw"), "node")
+    """(node, text) of one document (and rows equal to it) of each wanted node. A bit set of ``MARKS`` bits, marked by the
+    wanted texts' hashes, is broadcast, so that few other texts are moved for the join."""
+    word = F.shiftright("raw", 6).bitwiseAND(F.lit(MARKS // 64 - 1))
+    marks = wanted.select("first.raw").groupBy(word.alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, int(raw & 63))")).alias("marks"))
+    rows = _texts(docs, key_col, text_col).withColumn("word", word).join(F.broadcast(marks), "word")
+    rows = rows.filter(F.expr("shiftright(marks, int(raw & 63)) & 1 = 1")).select("doc_id", "text", "raw")
+    w = wanted.select(F.col("first.doc_id").alias("w_id"), F.col("first.raw").alias("w_raw"), "node").hint("shuffle_hash")
     return rows.join(w, rows["doc_id"].eqNullSafe(w["w_id"]) & (rows["raw"] == w["w_raw"])).select("node", "text")
 
 
-def _shingle_table(docs: DataFrame, wanted: DataFrame, key_col: str, text_col: str) -> DataFrame:
-    """(node, grams): the shingles, 16 bits each, of one document of each wanted node."""
+def _shingle_table(texts: DataFrame) -> DataFrame:
+    """(node, grams): the shingles of each node, 16 bits each."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             texts = batch["text"].tolist()
@@ -317,28 +386,37 @@ def _shingle_table(docs: DataFrame, wanted: DataFrame, key_col: str, text_col: s
                 short = (grams >> _U(48)).astype(np.uint16)
                 yield pd.DataFrame({"node": batch["node"].iloc[x:y],
                                     "grams": [short[offsets[i]:offsets[i + 1]].tobytes() for i in range(y - x)]})
-    return _node_texts(docs, wanted, key_col, text_col).mapInPandas(run, "node long, grams binary").dropDuplicates(["node"])
+    return texts.mapInPandas(run, "node long, grams binary").dropDuplicates(["node"])
 
 
-_PASSAGE = "array<struct<a_first: int, a_end: int, b_first: int, b_end: int, similarity: double>>"
+_PASSAGE = "a long, b long, a_first int, a_end int, b_first int, b_end int, similarity double"
 
 
-def _passages(windows: Column, x: Column, y: Column, enough: int = ENOUGH) -> Column:
-    @F.pandas_udf(_PASSAGE)
-    def run(windows: pd.Series, xs: pd.Series, ys: pd.Series) -> pd.Series:
-        out = []
-        for w, p, q in zip(windows, xs, ys, strict=True):
-            f = np.fromiter((r["f"] for r in w), np.int64, len(w))
-            a = np.fromiter((r["at_a"] for r in w), np.int64, len(w))
-            b = np.fromiter((r["at_b"] for r in w), np.int64, len(w))
-            good = joined_windows(f, a, b) if enough > 1 else np.ones(len(f), dtype=bool)
-            found = []
-            if good.any():
-                found = repeated_passages(np.frombuffer(p, np.uint16), np.frombuffer(q, np.uint16), (b[good] >> 36) - (a[good] >> 36))
-            more = SHINGLE_WORDS - 1
-            out.append([{"a_first": s, "a_end": e + more, "b_first": u, "b_end": v + more, "similarity": z} for s, e, u, v, z in found])
-        return pd.Series(out, dtype=object)
-    return run(windows, x, y)
+def _passages(pairs: DataFrame, enough: int = ENOUGH) -> DataFrame:
+    """The passages of pairs (a, b, windows, x, y), x and y being their shingles."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            windows = batch.column("windows")
+            owner, flat = pc.list_parent_indices(windows).to_numpy().astype(np.int64), windows.flatten()
+            f, a, b = (flat.field(c).to_numpy() for c in ("f", "at_a", "at_b"))
+            diagonal = (b >> 36) - (a >> 36)
+            if enough > 1:
+                good = joined_windows(f, a, b, owner)
+                owner, diagonal = owner[good], diagonal[good]
+            starts = np.searchsorted(owner, np.arange(batch.num_rows + 1))
+            at, found = [], []
+            for i in np.flatnonzero(np.diff(starts)).tolist():
+                x, y = (np.frombuffer(batch.column(c)[i].as_buffer(), np.uint16) for c in "xy")
+                own = repeated_passages(x, y, diagonal[starts[i]:starts[i + 1]])
+                at += [i] * len(own)
+                found += own
+            if found:
+                more = SHINGLE_WORDS - 1
+                s, e, u, v, z = (np.array(c) for c in zip(*found, strict=True))
+                pair = pa.array(at, pa.int64())
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pair) for c in "ab"), *(pa.array(c, pa.int32()) for c in (s, e + more, u, v + more)),
+                                                  pa.array(z)], names=["a", "b", "a_first", "a_end", "b_first", "b_end", "similarity"])
+    return pairs.select("a", "b", "windows", "x", "y").mapInArrow(run, _PASSAGE)
 
 
 def context_chains(grams: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -416,30 +494,8 @@ def _neighbours(placed: DataFrame) -> DataFrame:
     return pairs.groupBy("a", "b").agg(F.collect_set(F.struct("f", "at_a", "at_b")).alias("windows"))
 
 
-def run_nodes(docs: DataFrame, key_col: str, text_col: str) -> DataFrame:
+def run_nodes(rows: DataFrame) -> DataFrame:
     """(node): the nodes that share a run of 22 words with another one, by the least print of every ``PRINTS``."""
-    def prints(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            texts = batch["text"].tolist()
-            for x, y in blocks(texts):
-                words = Words(texts[x:y])
-                node = signed(text_keys(words))
-                grams, offsets = shingles(words, PRINT_WORDS)
-                if len(grams) < PRINTS:
-                    continue
-                least = signed(sliding_minima(grams, PRINTS))
-                owner = np.repeat(np.arange(y - x), np.diff(offsets))
-                whole = (owner[:len(least)] == owner[PRINTS - 1:]) & (words.counts()[owner[:len(least)]] >= LEAST_WORDS)
-                rows = pd.DataFrame({"print": least[whole], "node": node[owner[:len(least)][whole]]})
-                rows = rows.drop_duplicates().sort_values(["print", "node"])
-                value, own = rows["print"].to_numpy(), rows["node"].to_numpy()
-                # Of a block's equal prints one goes on; each other node meets its neighbour under a print of its own.
-                more = np.flatnonzero(value[1:] == value[:-1]) + 1
-                private = signed(mix(value[more].view(_U) ^ mix(own[more].view(_U))))
-                one = np.setdiff1d(np.arange(len(value)), more, assume_unique=True)
-                yield pd.DataFrame({"print": np.concatenate((value[one], private, private)),
-                                    "node": np.concatenate((own[one], own[more], own[more - 1]))})
-
     def met(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         carry = np.empty((2, 0), dtype=np.int64)
         for batch in batches:
@@ -447,9 +503,9 @@ def run_nodes(docs: DataFrame, key_col: str, text_col: str) -> DataFrame:
             at = np.flatnonzero((value[1:] == value[:-1]) & (node[1:] != node[:-1]))
             yield pd.DataFrame({"node": np.unique(np.concatenate((node[at], node[at + 1])))})
             carry = rows[:, -1:]
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = _texts(docs, key_col, text_col).select("text").mapInPandas(prints, "print long, node long")
-    return rows.repartition(n, "print").sortWithinPartitions("print", "node").mapInPandas(met, "node long").distinct()
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    prints = rows.select(F.explode("prints").alias("print"), "node")
+    return prints.repartition(n, "print").sortWithinPartitions("print", "node").mapInPandas(met, "node long").distinct()
 
 
 def _unsettled(members: DataFrame, found: DataFrame) -> DataFrame:
@@ -469,21 +525,26 @@ def _unsettled(members: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, grams: DataFrame, enough: int) -> DataFrame:
-    x = grams.select(F.col("node").alias("a"), F.col("grams").alias("x"))
-    y = grams.select(F.col("node").alias("b"), F.col("grams").alias("y"))
-    found = pairs.join(y, "b").join(x, "a").select("a", "b", F.explode(_passages(F.col("windows"), F.col("x"), F.col("y"), enough)).alias("p"))
-    return stored(found.select("a", "b", "p.*"), "passages")
-
-
-def _gone_on(found: DataFrame, matches: DataFrame, alike: DataFrame, docs: DataFrame, nodes: DataFrame, key_col: str,
-             text_col: str) -> DataFrame:
+    """The passages of pairs, stored. A pair brings the shingles of its shorter text to those of the longer one."""
+    size = grams.select("node", F.length("grams").alias("n"))
+    own = pairs.join(size.select(F.col("node").alias("a"), F.col("n").alias("na")), "a").join(size.select(F.col("node").alias("b"), F.col("n").alias("nb")), "b")
+    swap = F.col("nb") > F.col("na")
+    own = own.select("a", "b", "windows", F.when(swap, F.col("a")).otherwise(F.col("b")).alias("short"), F.when(swap, F.col("b")).otherwise(F.col("a")).alias("long"))
+    x = grams.select(F.col("node").alias("long"), F.col("grams").alias("gl"))
+    y = grams.select(F.col("node").alias("short"), F.col("grams").alias("gs"))
+    both = own.join(y, "short").join(x, "long")
+    first = F.col("a") == F.col("long")
+    both = both.select("a", "b", "windows", F.when(first, F.col("gl")).otherwise(F.col("gs")).alias("x"), F.when(first, F.col("gs")).otherwise(F.col("gl")).alias("y"))
+    return stored(_passages(both, enough), "passages")
+
+
+def _gone_on(found: DataFrame, matches: DataFrame, grams: DataFrame) -> DataFrame:
     """``found`` with the passages of neighbours in the groups that are not settled by it."""
     sides = [matches.select("root", F.col(x).alias("node"), F.col(f"at_{x}").alias("place")) for x in "ab"]
-    members = stored(sides[0].unionByName(sides[1]).join(alike, "node", "left_semi").distinct(), "members")
+    members = stored(sides[0].unionByName(sides[1]).distinct(), "members")
     members = stored(_unsettled(members, found).drop("n"), "open")
     if not members.limit(1).count():
         return found
-    grams = stored(_shingle_table(docs, nodes.join(members.select("node").distinct(), "node", "left_semi"), key_col, text_col), "grams")
     pairs = stored(_neighbours(_in_context(members, grams, LEVELS)), "pairs")
     return stored(found.unionByName(_verified(pairs, grams, 1)).distinct(), "passages")
 
@@ -493,16 +554,14 @@ def passage_links(docs: DataFrame, key_col: str = "doc_id", text_col: str = "tex
     rows = stored(document_nodes(docs, key_col, text_col), "nodes-of-documents")
     nodes = stored(rows.groupBy("node").agg(F.min(F.struct("doc_id", "raw")).alias("first"), F.min("doc_id").alias("least"),
                                             F.count(F.lit(1)).alias("copies"), F.max("words").alias("words")), "nodes")
-    matches = stored(matched_windows(window_rows(docs, key_col, text_col)), "matches")
-    alike = stored(run_nodes(docs, key_col, text_col), "alike")
+    alike = stored(run_nodes(rows), "alike")
+    texts = stored(_node_texts(docs, nodes.join(alike, "node", "left_semi"), key_col, text_col), "texts")
+    grams = stored(_shingle_table(texts), "grams")
+    matches = stored(matched_windows(window_rows(texts)), "matches")
     pairs = (matches.groupBy("a", "b").agg(F.collect_set(F.struct("f", "at_a", "at_b")).alias("windows"))
              .filter(F.size(F.array_distinct(F.col("windows.f"))) >= ENOUGH))
-    pairs = stored(pairs, "pairs")
-    wanted = nodes.join(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct(),
-                        "node", "left_semi")
-    grams = stored(_shingle_table(docs, wanted, key_col, text_col), "grams")
-    found = _verified(pairs, grams, ENOUGH)
-    return rows, nodes, _gone_on(found, matches, alike, docs, nodes, key_col, text_col)
+    found = _verified(stored(pairs, "pairs"), grams, ENOUGH)
+    return rows, nodes, _gone_on(found, matches, grams)
 
 
 def _merged(spans: Column) -> Column:

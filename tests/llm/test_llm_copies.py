@@ -256,6 +256,63 @@ def test_rare_passage_with_a_frequent_sentence(spark):
         assert got[x].class_id == got[y].class_id == x and got[x].spans == got[y].spans == [(30, 81)]
 
 
+def test_only_texts_that_share_a_run_are_split_into_windows(spark, monkeypatch):
+    docs, want = planted()
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    split, whole = [], passages.window_rows
+    monkeypatch.setattr(passages, "window_rows", lambda texts: split.append(texts.select("node").distinct().count()) or whole(texts))
+    once = sorted(map(str, passages.repeated(df).collect()))
+    assert all(len(ids) > 1 for ids in want.values())
+    assert split == [sum(map(len, want.values())) + 1]  # and the one with 45 words of a passage
+    monkeypatch.setattr(passages, "MARKS", 64)  # all texts are marked
+    assert sorted(map(str, passages.repeated(df).collect())) == once and split[0] == split[1]
+
+
+def test_verified_passages_share_a_run_of_22_words():
+    rnd, found = random.Random(12), 0
+    for _ in range(300):
+        a = [rnd.randrange(10 ** 6) for _ in range(rnd.randrange(50, 300))]
+        b = list(a)
+        for _ in range(rnd.randrange(1, 7)):
+            at, n = rnd.randrange(len(b)), rnd.randrange(0, 3)
+            b[at:at + rnd.randrange(0, 3)] = [rnd.randrange(10 ** 6) for _ in range(n)]
+        x, y = (shingles(Words([" ".join(f"w{i}" for i in t)]))[0] for t in (a, b))
+        places = {g: i for i, g in enumerate(y.tolist())}
+        diagonals = np.array([places[g] - i for i, g in enumerate(x.tolist()) if g in places] or [0])
+        runs = {tuple(b[i:i + 22]) for i in range(len(b) - 21)}
+        for s, e, *_ in passages.repeated_passages(x, y, diagonals):
+            found += 1
+            assert any(tuple(a[i:i + 22]) in runs for i in range(s, e + 4 - 21))
+    assert found > 100
+
+
+def test_joined_windows_against_all_pairs(monkeypatch):
+    rng = np.random.default_rng(3)
+    owner, f = np.sort(rng.integers(0, 6, 300)), rng.integers(0, 3, 300)
+    sides = []
+    for _ in range(2):
+        centre = rng.integers(30, 400, 300)
+        sides.append((centre - rng.integers(0, 30, 300), centre, centre + rng.integers(0, 60, 300)))
+
+    def meet(i, j):
+        if owner[i] != owner[j] or f[i] == f[j]:
+            return False
+        for left, centre, right in sides:
+            lo, hi = max(left[i], left[j]), min(right[i], right[j])
+            if not (lo <= min(centre[i], centre[j]) and max(centre[i], centre[j]) <= hi and hi - lo + 1 >= 20):
+                return False
+        return True
+
+    want = [any(meet(i, j) for j in range(300)) for i in range(300)]
+    assert 0 < sum(want) < 300
+    order = rng.permutation(300)
+    a, b = (passages.pack(*side)[order] for side in sides)
+    for near, compared in ((32, 1 << 16), (0, 7), (2, 100)):
+        monkeypatch.setattr(passages, "NEAR", near)
+        monkeypatch.setattr(passages, "COMPARED", compared)
+        assert passages.joined_windows(f[order], a, b, owner[order], 20).tolist() == [want[i] for i in order]
+
+
 def contained(docs, items):
     out = set()
     for d, t in docs:
