@@ -72,6 +72,7 @@ NEAR = 32
 COMPARED = 1 << 16
 CONTEXT = 3
 MARKS = 1 << 25
+SPARSE = 8  # of 18 successive shingles, two at least are successive ones of every SPARSE
 GAP = 25
 LEAST_RUN = 3
 PRINT_WORDS = 13  # every run of PRINT_WORDS + PRINTS - 1 = 22 words has one of its prints chosen
@@ -377,16 +378,16 @@ def _node_texts(docs: DataFrame, wanted: DataFrame, key_col: str, text_col: str)
 
 
 def _shingle_table(texts: DataFrame) -> DataFrame:
-    """(node, grams): the shingles of each node, 16 bits each."""
+    """(node, grams, sparse): the shingles of each node, 16 bits each, and every ``SPARSE``-th of them."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             texts = batch["text"].tolist()
             for x, y in blocks(texts):
                 grams, offsets = shingles(Words(texts[x:y]))
                 short = (grams >> _U(48)).astype(np.uint16)
-                yield pd.DataFrame({"node": batch["node"].iloc[x:y],
-                                    "grams": [short[offsets[i]:offsets[i + 1]].tobytes() for i in range(y - x)]})
-    return texts.mapInPandas(run, "node long, grams binary").dropDuplicates(["node"])
+                own = [short[offsets[i]:offsets[i + 1]] for i in range(y - x)]
+                yield pd.DataFrame({"node": batch["node"].iloc[x:y], "grams": [g.tobytes() for g in own], "sparse": [g[::SPARSE].tobytes() for g in own]})
+    return texts.mapInPandas(run, "node long, grams binary, sparse binary").dropDuplicates(["node"])
 
 
 _PASSAGE = "a long, b long, a_first int, a_end int, b_first int, b_end int, similarity double"
@@ -470,7 +471,7 @@ def _in_context(members: DataFrame, grams: DataFrame, levels: tuple[int, ...]) -
             if held:
                 yield _placed_rows(held)
     own = members.groupBy("node").agg(F.min("label").alias("label"), F.collect_list(F.struct("root", "place", "covered")).alias("own"))
-    return own.join(grams, "node").mapInPandas(run, _PLACED)
+    return own.join(grams.select("node", "grams"), "node").mapInPandas(run, _PLACED)
 
 
 def _neighbours(placed: DataFrame) -> DataFrame:
@@ -524,12 +525,45 @@ def _unsettled(members: DataFrame, found: DataFrame) -> DataFrame:
     return own.join(roots, "root")
 
 
+def shares_run(sparse: np.ndarray, grams: np.ndarray, diagonals: np.ndarray) -> bool:
+    """Whether two successive shingles of ``sparse`` stand in ``grams`` along one of the diagonals, as of each run of 18."""
+    for d in np.unique(diagonals).tolist():
+        first = max(0, -(d // SPARSE))
+        other = grams[first * SPARSE + d::SPARSE]
+        own = sparse[first:first + len(other)]
+        same = own == other[:len(own)]
+        if (same[1:] & same[:-1]).any():
+            return True
+    return False
+
+
+def _sifted(pairs: DataFrame, grams: DataFrame) -> DataFrame:
+    """The pairs (a, b, windows, short, long) that share a run along a window's diagonal."""
+    columns = pairs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            windows = batch.column("windows")
+            owner, flat = pc.list_parent_indices(windows).to_numpy(), windows.flatten()
+            a, b = (flat.field(c).to_numpy() >> 36 for c in ("at_a", "at_b"))
+            first = (batch.column("a").to_numpy() == batch.column("short").to_numpy())[owner]
+            diagonal = np.where(first, b - a, a - b)
+            starts = np.searchsorted(owner, np.arange(batch.num_rows + 1))
+            on = [shares_run(*(np.frombuffer(batch.column(c)[i].as_buffer(), np.uint16) for c in ("sparse", "grams")), diagonal[starts[i]:starts[i + 1]])
+                  for i in range(batch.num_rows)]
+            yield batch.select(columns).filter(pa.array(on, pa.bool_()))
+    both = pairs.join(grams.select(F.col("node").alias("short"), "sparse"), "short").join(grams.select(F.col("node").alias("long"), "grams"), "long")
+    return both.select(*columns, "sparse", "grams").mapInArrow(run, pairs.schema)
+
+
 def _verified(pairs: DataFrame, grams: DataFrame, enough: int) -> DataFrame:
-    """The passages of pairs, stored. A pair brings the shingles of its shorter text to those of the longer one."""
-    size = grams.select("node", F.length("grams").alias("n"))
+    """The passages of pairs, stored. A pair brings the shingles of its shorter text to those of the longer one; where one
+    window is enough to be a pair, a few of its shingles are brought first."""
+    size = grams.select("node", F.length("sparse").alias("n"))
     own = pairs.join(size.select(F.col("node").alias("a"), F.col("n").alias("na")), "a").join(size.select(F.col("node").alias("b"), F.col("n").alias("nb")), "b")
     swap = F.col("nb") > F.col("na")
     own = own.select("a", "b", "windows", F.when(swap, F.col("a")).otherwise(F.col("b")).alias("short"), F.when(swap, F.col("b")).otherwise(F.col("a")).alias("long"))
+    own = _sifted(own, grams) if enough == 1 else own
     x = grams.select(F.col("node").alias("long"), F.col("grams").alias("gl"))
     y = grams.select(F.col("node").alias("short"), F.col("grams").alias("gs"))
     both = own.join(y, "short").join(x, "long")

@@ -286,6 +286,16 @@ def test_verified_passages_share_a_run_of_22_words():
     assert found > 100
 
 
+def test_runs_of_18_shingles_are_seen_in_sparse_ones():
+    rng = np.random.default_rng(5)
+    for _ in range(400):
+        x, y = (rng.integers(0, 1 << 16, rng.integers(18, 120)).astype(np.uint16) for _ in range(2))
+        i, j = rng.integers(0, len(x) - 17), rng.integers(0, len(y) - 17)
+        assert not passages.shares_run(x[::passages.SPARSE], y, np.array([j - i]))
+        y[j:j + 18] = x[i:i + 18]
+        assert passages.shares_run(x[::passages.SPARSE], y, np.array([j - i + 1, j - i]))
+
+
 def test_joined_windows_against_all_pairs(monkeypatch):
     rng = np.random.default_rng(3)
     owner, f = np.sort(rng.integers(0, 6, 300)), rng.integers(0, 3, 300)
